@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import secrets, urls
+from weftline.llm import bpe, langid, media, reshard, secrets, urls
 
 #: The rules that op1 is asked to judge by.
 URL_RULES = (
@@ -26,14 +27,49 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+#: The layout that op4 starts from, by hash, and the one that it makes.
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reshard.sized(_table(spark, sf_dir, "documents"))
+    placed = reshard.reshard(rows, reshard.old_by_hash(OLD_SHARDS), NEW_SHARDS)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    )
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_and_read(_table(spark, sf_dir, "documents"))
+    return stored.withColumn("feature", media.digest(F.col("fingerprint"))).drop("fingerprint")
+
+
+def tokenizer() -> tuple[str, str]:
+    """The vocabulary's path and the word pattern that it goes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False).drop("ids")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return secrets.scan(documents, secrets.train(secrets.random_strings(spark), secrets.identifiers(documents)))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    profiles = langid.learn(documents.where(langid.training_fold()))
+    found = langid.predict(documents, profiles)
+    return found.select("doc_id", (~F.coalesce(langid.training_fold(), F.lit(True))).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op7_secret_scans)
+    for f in (op1_url_filters, op4_sharding, op5_media_columns, op6_byte_level_bpe, op7_secret_scans, op9_language_id)
 }
 
 ORACLES: dict[str, str] = {
