@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, langid, media, reshard, secrets, urls
+from weftline.llm import bpe, decontam, langid, media, reshard, secrets, toxicity, urls
 
 #: The rules that op1 is asked to judge by.
 URL_RULES = (
@@ -27,6 +27,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: The layout that op4 starts from, by hash, and the one that it makes.
 OLD_SHARDS, NEW_SHARDS = 6, 8
 
@@ -67,9 +71,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.coalesce(langid.training_fold(), F.lit(True))).alias("held_out"), "lang_pred", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, _table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", (~F.coalesce(langid.training_fold(), F.lit(True))).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op4_sharding, op5_media_columns, op6_byte_level_bpe, op7_secret_scans, op9_language_id)
+    for f in (
+        op1_url_filters, op2_benchmark_decontamination, op4_sharding, op5_media_columns,
+        op6_byte_level_bpe, op7_secret_scans, op9_language_id, op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {
