@@ -42,9 +42,11 @@ from weftline.llm.arrow import mix
 from weftline.llm.langid import training_fold
 from weftline.llm.sample import by_hash
 
-LAMBDA = 0.7
+LAMBDA = 0.66
 POSITIVE, NEGATIVE = 2_500, 5_000
 LANDMARKS, LEAST_COVER, LEAST_SHARE, PURITY, CHANCE = 48, 4, 0.015, 0.998, 0.01
+#: Toxic occurrences that one clean occurrence of a piece outweighs.
+HARM = 10
 CLEAN_WEIGHT = 2.0
 WINDOW, STRIDE = 32, 20
 PIECE_MIN, PIECE_MAX = 4, 8
@@ -184,14 +186,14 @@ class Landmarks:
 
 
 def _unlike(documents: list[set[str]]) -> list[set[str]]:
-    """One of all documents that agree in any of three minimum hashes of their words: most near copies go."""
-    seen: set[tuple[int, int]] = set()
+    """One of all documents that agree, under any of four hashes, in the two least hashed of their longer words: most near copies go."""
+    seen: set[tuple[int, ...]] = set()
     out = []
     for ws in documents:
         if not ws:
             continue
-        h = np.fromiter((zlib.crc32(w.encode()) for w in sorted(ws) if len(w) >= PIECE_MIN), np.uint64)
-        keys = [(i, int(mix(h + np.uint64(i)).min())) for i in range(3)] if len(h) else []
+        h = np.fromiter((zlib.crc32(w.encode()) for w in sorted(ws) if len(w) >= PIECE_MAX), np.uint64)
+        keys = [(i, *np.sort(mix(h + np.uint64(i)))[:2].tolist()) for i in range(4)] if len(h) > 1 else []
         if not any(k in seen for k in keys):
             out.append(ws)
         seen.update(keys)
@@ -227,11 +229,10 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     done: set[str] = set()
     marks: list[str] = []
     while cover and len(marks) < most:
-        gain = {g: sum(for_[w] for w in ws - done) for g, ws in cover.items()}
-        most_gain = max(gain.values())
-        if most_gain < least:
+        gain = {g: sum(for_[w] for w in ws - done) - HARM * other[g] for g, ws in cover.items()}
+        if max(gain.values()) < least:
             break
-        best = max((g for g in cover if gain[g] >= 0.95 * most_gain), key=lambda g: (len(g), gain[g], g))
+        best = max(cover, key=lambda g: (gain[g] * len(g) ** 2, g))  # longer pieces fit fewer words by chance
         marks.append(best)
         done |= cover.pop(best)
         cover = {g: x for g, x in cover.items() if gain[g] >= least}
