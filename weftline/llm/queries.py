@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontam, langid, media, reshard, secrets, toxicity, urls
+from weftline.llm import bpe, decontam, langid, media, neardup, reshard, secrets, toxicity, urls
 
 #: The rules that op1 is asked to judge by.
 URL_RULES = (
@@ -31,6 +31,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 #: The layout that op4 starts from, by hash, and the one that it makes.
 OLD_SHARDS, NEW_SHARDS = 6, 8
 
@@ -80,7 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_url_filters, op2_benchmark_decontamination, op4_sharding, op5_media_columns,
+        op1_url_filters, op2_benchmark_decontamination, op3_minhash_near_dedup, op4_sharding, op5_media_columns,
         op6_byte_level_bpe, op7_secret_scans, op9_language_id, op10_toxicity,
     )
 }
