@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontam, langid, media, neardup, reshard, secrets, toxicity, urls
+from weftline.llm import bpe, decontam, langid, media, neardup, reshard, secrets, suffixes, toxicity, urls
 
 #: The rules that op1 is asked to judge by.
 URL_RULES = (
@@ -68,6 +68,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents, secrets.train(secrets.random_strings(spark), secrets.identifiers(documents)))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     profiles = langid.learn(documents.where(langid.training_fold()))
@@ -85,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_minhash_near_dedup, op4_sharding, op5_media_columns,
-        op6_byte_level_bpe, op7_secret_scans, op9_language_id, op10_toxicity,
+        op6_byte_level_bpe, op7_secret_scans, op8_suffix_array_dedup, op9_language_id, op10_toxicity,
     )
 }
 
