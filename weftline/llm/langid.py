@@ -165,8 +165,8 @@ class Model:
 _MODELS: dict[int, Model] = {}
 
 
-def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: list[str] | None = None) -> DataFrame:
-    """The documents' `keep` columns (doc_id by default) with lang_pred and score."""
+def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: list[str] | None = None, suffix: str = "") -> DataFrame:
+    """The documents' `keep` columns (doc_id by default) with lang_pred and score, whose names get the suffix against clashes."""
     keep = ["doc_id"] if keep is None else keep
     columns = list(dict.fromkeys([*keep, "text"]))
     inputs = documents.select(*columns)
@@ -182,7 +182,7 @@ def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: l
             found = [model.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*keep, "lang_pred", "score"],
+                names=[*keep, f"lang_pred{suffix}", f"score{suffix}"],
             )
 
-    return inputs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return inputs.mapInArrow(run, f"{schema}, lang_pred{suffix} string, score{suffix} double")
