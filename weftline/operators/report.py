@@ -24,10 +24,10 @@ def condition_correlation(rows: DataFrame, outcome: str, conditions: list[str],
     long = rows.select(F.col(outcome).alias("o"), bad.alias("bad"), F.explode(F.array(*(F.struct(F.lit(c).alias("condition"), F.col(c).cast("double").alias("v")) for c in conditions))).alias("x"))
     stats = long.select("o", "bad", "x.*").where("o is not null and v is not null").groupBy("condition").agg(
         F.avg(F.when(F.col("bad"), F.col("v"))).alias("bad_mean"), F.avg(F.when(~F.col("bad"), F.col("v"))).alias("good_mean"),
-        F.corr("v", "o").alias("r"), F.count("*").alias("n"), F.stddev_pop("v").alias("sv"), F.stddev_pop("o").alias("so"),
+        F.covar_pop("v", "o").alias("cov"), F.count("*").alias("n"), F.stddev_pop("v").alias("sv"), F.stddev_pop("o").alias("so"),
     )
     usable = (F.col("n") > 3) & (F.col("sv") > 1e-9) & (F.col("so") > 1e-9)
-    known = stats.withColumn("corr", F.round(F.when(usable, F.col("r")).otherwise(0.0), 6))
+    known = stats.withColumn("corr", F.round(F.when(usable, F.col("cov") / (F.col("sv") * F.col("so"))).otherwise(0.0), 6))
     # One row a condition: the single partition of this window is as small as the list of conditions.
     return known.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("corr")), "condition"))).select("condition", "bad_mean", "good_mean", "corr", "rank")
 

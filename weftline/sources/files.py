@@ -16,8 +16,11 @@ def json_documents(spark: SparkSession, path: str, schema: StructType | str, ver
 
 
 def samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV samples; malformed lines are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").csv(path)
+    """CSV samples; lines in which a value is missing or can't be read are skipped, whichever columns are used later."""
+    kinds = StructType.fromDDL(schema)
+    raw = spark.read.schema(", ".join(f"`{f.name}` string" for f in kinds)).csv(path)
+    read = raw.select(*(F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in kinds))
+    return read.dropna()
 
 
 def zipped(records: DataFrame, names: str, values: str, as_name: str, as_value: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from weftline.operators.track import Linker, _frames
 
 
-def assign(detections: DataFrame, clip: str, diagonal: float, idle_ms: int = 600_000) -> DataFrame:
-    """`weftline.operators.track.assign` over a stream: a clip's state outlives a batch, and goes when the clip is idle.
+def assign(detections: DataFrame, clip: str, diagonal: float, idle_ms: int | None = None) -> DataFrame:
+    """`weftline.operators.track.assign` over a stream: a clip's state outlives a batch, and goes when the clip is idle, if `idle_ms` is given.
 
     Frames must arrive in order within a clip; each batch is sorted by frame.
     """
@@ -28,11 +28,12 @@ def assign(detections: DataFrame, clip: str, diagonal: float, idle_ms: int = 600
         pdf = pd.concat(list(batches), ignore_index=True)
         rows = [(key[0], frame, d.det, n) for frame, some, cut in _frames(pdf) for n, d in linker.step(some, cut).items()]
         state.update((pickle.dumps(linker),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=[clip, "frame", "det", "track"])
 
     return detections.groupBy(clip).applyInPandasWithState(
-        run, f"{clip} {kind[clip]}, frame long, det int, track int", "linker binary", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"{clip} {kind[clip]}, frame long, det int, track int", "linker binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )
 
 
