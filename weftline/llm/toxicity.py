@@ -4,9 +4,9 @@ The kernel K_p(s, t) sums, over all subsequences of p characters that two
 strings share, LAMBDA to the power of the lengths they span in both: gaps and
 inserted characters weaken a match but don't end it. Against a landmark l
 (p = 5, or 4 for landmarks of four characters) a word x scores
-min(1, K_p(x, l) / K_p(l, l)); a document scores, for each landmark, its best
-word. These features are whitened by the landmarks' own kernel matrix
-(Nyström) and go to a linear SVM with a logistic calibration.
+min(1, K_p(x, l) / K_p(l, l)). These features are whitened by the landmarks'
+own kernel matrix (Nyström) and go to a linear SVM; a document's margin is that
+of its worst word, and a logistic calibration makes it a score.
 
 Landmarks are pieces of words of the labelled sentences: a greedy cover takes
 the piece that explains most toxic documents not yet explained and hardly any
@@ -43,7 +43,7 @@ from weftline.llm.langid import training_fold
 from weftline.llm.sample import by_hash
 
 LAMBDA = 0.66
-POSITIVE, NEGATIVE = 2_500, 5_000
+POSITIVE, NEGATIVE = 1_200, 2_500
 LANDMARKS, LEAST_COVER, LEAST_SHARE, PURITY, CHANCE = 48, 4, 0.015, 0.998, 0.01
 #: Toxic occurrences that one clean occurrence of a piece outweighs.
 HARM = 10
@@ -171,18 +171,16 @@ class Landmarks:
                         own[k] = max(own.get(k, 0.0), v)
         self.known.update((w, tuple(s.items())) for w, s in scores.items())
 
-    def features(self, documents: list[set[str]]) -> np.ndarray:
-        """For each set of words, the best score against each landmark."""
-        seen = set().union(*documents) if documents else set()
+    def features(self, words_: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words that match any landmark, and their scores against each."""
         self.known.clear()
-        self.add(sorted(seen))
-        hits = self.known.keys()
-        out = np.zeros((len(documents), len(self.marks)))
-        for i, ws in enumerate(documents):
-            for w in ws & hits:
-                for k, v in self.known[w]:
-                    out[i, k] = max(out[i, k], v)
-        return out
+        self.add(words_)
+        found = sorted(self.known)
+        out = np.zeros((len(found), len(self.marks)))
+        for i, w in enumerate(found):
+            for k, v in self.known[w]:
+                out[i, k] = v
+        return found, out
 
 
 def _unlike(documents: list[set[str]]) -> list[set[str]]:
@@ -242,10 +240,11 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
 class Model:
     """Landmarks, the Nyström map, a linear SVM and its logistic calibration.
 
-    A toxic document is given by its sentences. Those that hold a landmark are
-    the positive samples, so one insult is enough; a document without one is a
-    sample as a whole. Landmarks with a character inserted are
-    samples too, if they have five letters or more: shorter ones would fit by chance.
+    A toxic document is given by its sentences. The words in these that hold a
+    landmark are the positive samples; landmarks with a character inserted are
+    too, if they have five letters or more: shorter ones would fit by chance.
+    Words of clean documents that match a landmark are the negative samples, so
+    what counts is a document's worst word, not how many fit a little.
     """
 
     def __init__(self, sentences: list[list[set[str]]], clean: list[set[str]]):
@@ -257,20 +256,26 @@ class Model:
         values, vectors = np.linalg.eigh(landmarks.matrix())
         keep = values > 1e-6
         self.map = vectors[:, keep] / np.sqrt(values[keep])
-        parts = [x for s in sentences for x in s]
-        f = landmarks.features(parts)
-        strong = f.max(axis=1) >= 0.999
-        owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-        bare = sorted(set(range(len(sentences))) - set(owner[strong].tolist()))
-        inserted = [{m[:i] + "x" + m[i:]} for m in self.marks if len(m) > PIECE_MIN for i in range(1, len(m))]
-        positive = np.vstack([f[strong], landmarks.features([whole[i] for i in bare]), landmarks.features(inserted)])
-        x = np.vstack([positive, landmarks.features(clean)]) @ self.map
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(clean))])
+        found, f = landmarks.features(sorted(set().union(*whole, *clean)))
+        strong = {w for w, x in zip(found, f, strict=True) if x.max() >= 0.999}
+        row = {w: i for i, w in enumerate(found)}
+        insults = [i for s in sentences for ws in s for i in sorted(row[w] for w in ws & strong)]
+        _, inserted = landmarks.features(sorted({m[:i] + "x" + m[i:] for m in self.marks if len(m) > PIECE_MIN for i in range(1, len(m))}))
+        harmless = sorted({row[w] for ws in clean for w in ws & row.keys()})
+        nothing = np.zeros((len(clean), len(self.marks)))
+        x = np.vstack([f[insults], inserted, f[harmless], nothing]) @ self.map
+        y = np.concatenate([np.ones(len(insults) + len(inserted)), -np.ones(len(harmless) + len(clean))])
         self.weights, self.bias = _svm(x, y)
-        self.slope, self.offset = _logistic(x @ self.weights + self.bias, y)
+        value = dict(zip(found, (f @ self.map) @ self.weights + self.bias, strict=True))
+        best = lambda ws: max((value[w] for w in ws & value.keys()), default=self.bias)
+        z = np.array([best(ws) for ws in whole] + [best(ws) for ws in clean])
+        self.slope, self.offset = _logistic(z, np.concatenate([np.ones(len(whole)), -np.ones(len(clean))]))
 
     def score(self, landmarks: Landmarks, documents: list[set[str]]) -> np.ndarray:
-        z = (landmarks.features(documents) @ self.map) @ self.weights + self.bias
+        """The probability that the worst word of each document gives."""
+        found, f = landmarks.features(sorted(set().union(*documents)))
+        value = dict(zip(found, ((f @ self.map) @ self.weights + self.bias).tolist(), strict=True))
+        z = np.array([max((value[w] for w in ws & value.keys()), default=self.bias) for ws in documents])
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50)))
 
 
