@@ -29,7 +29,7 @@ def test_outliers_only_go_from_three_up_and_never_all(spark):
     assert all(r["kept"] for r in out)  # nobody agrees: all stay
 
 
-def test_near_pairs_fire_at_the_reference_limits(spark):
+def test_near_pairs_fire_at_the_default_limits(spark):
     rows = [(1, 1, 0.0, look(0), 1.0), (1, 2, 12.0, look(30), 1.0), (1, 3, 12.1, look(0), 1.0), (1, 4, -11.9, look(31.5), 1.0)]
     out = {(r["a"], r["b"]) for r in observe.near_pairs(observations(spark, rows), ["k"]).collect()}
     assert out == {(1, 2), (2, 3)}  # cos 30 = .866, cos 31.5 = .853; 12.1 is too far from 0

@@ -1,4 +1,4 @@
-"""Reading and writing the tables that stand for the reference's documents and stores."""
+"""Reading and writing tables that stand for documents and stores."""
 
 from __future__ import annotations
 
