@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,18 @@ def cut(rows: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return rows.checkpoint(eager=True)
+
+
+class Stored:
+    """Rows written to the shared folder as compressed Parquet, for what is large or read twice."""
+
+    def __init__(self, rows: DataFrame):
+        self.spark = rows.sparkSession
+        self.path = f"{shared_folder(self.spark)}/stored-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(self.path)
+        self.rows = self.spark.read.parquet(self.path)
+
+    def discard(self) -> None:
+        """Delete the files; nothing may read the rows any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

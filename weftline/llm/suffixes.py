@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.arrow import pieces, utf8
-from weftline.llm.shared import cut
+from weftline.llm.shared import Stored
 
 LENGTH, GRAM = 200, 32
 TILE = 2 << 20
@@ -269,18 +269,20 @@ def intervals(documents: DataFrame) -> DataFrame:
     """key, text_hash, lo, hi: byte intervals, overlapping ones included, that cover all repeated windows."""
     spark = documents.sparkSession
     keyed = _keyed(documents)
-    repeated = cut(_repeated(keyed))
+    repeated = Stored(_repeated(keyed))
     _release(spark)
-    placed = cut(_places(keyed).join(repeated, ["anchor", "content"]).select(
+    placed = Stored(_places(keyed).join(repeated.rows, ["anchor", "content"]).select(
         "key", "text_hash", "first", "last", "at", "n", ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("key") == F.col("owner")))).alias("compared"), (F.col("kinds") > SALT_FROM).alias("salted")
     ))
-    del repeated
+    repeated.discard()
     _release(spark)
-    whole = placed.where("n > 1").select("key", "text_hash", F.col("first").alias("lo"), (F.col("last") + LENGTH).alias("hi"))
-    suffixes = cut(_suffixes(keyed, placed.where("compared")))
+    whole = placed.rows.where("n > 1").select("key", "text_hash", F.col("first").alias("lo"), (F.col("last") + LENGTH).alias("hi"))
+    suffixes = Stored(_suffixes(keyed, placed.rows.where("compared")))
     _release(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return whole.unionByName(cut(_matched(suffixes, partitions)))
+    matched = Stored(_matched(suffixes.rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    suffixes.discard()
+    _release(spark)
+    return whole.unionByName(matched.rows)
 
 
 def _release(spark) -> None:
