@@ -158,7 +158,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-ENCODED = "doc_id long, ids array<long>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+ENCODED = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
@@ -174,7 +174,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True)
                 ids_at, raw_at = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(size)])
                 ids_hex = [hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ids_at, ids_at[1:], strict=False)]
                 raw_hex = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(raw_at, raw_at[1:], strict=False)]
-                kept = list_array(ids.astype(np.int64), n, pa.int64()) if keep_ids else pa.nulls(hi - lo, pa.list_(pa.int64()))
+                kept = list_array(ids.astype(np.int32), n, pa.int32()) if keep_ids else pa.nulls(hi - lo, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids[lo:hi], pa.int64()), kept, pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(raw_hex)],
                     names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],

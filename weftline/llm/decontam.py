@@ -194,8 +194,8 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple
             yield rows
 
 
-def _searched(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    data, offsets = utf8(batch.column("text"))
+def _searched(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    data, offsets = utf8(texts)
     for lo, hi in pieces(offsets):
         part = data[offsets[lo] : offsets[hi]]
         chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
@@ -214,7 +214,7 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = Index(items)
             for batch in batches:
                 ids = batch.column("doc_id")
-                rows = list(_searched(batch, index))
+                rows = list(_searched(batch.column("text"), index))
                 row, item, edits, start, end = zip(*rows, strict=True) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row, pa.int64())), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(edits, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
@@ -226,16 +226,23 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return documents.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, that hold no item within its edit budget."""
-    for items in blocks(benchmark):
+def _cleaner(items: list[tuple[int, str]]):
+    """A column function: whether a text holds none of the items."""
+    made: list[Index] = []
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in _searched(batch, index)]] = False
-                yield batch.filter(pa.array(keep))
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Index(items))
+        keep = np.ones(len(texts), bool)
+        keep[[x[0] for x in _searched(texts, made[0])]] = False
+        return pa.array(keep)
 
-        documents = documents.mapInArrow(run, documents.schema)
+    return clean
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, all columns, that hold no item within its edit budget; only texts go to Python."""
+    for items in blocks(benchmark):
+        documents = documents.where(_cleaner(items)("text"))
     return documents

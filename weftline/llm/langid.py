@@ -166,23 +166,21 @@ _MODELS: dict[int, Model] = {}
 
 
 def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: list[str] | None = None, suffix: str = "") -> DataFrame:
-    """The documents' `keep` columns (doc_id by default) with lang_pred and score, whose names get the suffix against clashes."""
+    """The documents' `keep` columns (doc_id by default) with lang_pred and score, whose names get the suffix against clashes.
+
+    Only texts go to Python and only the two results come back; other columns stay where they are.
+    """
     keep = ["doc_id"] if keep is None else keep
-    columns = list(dict.fromkeys([*keep, "text"]))
-    inputs = documents.select(*columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.select(*keep).schema)
     key = hash(str(profiles))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def judge(texts: pa.Array) -> pa.Array:
         model = _MODELS.get(key)
         if model is None:
             _MODELS.clear()
             model = _MODELS[key] = Model(profiles)
-        for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*keep, f"lang_pred{suffix}", f"score{suffix}"],
-            )
+        found = [model.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
 
-    return inputs.mapInArrow(run, f"{schema}, lang_pred{suffix} string, score{suffix} double")
+    judged = documents.withColumn("_judged", judge("text"))
+    return judged.select(*keep, F.col("_judged.lang_pred").alias(f"lang_pred{suffix}"), F.col("_judged.score").alias(f"score{suffix}"))
