@@ -78,6 +78,16 @@ def expression_delta(before: Column | str, after: Column | str) -> Column:
 
 
 def unwrap(angle: Column | str) -> Column:
-    """An angle in degrees, modulo 180, in (-90, 90]."""
-    a = F.pmod(_col(angle), F.lit(180.0))
-    return F.when(a > 90, a - 180).otherwise(a) + 0.0  # no negative zero
+    """Signed deviation from upright in degrees: an angle near 180 is one near 0 seen from the other side."""
+    a = F.pmod(_col(angle), F.lit(360.0))
+    d = F.when(a > 180, a - 360).otherwise(a)
+    return F.when(d > 90, d - 180).when(d < -90, d + 180).otherwise(d) + 0.0  # no negative zero
+
+
+def pose_proxy(points: Column | str) -> tuple[Column, Column]:
+    """(yaw, roll) in degrees from landmarks whose first three are left eye, right eye and nose."""
+    p = _col(points)
+    dx, dy = p[1]["x"] - p[0]["x"], p[1]["y"] - p[0]["y"]
+    apart = F.sqrt(dx * dx + dy * dy)
+    yaw = (p[2]["x"] - (p[0]["x"] + p[1]["x"]) / 2) / F.when(apart == 0, 1.0).otherwise(apart) * 90.0
+    return yaw, F.degrees(F.atan2(dy, dx))

@@ -178,3 +178,46 @@ def rational(text: Column, default: Column) -> Column:
     """The value of "num/den"; the default where it can't be read or the denominator is 0."""
     parts = F.split(text, "/")
     return F.coalesce(F.try_divide(F.try_element_at(parts, F.lit(1)).try_cast("double"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("1")).try_cast("double")), default)
+
+
+def detector_size(width: Column, height: Column) -> Column:
+    """Input size of a detector for a frame, by its longest side."""
+    longest = F.greatest(width, height)
+    return F.when(longest >= 2160, 1280).when(longest >= 1440, 1024).when(longest >= 1080, 960).otherwise(640)
+
+
+def resolved_range(duration: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """Start, end and whether they cut the clip: missing or 0 ends are the clip's, bounds stay within it."""
+    first = F.greatest(F.lit(0.0), F.coalesce(start, F.lit(0.0)))
+    last = F.when(F.coalesce(end, F.lit(0.0)) > 0, F.least(end, duration)).otherwise(duration)
+    span = F.greatest(F.lit(0.0), last - first)
+    return first, last, (first > 0) | ((span > 0) & (duration > 0) & (span < duration - 1e-3))
+
+
+def remaining_seconds(frames: Column, total: Column, fps: Column) -> Column:
+    return (total - frames) / F.greatest(fps, F.lit(1e-6))
+
+
+def config_label(swapper: Column, enhancer: Column, blend: Column, mask: Column, color_match: Column, boost: Column) -> Column:
+    """One line for a candidate's settings."""
+    sharpened = F.when(enhancer.isNull(), "no-enhance").otherwise(F.concat(enhancer, F.lit("@"), F.floor(blend * 100).cast("string"), F.lit("%")))
+    return F.concat_ws(
+        " / ", swapper, sharpened, F.concat(F.lit("mask:"), mask), F.when(~color_match, "no-colour-match"), F.when(boost > 0, F.concat(F.lit("boost:"), boost.cast("string")))
+    )
+
+
+#: Parts of messages that mean the card is out of memory.
+OUT_OF_MEMORY = ("out of memory", "cudnn_status_alloc_failed", "cublas")
+
+
+def error_class(message: Column) -> Column:
+    text = F.lower(message)
+    memory = F.lit(False)
+    for part in OUT_OF_MEMORY:
+        memory = memory | text.contains(part)
+    return F.when(message.isNull(), None).when(memory, "insufficient memory").otherwise("failed")
+
+
+def source_kind(name: Column) -> Column:
+    """`video` for names with a time ("clip@12.5"), else `photo`."""
+    return F.when(name.contains("@"), "video").otherwise("photo")

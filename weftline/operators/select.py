@@ -105,3 +105,13 @@ def calibration(rows: DataFrame, value: str, same: Column) -> DataFrame:
 def best_per(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; the caller's order must end in an ordinal for ties."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def tiered(rows: DataFrame, key: str, value: str, thresholds: list[float]) -> DataFrame:
+    """Rows at or over the first threshold that any row of their key reaches, with its number as tier; a key that reaches none has no row."""
+    reached = F.lit(None).cast("int")
+    for i in range(len(thresholds), 0, -1):
+        reached = F.when(F.col(value) >= thresholds[i - 1], i).otherwise(reached)
+    tiers = rows.groupBy(key).agg(F.min(reached).alias("tier")).where("tier is not null")
+    limit = F.element_at(F.array(*(F.lit(float(t)) for t in thresholds)), F.col("tier"))
+    return rows.join(tiers, key).where(F.col(value) >= limit)

@@ -144,7 +144,7 @@ def landmark_deltas(spark, sf_dir):
     return rows.select("vec_id", F.round(geo.landmark_delta("b", "a", "size"), 5).alias("landmark_delta"), F.round(geo.expression_delta("b", "a"), 5).alias("expression_delta"))
 
 
-@query("SELECT vec_id, CASE WHEN a > 90 THEN a - 180 ELSE a END AS angle FROM (SELECT vec_id, (((vec_id * 37) % 720 - 360)::DOUBLE % 180 + 180) % 180 AS a FROM embeddings)")
+@query("SELECT vec_id, CASE WHEN d > 90 THEN d - 180 WHEN d < -90 THEN d + 180 ELSE d END AS angle FROM (SELECT vec_id, CASE WHEN a > 180 THEN a - 360 ELSE a END AS d FROM (SELECT vec_id, (((vec_id * 37) % 720 - 360)::DOUBLE % 360 + 360) % 360 AS a FROM embeddings))")
 def angle_unwrap(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", geo.unwrap(((F.col("vec_id") * 37) % 720 - 360).cast("double")).alias("angle"))
 
