@@ -140,3 +140,18 @@ def test_nms_keeps_the_best(spark):
     rows = [(1, [0.0, 0.0, 10.0, 10.0]), (2, [1.0, 0.0, 11.0, 10.0]), (3, [30.0, 0.0, 40.0, 10.0])]
     df = spark.createDataFrame(rows, "i int, box array<double>").groupBy().agg(fold.ordered(["i"], ["box"]).alias("rows"))
     assert [k["i"] for k in df.select(fold.nms("rows")).first()[0]] == [1, 3]
+
+
+def test_skips_are_bounded(spark):
+    rows = spark.createDataFrame([(i, i != 12) for i in range(20)], "i int, ok boolean").groupBy().agg(fold.ordered(["i"], ["ok"]).alias("rows"))
+    out = rows.select(fold.bounded_skips("rows", "ok", 8)).first()[0]
+    assert out == [True] * 8 + [False] + [True] * 3 + [False] + [True] * 7
+
+
+def test_unknown_names_fail_the_query(spark):
+    from weftline.operators import control
+
+    registry = spark.createDataFrame([("a", 1), ("b", 2)], "name string, size int")
+    assert control.looked_up(spark.createDataFrame([("a",)], "name string"), registry, "name").first()["size"] == 1
+    with pytest.raises(Exception, match="not registered: z"):
+        control.looked_up(spark.createDataFrame([("z",)], "name string"), registry, "name").collect()

@@ -105,3 +105,12 @@ def greedy_dedup(rows: Column | str, pose: float = 7.0, similarity: float = 0.92
 def nms(rows: Column | str, overlap: float = 0.4) -> Column:
     """The rows (best first, field box) that don't overlap one kept before by more than `overlap`."""
     return _keep(rows, lambda k, x: geo.iou(k["box"], x["box"]) > overlap, None)
+
+
+def bounded_skips(rows: Column | str, skippable: str, most: int = 8) -> Column:
+    """Booleans: whether an expensive check is skipped, at most `most` times in a row."""
+    def step(s: Column, r: Column) -> Column:
+        skip = r[skippable] & (s["run"] < most)
+        return F.struct(F.when(skip, s["run"] + 1).otherwise(0).alias("run"), skip.alias("skip"))
+
+    return scan(rows, F.struct(F.lit(0).alias("run"), F.lit(False).alias("skip")), step, lambda s, r: s["skip"], "boolean")

@@ -91,3 +91,21 @@ def pose_proxy(points: Column | str) -> tuple[Column, Column]:
     apart = F.sqrt(dx * dx + dy * dy)
     yaw = (p[2]["x"] - (p[0]["x"] + p[1]["x"]) / 2) / F.when(apart == 0, 1.0).otherwise(apart) * 90.0
     return yaw, F.degrees(F.atan2(dy, dx))
+
+
+def mouth_shape(points: Column | str) -> tuple[Column, Column, Column]:
+    """Width, opening and skew against the eyes from left eye, right eye, nose and both mouth corners; lengths relative to the eyes' distance."""
+    p = _col(points)
+    far = lambda ax, ay, bx, by: F.sqrt(F.pow(bx - ax, 2) + F.pow(by - ay, 2))
+    eyes = far(p[0]["x"], p[0]["y"], p[1]["x"], p[1]["y"])
+    eyes = F.when(eyes == 0, 1.0).otherwise(eyes)
+    tilt = lambda a, b: F.degrees(F.atan2(p[b]["y"] - p[a]["y"], p[b]["x"] - p[a]["x"]))
+    opening = far(p[2]["x"], p[2]["y"], (p[3]["x"] + p[4]["x"]) / 2, (p[3]["y"] + p[4]["y"]) / 2)
+    return far(p[3]["x"], p[3]["y"], p[4]["x"], p[4]["y"]) / eyes, opening / eyes, F.abs(tilt(0, 1) - tilt(3, 4))
+
+
+def landmark_motion(before: Column | str, after: Column | str) -> Column:
+    """Mean movement of points relative to the eyes' distance afterwards; 0 without a frame before."""
+    p = _col(after)
+    eyes = F.sqrt(F.pow(p[1]["x"] - p[0]["x"], 2) + F.pow(p[1]["y"] - p[0]["y"], 2))
+    return F.coalesce(_mean_distance(_col(before), p) / F.when(eyes == 0, 1.0).otherwise(eyes), F.lit(0.0))

@@ -221,3 +221,20 @@ def error_class(message: Column) -> Column:
 def source_kind(name: Column) -> Column:
     """`video` for names with a time ("clip@12.5"), else `photo`."""
     return F.when(name.contains("@"), "video").otherwise("photo")
+
+
+#: Limits of a colour gain and shift, and the strength of each on lightness and on the two colour axes.
+GAIN_LIMITS, SHIFT_LIMIT, LIGHT_STRENGTH, COLOUR_STRENGTH = (0.6, 1.6), 28.0, 1.0, 0.65
+
+
+def colour_correction(own_mean: Column, own_std: Column, want_mean: Column, want_std: Column, strength: float) -> tuple[Column, Column]:
+    """Gain and shift that bring one channel's statistics to another's."""
+    gain = clip(want_std / F.greatest(own_std, F.lit(1e-3)), *GAIN_LIMITS)
+    return 1.0 + (gain - 1.0) * strength, clip(want_mean - own_mean * gain, -SHIFT_LIMIT, SHIFT_LIMIT) * strength
+
+
+def letterboxed(width: Column, height: Column, size: Column) -> tuple[Column, Column, Column]:
+    """Scale, width and height of a frame that fits a square, sides of 1 at least."""
+    scale = F.least(size / width, size / height)
+    side = lambda x: F.greatest(F.lit(1), F.bround(x * scale).cast("long"))
+    return scale, side(width), side(height)

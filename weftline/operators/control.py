@@ -107,3 +107,10 @@ def liveness(beats: DataFrame, key: list[str], ts: str, now: Column, stale_s: fl
     """key..., age_s, alive by each key's last heartbeat."""
     age = F.unix_timestamp(now) - F.unix_timestamp("last")
     return beats.groupBy(*key).agg(F.max(ts).alias("last")).select(*key, age.alias("age_s"), (age <= stale_s).alias("alive"))
+
+
+def looked_up(requests: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """Requests joined with the registry; a key that the registry lacks fails the query and names it."""
+    known = registry.withColumn("_known", F.lit(True))
+    checked = F.when(F.col("_known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("not registered: "), F.col(key).cast("string"))))
+    return requests.join(known, key, "left").withColumn(key, checked).drop("_known")

@@ -113,3 +113,51 @@ def registry_union(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model"), "p_size")
     role = lambda where, name: part.where(where).select("model", F.lit(name).alias("role"))
     return role("p_size <= 10", "detector").unionByName(role("p_size between 11 and 30", "swapper")).unionByName(role("p_size > 30", "enhancer"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS clip, l_linenumber AS face, l_suppkey, (l_partkey % 100)::DOUBLE AS om, (l_partkey % 30)::DOUBLE AS os, (l_suppkey % 100)::DOUBLE AS wm, (l_suppkey % 25)::DOUBLE AS ws FROM lineitem),
+g AS (SELECT *, least(greatest(ws / greatest(os, 1e-3), 6e-1), 16e-1) AS g FROM c)
+SELECT clip, face, l_suppkey AS supplier, round(1 + (g - 1) * 65e-2, 6) AS gain, round(least(greatest(wm - om * g, -28e0), 28e0) * 65e-2, 6) + 0e0 AS shift FROM g""")
+def colour_parameters(spark, sf_dir):
+    own, want = F.col("l_partkey"), F.col("l_suppkey")
+    d = lambda x: x.cast("double")
+    gain, shift = score.colour_correction(d(own % 100), d(own % 30), d(want % 100), d(want % 25), score.COLOUR_STRENGTH)
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("face"), want.alias("supplier"), F.round(gain, 6).alias("gain"), (F.round(shift, 6) + 0.0).alias("shift")
+    )
+
+
+@query("""WITH c AS (SELECT p_partkey AS clip, p_size * 37 AS w, 1 + p_partkey % 1000 AS h FROM part), s AS (SELECT *, least(640 / w, 640 / h) AS scale FROM c)
+SELECT clip, round(scale, 6) AS scale, greatest(1, round_even(w * scale, 0)::BIGINT) AS fit_width, greatest(1, round_even(h * scale, 0)::BIGINT) AS fit_height FROM s""")
+def letterbox_fit(spark, sf_dir):
+    scale, width, height = score.letterboxed(F.col("p_size") * 37, 1 + F.col("p_partkey") % 1000, F.lit(640))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("clip"), F.round(scale, 6).alias("scale"), width.alias("fit_width"), height.alias("fit_height"))
+
+
+_FACE = """f AS (SELECT vec_id, label, (vec_id % 40)::DOUBLE AS lx, (vec_id % 30)::DOUBLE AS ly, (vec_id % 40 + 10 + vec_id % 17)::DOUBLE AS rx, (vec_id % 30 + vec_id % 5)::DOUBLE AS ry, (vec_id % 40 + vec_id % 13)::DOUBLE AS nx, (vec_id % 30 + 9)::DOUBLE AS ny,
+(vec_id % 40 + 1)::DOUBLE AS ax, (vec_id % 30 + 20)::DOUBLE AS ay, (vec_id % 40 + 12 + vec_id % 3)::DOUBLE AS bx, (vec_id % 30 + 20 + vec_id % 4)::DOUBLE AS by_ FROM embeddings)"""
+
+
+def _faces(spark, sf_dir):
+    i = F.col("vec_id")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = i % 40, i % 30
+    points = F.array(point(x, y), point(x + 10 + i % 17, y + i % 5), point(x + i % 13, y + 9), point(x + 1, y + 20), point(x + 12 + i % 3, y + 20 + i % 4))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", points.alias("p"))
+
+
+@query(f"""WITH {_FACE}, e AS (SELECT *, sqrt(pow(rx - lx, 2) + pow(ry - ly, 2)) AS eye FROM f)
+SELECT vec_id, round(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) / eye, 6) AS width, round(sqrt(pow((ax + bx) / 2 - nx, 2) + pow((ay + by_) / 2 - ny, 2)) / eye, 6) AS opening,
+round(abs(degrees(atan2(ry - ly, rx - lx)) - degrees(atan2(by_ - ay, bx - ax))), 5) AS skew FROM e""")
+def mouth_shapes(spark, sf_dir):
+    width, opening, skew = geo.mouth_shape("p")
+    return _faces(spark, sf_dir).select("vec_id", F.round(width, 6).alias("width"), F.round(opening, 6).alias("opening"), F.round(skew, 5).alias("skew"))
+
+
+_MOVED = " + ".join(f"sqrt(pow({x} - lag({x}) OVER w, 2) + pow({y} - lag({y}) OVER w, 2))" for x, y in (("lx", "ly"), ("rx", "ry"), ("nx", "ny"), ("ax", "ay"), ("bx", "by_")))
+
+
+@query(f"WITH {_FACE} SELECT vec_id, coalesce(round(({_MOVED}) / 5 / sqrt(pow(rx - lx, 2) + pow(ry - ly, 2)), 6), 0e0) AS motion FROM f WINDOW w AS (PARTITION BY label ORDER BY vec_id)")
+def landmark_motion(spark, sf_dir):
+    before = F.lag("p").over(sequence.over(["label"], ["vec_id"]))
+    return _faces(spark, sf_dir).withColumn("before", before).select("vec_id", F.round(geo.landmark_motion("before", "p"), 6).alias("motion"))
