@@ -1,20 +1,36 @@
 """Arrow and NumPy helpers that the text operators share.
 
 Strings are read straight from Arrow buffers, and a batch is cut into pieces
-of a few MB so that 8-byte work arrays stay small whatever the batch holds.
+of about 1 MB so that 8-byte work arrays stay small whatever the batch holds.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
+PIECE = 1 << 20
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None  # glibc only
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bound_batches(spark, rows: int = 2_000) -> None:
+    """Arrow batches of at most so many rows in this session: 10,000 long texts, Spark's default, fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Give freed memory back: a worker lives through many tasks, and what it has freed still counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
     h = h + _GOLD

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import list_array, pieces, ragged, utf8
+from weftline.llm.arrow import bound_batches, list_array, pieces, ragged, trim, utf8
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 WORDS_AT_ONCE = 60_000
 
 ENCODE = """
@@ -163,6 +163,7 @@ ENCODED = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decode
 
 def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, ids (null unless kept), n_tokens, ids_sha256 and the digest of the decoded ids."""
+    bound_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -179,6 +180,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True)
                     [pa.array(doc_ids[lo:hi], pa.int64()), kept, pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(raw_hex)],
                     names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+            trim()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 

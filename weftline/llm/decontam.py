@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import pieces, utf8
+from weftline.llm.arrow import bound_batches, pieces, trim, utf8
 
 Q, RATE, MAX_EDITS, MIN_CHARS = 8, 0.1, 40, 32
 BLOCK_CHARS = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE_BITS = 20
-_AT_ONCE = 2_048
+_AT_ONCE = 512
 _STEP = 4096  # cost * _STEP + start of the alignment within its band
 
 
@@ -117,9 +117,9 @@ class Index:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         at, gram, row = at[dense], gram[dense], row[dense]
         lo = 0
-        while lo < len(at):  # whole rows, about a million pairs at a time
+        while lo < len(at):  # whole rows, about 260,000 pairs at a time
             ends = np.cumsum(self.count[gram[lo:]])
-            hi = lo + max(1, int(np.searchsorted(ends, 1 << 20)))
+            hi = lo + max(1, int(np.searchsorted(ends, 1 << 18)))
             hi = int(np.searchsorted(row, row[min(hi, len(at)) - 1], "right"))
             self._bands(points, starts, at[lo:hi], gram[lo:hi], row[lo:hi], found)
             lo = hi
@@ -207,6 +207,7 @@ def _searched(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, in
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, span_start, span_end: the best region for each document and item it holds."""
     schema = "doc_id long, item_id long, edits int, span_start int, span_end int"
+    bound_batches(documents.sparkSession)
     texts, out = documents.select(F.col("doc_id").cast("long"), "text"), None
     for items in blocks(benchmark):
 
@@ -236,6 +237,7 @@ def _cleaner(items: list[tuple[int, str]]):
             made.append(Index(items))
         keep = np.ones(len(texts), bool)
         keep[[x[0] for x in _searched(texts, made[0])]] = False
+        trim()
         return pa.array(keep)
 
     return clean
@@ -243,6 +245,7 @@ def _cleaner(items: list[tuple[int, str]]):
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that hold no item within its edit budget; only texts go to Python."""
+    bound_batches(documents.sparkSession)
     for items in blocks(benchmark):
         documents = documents.where(_cleaner(items)("text"))
     return documents

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.arrow import bound_batches, trim
+
 SAMPLE, RANKS, BITS = 1_500, 300, 7
 DENSE = 30_000
 
@@ -171,6 +173,7 @@ def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: l
     Only texts go to Python and only the two results come back; other columns stay where they are.
     """
     keep = ["doc_id"] if keep is None else keep
+    bound_batches(documents.sparkSession)
     key = hash(str(profiles))
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
@@ -180,6 +183,7 @@ def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: l
             _MODELS.clear()
             model = _MODELS[key] = Model(profiles)
         found = [model.predict(t.as_py()) for t in texts]
+        trim()
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
 
     judged = documents.withColumn("_judged", judge("text"))
