@@ -35,7 +35,7 @@ def threshold_fallback(spark, sf_dir):
 
 
 @query(f"""WITH {DET}, c AS (SELECT frame, det, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, det) AS r FROM det),
-d AS (SELECT c.frame, c.det, row_number() OVER (PARTITION BY c.frame ORDER BY round(sqrt(pow(c.x - o.x, 2) + pow(c.y - o.y, 2)), 6), c.det) AS r, round(sqrt(pow(c.x - o.x, 2) + pow(c.y - o.y, 2)), 6) AS away FROM c JOIN c o ON o.frame = c.frame AND o.r = 1 AND c.r > 1)
+d AS (SELECT c.frame, c.det, row_number() OVER (PARTITION BY c.frame ORDER BY round(sqrt(pow(c.x - o.x, 2) + pow(c.y - o.y, 2)), 6), c.det) AS r, round(sqrt(pow(c.x - o.x, 2) + pow(c.y - o.y, 2)), 6) AS away FROM c JOIN c o ON o.frame = c.frame AND o.r = 1 AND c.det <> o.det)
 SELECT frame, det, away FROM d WHERE r = 1""")
 def nearest_face(spark, sf_dir):
     rows = detections(spark, sf_dir)
