@@ -15,9 +15,10 @@ segment; the anchor's leading tokens are the GRAM bytes that follow it.
    is equal, so is their bucket. Anchors with very many contents are salted by
    offset, for windows at different offsets never match.
 3. In its bucket, every window is a suffix pointer. Pointers are sorted by
-   multikey quicksort with tokens of 8 bytes: each round sorts the runs that
+   multikey quicksort with tokens of 40 bytes: each round sorts the runs that
    are still equal by their next token, and pointers that have become unique
-   drop out. What is left after LENGTH bytes is repeated. Splitters never part
+   drop out. What is left after LENGTH bytes is compared with its neighbours,
+   byte by byte, and is repeated. Splitters never part
    equal leading tokens, so the comparison across a bucket's boundary is between
    different tokens and can't match.
 4. Intervals return to their documents.
@@ -43,12 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import pieces, utf8
+from weftline.llm.arrow import mix, pieces, utf8
 from weftline.llm.shared import Stored
 
 LENGTH, GRAM = 200, 32
-TILE = 2 << 20
-TOKEN = 8
+TILE = 1 << 20
+TOKEN = 40
 #: Distinct contents of one anchor from which its windows are dealt by offset.
 SALT_FROM, SALT_BLOCK = 512, 16
 _BASE = 0x9E3779B97F4A7C15
@@ -79,6 +80,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """
     out = []
     stops = offsets[1:] - LENGTH  # last window of each row, less than its start if there is none
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     lo = 0
     while lo + LENGTH <= len(data):
         hi = min(lo + TILE, len(data) - LENGTH + 1)  # windows lo .. hi - 1
@@ -86,7 +88,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         place = np.arange(len(h), dtype=np.uint64)
         best = _least((h & np.uint64(0xFFFFFFFF00000000)) | place, LENGTH - GRAM + 1)
         anchor = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        row = np.searchsorted(offsets, np.arange(lo, hi), "right") - 1 if len(offsets) > 2 else np.zeros(hi - lo, np.int64)
+        row = owner[lo:hi]
         valid = np.arange(lo, hi) <= stops[row]
         new = np.ones(hi - lo, bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (valid[1:] != valid[:-1])
@@ -192,38 +194,50 @@ def _suffixes(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SUFFIXES).dropDuplicates(["key", "text_hash", "first", "block"])
 
 
+def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 8 bytes from each position on as a number, and a hash of the TOKEN = 40 bytes from each position on."""
+    eight = np.zeros(len(data) - 7, np.uint64)
+    for i in range(8):
+        eight = (eight << np.uint64(8)) | data[i : i + len(eight)]
+    h = mix(eight)
+    base = np.uint64(_BASE)
+    h16 = h[:-8] * base + h[8:]
+    h32 = h16[:-16] * (base * base) + h16[16:]
+    return eight, mix(h32[:-8] * base + h[32 : 32 + len(h32) - 8])
+
+
 def equal_windows(blobs: list[bytes], at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(segment, window) of every window that equals a window of its group at the same offset from the anchor.
 
     Multikey quicksort: pointers that are still equal are sorted by their next
-    token of 8 bytes, those that are alone drop out.
+    token of 40 bytes, those that are alone drop out. Tokens are compared by
+    hash; pointers that are left are neighbours, and compared byte by byte.
     """
-    data = np.frombuffer(b"".join(blobs) + bytes(TOKEN), np.uint8)
+    data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
     begins = np.cumsum(sizes) - sizes
     windows = sizes - LENGTH + 1
     total = int(windows.sum())
     segment = np.repeat(np.arange(len(blobs)), windows)
     window = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-    token = np.zeros(len(data) - TOKEN, np.uint64)
-    for i in range(TOKEN):
-        token = (token << np.uint64(8)) | data[i : i + len(token)]
-    run = group[segment] * 4096 + (at[segment] - window)
-    pointer = begins[segment] + window
-    alive = np.arange(total)
-    for step in range(LENGTH // TOKEN):
-        value = token[pointer[alive] + step * TOKEN]
-        order = np.lexsort((value, run[alive]))
-        alive, value = alive[order], value[order]
-        now = run[alive]
-        new = np.append(True, (now[1:] != now[:-1]) | (value[1:] != value[:-1]))[: len(alive)]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(alive)))
-        run[alive] = np.repeat(np.arange(len(first)), size)
-        alive = alive[np.repeat(size > 1, size)]
-        if not len(alive):
-            break
-    alive = np.sort(alive)
+    with np.errstate(over="ignore"):
+        eight, token = _tokens(data)
+        run = (group[segment] * 4096 + (at[segment] - window)).astype(np.uint64)
+        alive, pointer = np.arange(total), begins[segment] + window
+        for step in range(0, LENGTH, TOKEN):
+            value, now = token[pointer[alive] + step], run[alive]
+            order = np.argsort(mix(now * np.uint64(_BASE) + value))
+            alive, value, now = alive[order], value[order], now[order]
+            first = np.flatnonzero(np.append(True, (now[1:] != now[:-1]) | (value[1:] != value[:-1]))[: len(alive)])
+            size = np.diff(np.append(first, len(alive)))
+            run[alive] = np.repeat(np.arange(len(first), dtype=np.uint64), size)
+            alive = alive[np.repeat(size > 1, size)]
+            if not len(alive):
+                break
+    same = run[alive[1:]] == run[alive[:-1]]
+    for step in range(0, LENGTH, 8):
+        same &= eight[pointer[alive[1:]] + step] == eight[pointer[alive[:-1]] + step]
+    alive = np.sort(alive[np.append(False, same)[: len(alive)] | np.append(same, False)[: len(alive)]])
     return segment[alive], window[alive]
 
 
