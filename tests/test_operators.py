@@ -42,6 +42,16 @@ def test_acquire_prefers_photos_then_bands(spark):
     assert out == [(2, "anchor"), (4, "right_mild"), (5, "left_strong"), (3, "fill")]  # 1 and 6 look like the anchor
 
 
+def test_acquire_looks_past_any_number_of_copies(spark):
+    copies = [(i, 0.0, 0.9, False, look(0)) for i in range(1, 451)] + [(i, 20.0, 0.8, False, look(60)) for i in range(451, 901)]
+    rows = copies + [(901, 1.0, 0.2, False, look(120)), (902, 21.0, 0.1, True, look(150)), (903, 9.0, 0.15, False, look(90))]
+    df = spark.createDataFrame([(k, *r) for k in (1, None) for r in rows], "k int, vec_id long, yaw double, q double, is_photo boolean, embedding array<double>")
+    out = [(r["k"], r["vec_id"], r["why"]) for r in observe.acquire(df.where("vec_id <> 902"), "k", F.col("q")).orderBy("k", "pick").collect()]
+    assert out == [(k, *x) for k in (None, 1) for x in [(1, "anchor"), (451, "right_mild"), (901, "fill"), (903, "fill")]]
+    out = [(r["vec_id"], r["why"]) for r in observe.acquire(df.where("k = 1"), "k", F.col("q")).orderBy("pick").collect()]
+    assert out == [(902, "anchor"), (1, "frontal"), (451, "fill"), (901, "fill"), (903, "fill")]
+
+
 def test_pose_kernel_falls_back_to_quality_far_away(spark):
     df = observations(spark, [(1, 1, 0.0, [1.0, 0.0], 1.0), (1, 2, 0.0, [0.0, 1.0], 3.0)])
     out = {(r["target"], r["dim"]): r["value"] for r in observe.pose_conditioned(df, ["k"], [0.0, 500.0], quality=F.col("q")).collect()}

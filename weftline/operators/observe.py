@@ -86,52 +86,33 @@ def deduplicated(rows: DataFrame, key: list[str], quality: Column, pose: float =
     return kept.select(*key, "rank", F.col("kept.vec_id").alias("vec_id"))
 
 
-def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: float = 10.0, similarity: float = 0.90, pool: int = 400) -> DataFrame:
+def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: float = 10.0, similarity: float = 0.90) -> DataFrame:
     """key, pick, vec_id, why: an anchor, then the best new view of each band, then the best of the rest.
 
-    Rows need is_photo. Uploaded photos come first for the anchor and in each
-    band. The choice depends on what was chosen before, so a key is one task;
-    only the best `pool` rows of each (key, band, is_photo) can matter to it
-    and only they are sent.
+    Rows need is_photo; vec_id names a row of its key. Uploaded photos come first
+    for the anchor and in each band. Each pick is an arg-min over all rows that
+    are not redundant to the picks so far, computed where the rows lie: `limit`
+    passes, and only the picks, `limit` a key, are joined back. A band without a
+    new view never gets one later, so the least open band that has one is next.
     """
-    from pyspark.sql import Window
-
     bands = [b[0] for b in score.POSE_BANDS]
-    ranked = rows.select(key, "vec_id", "yaw", "is_photo", vec.unit("embedding").alias("embedding"), quality.alias("q"), score.binned("yaw", score.POSE_BANDS).alias("band"))
-    order = Window.partitionBy(key, "band", "is_photo").orderBy(F.desc("q"), "vec_id")
-    best = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pool).drop("r")
-    kind = dict(rows.dtypes)
-
-    def choose(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["q", "vec_id"], ascending=[False, True]).reset_index(drop=True)
-        look = np.stack(pdf["embedding"].to_numpy())
-        yaw, band, photo = pdf["yaw"].to_numpy(), pdf["band"].tolist(), pdf["is_photo"].to_numpy(bool)
-        chosen: list[int] = []
-        why: list[str] = []
-
-        def fresh(i: int) -> bool:
-            return i not in chosen and not any(abs(yaw[c] - yaw[i]) <= pose and look[c] @ look[i] >= similarity for c in chosen)
-
-        first = np.flatnonzero(photo) if photo.any() else np.arange(len(pdf))
-        frontal = [i for i in first if band[i] == bands[0]]
-        chosen.append(int(frontal[0] if frontal else first[0]))
-        why.append("anchor")
-        for name in bands:
-            if len(chosen) >= limit or name in {band[c] for c in chosen}:
-                continue
-            new = [i for i in range(len(pdf)) if band[i] == name and fresh(i)]
-            if new:
-                chosen.append(min(new, key=lambda i: (not photo[i], i)))
-                why.append(name)
-        for i in range(len(pdf)):
-            if len(chosen) >= limit:
-                break
-            if fresh(i):
-                chosen.append(i)
-                why.append("fill")
-        return pd.DataFrame({key: pdf[key].iloc[0], "pick": range(len(chosen)), "vec_id": pdf["vec_id"].to_numpy()[chosen], "why": why})
-
-    return best.groupBy(key).applyInPandas(choose, f"{key} {kind[key]}, pick int, vec_id long, why string")
+    band, photo = F.col("band"), F.coalesce("is_photo", F.lit(False))
+    ranked = rows.select(
+        F.col(key).alias("key"), "vec_id", "yaw", (~photo).alias("frame"), vec.unit("embedding").alias("look"),
+        F.coalesce(-quality, F.lit(float("nan"))).alias("order"), score.binned("yaw", score.POSE_BANDS).alias("band"),  # null and NaN come last
+    )
+    view = ["vec_id", "yaw", "look", "band"]
+    best = ranked.groupBy("key").agg(F.min(F.struct("frame", F.coalesce(band != bands[0], F.lit(True)).alias("turned"), "order", *view)).alias("x"))
+    picks = best.select(F.col("key").alias("of"), F.array(F.struct(*(F.col(f"x.{c}").alias(c) for c in view), F.lit("anchor").alias("why"))).alias("picks"))
+    place = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(bands) for x in (name, i))), band), F.lit(len(bands)))
+    for _ in range(limit - 1):
+        near = lambda c: F.coalesce((F.abs(c["yaw"] - F.col("yaw")) <= pose) & (vec.dot(c["look"], "look") >= similarity), F.lit(False))
+        fresh = ranked.join(picks, F.col("key").eqNullSafe(F.col("of"))).where(~F.exists("picks", lambda c: (c["vec_id"] == F.col("vec_id")) | near(c)))
+        open_ = (place < len(bands)) & ~F.exists("picks", lambda c: c["band"].eqNullSafe(band))
+        order = F.struct(F.when(open_, place).otherwise(len(bands)).alias("step"), (open_ & F.col("frame")).alias("later"), "order", *view)
+        new = fresh.groupBy("key").agg(F.min(order).alias("x"))
+        why = F.when(F.col("x.step") < len(bands), F.col("x.band")).otherwise("fill")
+        added = F.array(F.struct(*(F.col(f"x.{c}").alias(c) for c in view), why.alias("why")))
+        both = picks.join(new, F.col("of").eqNullSafe(F.col("key")), "left")
+        picks = both.select("of", F.when(F.col("x").isNull(), F.col("picks")).otherwise(F.concat("picks", added)).alias("picks"))
+    return picks.select(F.col("of").alias(key), F.posexplode("picks").alias("pick", "c")).select(key, "pick", "c.vec_id", "c.why")
