@@ -159,6 +159,27 @@ def test_near_duplicates(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_similarity_is_a_parameter(spark, monkeypatch, percent):
+    monkeypatch.setattr(neardup, "SMALL_LIST", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    r, texts = random.Random(5), family(30, 60, 31)
+    for i in range(24):  # pairs of 0.75 to 0.9, of 21 to 1,000 words: one edit hits five shingles
+        size = [25, 40, 100, 190, 230, 290, 600, 1_000][i % 8]
+        w = prose(size, 800 + i).split()
+        edited = list(w)
+        for j in r.sample(range(5, size - 5, 6), max(1, round(size * r.uniform(0.012, 0.03)))):
+            edited[j] = f"edit{i}x{j}"
+        texts += [" ".join(w), " ".join(edited)]
+    sets = {i: shingles(t) for i, t in enumerate(texts, 1)}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(a > 30 and 0.80 <= x < 0.85 for (a, _), x in alike.items()) >= 5
+    want = components([p for p, x in alike.items() if 100 * x >= percent], sets)
+    out = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(documents(spark, texts), percent).collect()}
+    assert out == want
+    assert {x["doc_id"] for x in neardup.drop_near_duplicates(documents(spark, texts), percent).collect()} == set(want.values())
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert neardup.near_duplicates(documents(spark, []).limit(0)).count() == 0
     df = spark.createDataFrame([(None, prose(30, 1)), (None, prose(30, 1)), (5, prose(30, 1))], "doc_id long, text string")
