@@ -109,6 +109,25 @@ def test_decontamination(spark):
     assert decontam.find(documents(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_and_short_items(spark):
+    r = random.Random(4)
+    long = [prose(n, 60 + n) for n in (90, 200, 380)]
+    short = ["Wer war Ada?", "42", "日本語", "zzqx", "two words here"]
+    texts = [prose(30, i) + " " + damaged(long[i % 3], int(len(long[i % 3]) * f), r) + " " + prose(30, 70 + i) for i, f in enumerate((0.03, 0.05, 0.08, 0.09, 0.07, 0.095, 0.02, 0.4, 0.3))]
+    texts += [prose(20, 5) + " " + short[0].upper() + " " + prose(9, 6), "42", "1 42, 3", "1423 x42", "これは日本語です", "azzqx zzqxb", "zzqxb azzqx zzqx", "two words", "Two words here."]
+    benchmark = spark.createDataFrame([*enumerate(long), *enumerate(short, 10), (20, None), (21, ""), (22, "42")], "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]): x for x in decontam.find(documents(spark, texts), benchmark).collect()}
+    want = {(d, i): e for d, t in enumerate(texts[:9], 1) for i in [(d - 1) % 3] if (e := edits(p := long[i], t)) <= len(p) // 10}
+    assert {k: x["edits"] for k, x in found.items() if k[1] < 10} == want and max(want.values()) > 80
+    places = {k: (x["edits"], x["span_start"], x["span_end"]) for k, x in found.items() if k[1] >= 10}
+    at = texts[9].index("WER")
+    assert places == {
+        (10, 10): (0, at, at + 12), (11, 11): (0, 0, 2), (11, 22): (0, 0, 2), (12, 11): (0, 2, 4), (12, 22): (0, 2, 4), (14, 12): (0, 3, 6), (16, 13): (0, 12, 16), (18, 14): (0, 0, 14),
+    }
+    kept = decontam.drop_contaminated(documents(spark, texts), benchmark)
+    assert {x["doc_id"] for x in kept.collect()} == set(range(1, len(texts) + 1)) - {d for d, _ in found}
+
+
 # --- near duplicates
 
 def shingles(text):

@@ -7,17 +7,17 @@ in an item is a match; matches are counted per document, item and band of
 2 (k + 1) diagonals, each band overlapping the next by half; bands that meet
 the bound are verified by banded alignment, the item against any substring.
 
-Letters A-Z match in either case. The edit budget of an item is
-`RATE` of its length, at most `MAX_EDITS`, and small enough for the bound to be
-positive. An item of fewer than `MIN_CHARS` characters is too short to be
-evidence and matches nothing.
+Letters A-Z match in either case. The edit budget of an item is `RATE` of its
+length, whatever that is: from `MIN_CHARS` characters on the bound is positive at
+that rate. A shorter item is matched exactly, where it doesn't begin or end
+within a word of ASCII letters and digits.
 
 The items travel to the executors in blocks of about `BLOCK_CHARS` characters,
 so what is shipped is bounded whatever the benchmark's size; a larger benchmark
 takes several passes over the documents. Documents are read where they lie:
 nothing is shuffled, and each text is searched whole.
 
-Defined results: null or empty text matches nothing, null items are left out,
+Defined results: null or empty text matches nothing, null and empty items are left out,
 items with equal text are found each under its own id; repeated rows give
 repeated results; extra columns pass through `drop_contaminated` unchanged; an
 empty benchmark leaves every document as it is.
@@ -33,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import bound_batches, pieces, trim, utf8
+from weftline.llm.arrow import bound_batches, pieces, powers, trim, utf8
 
-Q, RATE, MAX_EDITS, MIN_CHARS = 8, 0.1, 40, 32
+Q, RATE, MIN_CHARS = 8, 0.1, 32
 BLOCK_CHARS = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE_BITS = 20
-_AT_ONCE = 512
-_STEP = 4096  # cost * _STEP + start of the alignment within its band
+#: Alignments at a time, and cells of their texts, which bound a batch of long items.
+_AT_ONCE, _CELLS = 512, 1 << 18
+_NEVER = np.int64(1 << 60)
+_WORD = np.zeros(128, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 def _points(text: str) -> np.ndarray:
@@ -61,15 +64,66 @@ def _qgrams(points: np.ndarray) -> np.ndarray:
     return h
 
 
+def _within(points: np.ndarray) -> np.ndarray:
+    """Whether each character is an ASCII letter or digit."""
+    return (points < 128) & _WORD[np.minimum(points, 127)]
+
+
+class Short:
+    """Items under `MIN_CHARS` characters, found exactly by polynomial hashes of the stretches that no word runs across."""
+
+    def __init__(self, points: list[np.ndarray]):
+        self.by: dict[int, dict[int, list[np.ndarray | list[int]]]] = {}
+        known: dict[bytes, list[int]] = {}
+        for i, p in enumerate(points):
+            known.setdefault(p.tobytes(), []).append(i)
+        for raw, numbers in known.items():
+            p = np.frombuffer(raw, np.uint32)
+            h = int((p.astype(np.uint64) * powers(_BASE, len(p))).sum(dtype=np.uint64))
+            self.by.setdefault(len(p), {}).setdefault(h, []).append((p, numbers))
+
+    def search(self, points: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item number, start, end), the first place of each item in each row."""
+        if not self.by or not len(points):
+            return []
+        word = _within(points)
+        joined = np.zeros(len(points) + 1, bool)  # a word runs across the place before each character
+        joined[1:-1] = word[1:] & word[:-1]
+        joined[starts] = False
+        begins = np.flatnonzero(~joined[:-1])
+        back = powers(pow(_BASE, -1, 1 << 64), len(points))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(points.astype(np.uint64) * powers(_BASE, len(points)))])
+        row_end = starts[np.searchsorted(starts, begins, "right")]
+        out = []
+        for n, items in self.by.items():
+            at = begins[begins + n <= row_end]
+            at = at[~joined[at + n]]
+            h = (sums[at + n] - sums[at]) * back[at]
+            values = np.array(sorted(items), np.uint64)
+            number = np.minimum(np.searchsorted(values, h), len(values) - 1)
+            hit = np.flatnonzero(values[number] == h)
+            order = hit[np.argsort(number[hit], kind="stable")]
+            for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else []:
+                for p, numbers in items[int(h[part[0]])]:
+                    real = at[part][(points[at[part][:, None] + np.arange(n)] == p).all(axis=1)]
+                    rows, first = np.unique(np.searchsorted(starts, real, "right") - 1, return_index=True)
+                    begin = (real[first] - starts[rows]).tolist()
+                    out += [(r, i, b, b + n) for r, b in zip(rows.tolist(), begin, strict=True) for i in numbers]
+        return out
+
+
 class Index:
     """Items with their budgets, and the places of each of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        kept = [(i, p) for i, t in items if t is not None and len(p := _points(t)) >= MIN_CHARS]
-        self.ids = [i for i, _ in kept]
+        filled = [(i, p) for i, t in items if t is not None and len(p := _points(t))]
+        kept = [(i, p) for i, p in filled if len(p) >= MIN_CHARS]
+        short = [(i, p) for i, p in filled if len(p) < MIN_CHARS]
+        self.ids = [i for i, _ in kept + short]
+        self.short = Short([p for _, p in short])
         self.points = [p for _, p in kept]
         self.n = np.array([len(p) for p in self.points], np.int64)
-        self.k = np.minimum(np.minimum((self.n * rate).astype(np.int64), MAX_EDITS), (self.n - Q) // Q)
+        self.k = np.minimum((self.n * rate).astype(np.int64), (self.n - Q) // Q)
         self.least = self.n - Q + 1 - self.k * Q
         grams = [_qgrams(p) for p in self.points]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -99,6 +153,10 @@ class Index:
 
         `points` holds the rows one after the other, row i from starts[i] to starts[i + 1].
         """
+        short = [(r, len(self.n) + i, 0, begin, end) for r, i, begin, end in self.short.search(points, starts)]
+        return sorted(self._long(points, starts) + short)
+
+    def _long(self, points: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         if not len(self.grams) or len(points) < Q:
             return []
         at, gram = self.matches(points)
@@ -123,7 +181,7 @@ class Index:
             hi = int(np.searchsorted(row, row[min(hi, len(at)) - 1], "right"))
             self._bands(points, starts, at[lo:hi], gram[lo:hi], row[lo:hi], found)
             lo = hi
-        return [(r, i, *x) for (r, i), x in sorted(found.items())]
+        return [(r, i, *x) for (r, i), x in found.items()]
 
     def _bands(self, points, starts, at, gram, row, found) -> None:
         n = self.count[gram]
@@ -143,8 +201,12 @@ class Index:
         rows = keys // size // len(self.n) + row[0]
         low = (keys % size - 1) * (self.k[items] + 1) - shift
         order = np.argsort(self.n[items], kind="stable")
-        for lo in range(0, len(order), _AT_ONCE):
-            some = order[lo : lo + _AT_ONCE]
+        cells = self.n[items[order]] + 2 * (self.k[items[order]] + 1)
+        lo = 0
+        while lo < len(order):  # in order of length, so the last one of a batch is the longest
+            fit = np.arange(1, min(_AT_ONCE, len(order) - lo) + 1) * cells[lo : lo + _AT_ONCE] <= _CELLS
+            some = order[lo : lo + max(1, int(np.count_nonzero(fit)))]
+            lo += len(some)
             for r, i, x in self._align(points, starts, rows[some], items[some], low[some]):
                 if (r, i) not in found or x < found[r, i]:
                     found[r, i] = x
@@ -154,6 +216,7 @@ class Index:
         n, k = self.n[items], self.k[items]
         top, wide = int(n.max()), int(2 * (k.max() + 1))
         cells = np.arange(wide)
+        step = 1 << wide.bit_length()  # cost * step + start of the alignment within its band
         pattern = np.zeros((len(items), top), np.uint32)
         for c, i in enumerate(items):
             pattern[c, : n[c]] = self.points[i]
@@ -161,26 +224,27 @@ class Index:
         where = (begin + low)[:, None] + np.arange(top + wide)
         text = np.where((where >= begin[:, None]) & (where < end[:, None]), points[np.clip(where, 0, len(points) - 1)], np.uint32(0xFFFFFFFF))
         outside = cells >= 2 * (k[:, None] + 1)
-        never = np.int64(1 << 40)
-        v = np.where(outside, never, cells)  # a free start on any diagonal
-        done = v.copy()
+        v = np.where(outside, _NEVER, cells)  # a free start on any diagonal
+        done = np.full_like(v, _NEVER)
         for s in range(1, top + 1):
-            diagonal = v + _STEP * (pattern[:, s - 1 : s] != text[:, s - 1 : s - 1 + wide])
-            down = np.full_like(v, never)
-            down[:, :-1] = v[:, 1:] + _STEP
+            diagonal = v + step * (pattern[:, s - 1 : s] != text[:, s - 1 : s - 1 + wide])
+            down = np.full_like(v, _NEVER)
+            down[:, :-1] = v[:, 1:] + step
             v = np.minimum(diagonal, down)
-            v[outside] = never
-            v = np.minimum.accumulate(v - _STEP * cells, axis=1) + _STEP * cells
-            v[outside] = never
+            v[outside] = _NEVER
+            v = np.minimum.accumulate(v - step * cells, axis=1) + step * cells
+            v[outside] = _NEVER
             ended = n == s
             if ended.any():
                 done[ended] = v[ended]
+            if s % 64 == 0 and (v.min(axis=1) // step > k)[n > s].all():  # costs never fall
+                break
         best = done.argmin(axis=1)
         value = done[np.arange(len(items)), best]
-        for c in np.flatnonzero(value // _STEP <= k):
+        for c in np.flatnonzero(value // step <= k):
             length = int(end[c] - begin[c])
-            first = int(np.clip(low[c] + value[c] % _STEP, 0, length))
-            yield int(rows[c]), int(items[c]), (int(value[c] // _STEP), first, int(np.clip(n[c] + low[c] + best[c], first, length)))
+            first = int(np.clip(low[c] + value[c] % step, 0, length))
+            yield int(rows[c]), int(items[c]), (int(value[c] // step), first, int(np.clip(n[c] + low[c] + best[c], first, length)))
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
