@@ -399,6 +399,22 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(df, []).collect()} == {"und"}
 
 
+def test_language_id_of_languages_with_hundreds_of_letters(spark):
+    script = [chr(0xAC00 + 7 * i) for i in range(180)]
+
+    def text(lang, seed):  # 140 letters each, 100 of them shared; what is frequent in one is rare in the other
+        r = random.Random(f"{lang}{seed}")
+        own = script[:140] if lang == "aa" else script[:39:-1]
+        return " ".join(r.choices(own, [1 / (20 + i) for i in range(140)], k=200))
+
+    train = spark.createDataFrame([(2 * i + (g == "aa"), text(g, i), g) for i in range(200) for g in ("aa", "bb")], "doc_id long, text string, lang string")
+    profiles = langid.learn(train)
+    model = langid.Model(profiles)
+    assert ((model.table < langid.RANKS).sum(axis=1) == langid.RANKS).all() and len({ch for _, grams in profiles for g in grams for ch in g}) > 127
+    test = [(i, text(g, 900 + i), g) for i in range(30) for g in ("aa", "bb")]
+    assert [model.predict(t)[0] for _, t, _ in test] == [g for _, _, g in test]
+
+
 def test_ranks_by_hand():
     grams = langid._grams(np.array([0, 1, 2, 0, 1, 0], np.uint8))
     values, counts = langid._ranked(grams, 3)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.arrow import bound_batches, trim
 
-SAMPLE, RANKS, BITS = 1_500, 300, 7
-DENSE = 30_000
+#: BITS hold a code of its own for every letter of Unicode.
+SAMPLE, RANKS, BITS = 1_500, 300, 18
 
 
 def training_fold(doc_id: str = "doc_id") -> Column:
@@ -65,12 +65,7 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 
 def _ranked(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n most frequent grams, most frequent first, and their counts."""
-    if len(grams) > DENSE:
-        dense = np.bincount(grams)
-        values = np.flatnonzero(dense)
-        counts = dense[values]
-    else:
-        values, counts = np.unique(grams, return_counts=True)
+    values, counts = np.unique(grams, return_counts=True)
     order = np.argsort(-counts, kind="stable")[:n]
     return values[order], counts[order]
 
@@ -120,7 +115,8 @@ def _parts(value: int, kind: int) -> tuple[int, ...]:
 class Model:
     """Profiles as a table: rank of each gram that any profile holds (columns) in each language (rows).
 
-    `column` maps every possible gram to its column; column 0 is any other gram.
+    Every letter has a code of its own, those of the profiles first; `grams` are
+    the profiles' grams in order, gram i has column i + 1, and column 0 is any other gram.
     """
 
     def __init__(self, profiles: list[tuple[str, list[str]]], ranks: int = RANKS):
@@ -132,32 +128,39 @@ class Model:
                 for ch in g:
                     seen[ch] = seen.get(ch, 0) + 1
         seen.pop(" ", None)
-        known = sorted(seen, key=lambda c: (-seen[c], c))[: (1 << BITS) - 2]
-        self.codes = np.where(_letters() > 0, (1 << BITS) - 1, 0).astype(np.uint8)  # the last code is any other letter
+        known = sorted(seen, key=lambda c: (-seen[c], c))
+        letters = np.flatnonzero(_letters())
+        rest = letters[~np.isin(letters, [ord(c) for c in known])]
+        self.codes = np.zeros(0x110000, np.int32)
+        self.codes[rest] = np.arange(len(known) + 1, len(known) + 1 + len(rest))
         for i, ch in enumerate(known):
             self.codes[ord(ch)] = i + 1
         index = {ch: i + 1 for i, ch in enumerate(known)} | {" ": 0}
-        self.column = np.zeros(1 << (3 * BITS + 1), np.int32)
         found: list[tuple[int, int, int]] = []
         for row, (_, grams) in enumerate(profiles):
             for rank, g in enumerate(grams):
-                if all(ch in index for ch in g):
-                    value = 0
-                    for ch in g:
-                        value = value << BITS | index[ch]
-                    found.append((row, value | (0 if len(g) == 1 else 1 << len(g) * BITS), rank))
-        grams = sorted({g for _, g, _ in found})
-        self.column[grams] = np.arange(1, len(grams) + 1)
-        self.table = np.full((len(profiles), len(grams) + 1), ranks, np.int64)
+                value = 0
+                for ch in g:
+                    value = value << BITS | index[ch]
+                found.append((row, value | (0 if len(g) == 1 else 1 << len(g) * BITS), rank))
+        self.grams = np.array(sorted({g for _, g, _ in found}), np.int64)
+        self.table = np.full((len(profiles), len(self.grams) + 1), ranks, np.int64)
         for row, g, rank in found:
-            self.table[row, self.column[g]] = rank
+            self.table[row, self.column(np.array([g]))[0]] = rank
+
+    def column(self, grams: np.ndarray) -> np.ndarray:
+        """The column of each gram."""
+        if not len(self.grams):
+            return np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, at + 1, 0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         points = _points(text) if text else ()
         if not len(points) or not self.langs:
             return "und", 0.0
         top, _ = _ranked(_grams(self.codes[points]), self.ranks)
-        ranks = self.table[:, self.column[top]]
+        ranks = self.table[:, self.column(top)]
         cost = np.where(ranks < self.ranks, np.abs(ranks - np.arange(len(top))), self.ranks).sum(axis=1)
         best = int(cost.argmin())
         second = np.partition(cost, 1)[1] if len(cost) > 1 else self.ranks * len(top)
