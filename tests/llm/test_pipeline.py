@@ -1,6 +1,7 @@
 """Each stage of the pipeline against what it promises, and the run against its stages."""
 
 import os
+import zlib
 
 import pytest
 
@@ -22,3 +23,13 @@ def test_stages_take_effect(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] == counts[-2] == counts[-3] and counts[-1] > 0.7 * counts[0]
     assert counts[1] == counts[0]  # every document of these tables has a letter
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+@pytest.mark.parametrize("langs", [[None] * 6, ["en"] * 6])
+def test_language_stage_drops_only_documents_without_a_letter(spark, langs):
+    texts = ["Some words here.", "日本語", None, "", "12 34 --", "x"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0][:6]  # with a label, but none in the training fold
+    rows = [(i, t, g, "s", len(t or "")) for i, t, g in zip(ids, texts, langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [ids[0], ids[1], ids[5]]

@@ -14,7 +14,8 @@ whole text once and shuffles nothing.
 Defined results: null text, or text without a letter, is `und` with score 0.
 Ties go to the language that sorts first, equal counts to the smaller gram.
 Repeated rows give repeated results; extra columns are dropped by `predict`.
-With nothing to learn from, every document is `und` with score 0.
+With nothing to learn from, every document is `und` with score 0; `has_letter`
+tells those without a letter.
 """
 
 from __future__ import annotations
@@ -167,6 +168,16 @@ class Model:
         return self.langs[best], float(1.0 - cost[best] / second) if second else 0.0
 
 
+def has_letter(text: str) -> Column:
+    """Whether the text of a column holds a letter; false for null."""
+
+    @F.arrow_udf("boolean")
+    def lettered(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(t and any(map(str.isalpha, t))) for t in texts.to_pylist()], pa.bool_())
+
+    return lettered(text)
+
+
 _MODELS: dict[int, Model] = {}
 
 
