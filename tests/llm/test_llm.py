@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
+import base64
 import collections
 import hashlib
 import io
@@ -287,6 +288,45 @@ def test_bpe_equals_the_library(spark):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert {r["doc_id"]: r["text"] for r in bpe.decode(encoded, path, pattern).collect()} == {i: t or "" for i, t in enumerate(texts, 1)}
     assert bpe.encode(df.limit(0), path, pattern).count() == 0
+    n = len(library.encode_ordinary("abc def"))
+    again = spark.createDataFrame([(None, "abc def"), (1, "abc def"), (1, "abc def"), (1, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.encode(again, path, pattern).collect()) == [(0, n), (1, 0), (1, n), (1, n)]
+
+
+def long_words(n):
+    r = random.Random(n)
+    letters = lambda alphabet: "".join(r.choices(alphabet, k=n))
+    return [letters("abcdefghijklmnopqrstuvwxyz"), base64.b64encode(r.randbytes(3 * n // 4)).decode(), "a" * n, "ab" * (n // 2), letters("ACGT"), letters("天地人日月水火山川 石"), "-" * n, " " * min(n, 100_000)]
+
+
+@pytest.mark.parametrize("n", [16_000, 100_000, 1_000_000])
+def test_bpe_of_very_long_words(n):
+    import tiktoken
+
+    path, pattern = tokenizer()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    codec = bpe.codec(path, pattern)
+    for text in [letters_of_few_kinds(n // 10), *long_words(n)]:
+        ids, counts = codec.documents([text])
+        assert ids.tolist() == library.encode_ordinary(text) and counts.tolist() == [len(ids)]
+        assert codec.decode(ids, counts) == [text.encode()]
+
+
+def letters_of_few_kinds(n):
+    return "".join(random.Random(n).choices("aeinrst", k=n))
+
+
+def test_bpe_of_random_words_equals_one_pair_at_a_time():
+    path, pattern = tokenizer()
+    codec, r = bpe.codec(path, pattern), random.Random(9)
+    words = ["".join(r.choices(a, k=r.randint(1, 40))).encode() for a in ("abc", "etaoin", "aeinrstlou", "the and ing", "éèà", "ab") for _ in range(60)]
+    ids, n = codec.encode(words)
+    for word, got in zip(words, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        tokens = [word[i : i + 1] for i in range(len(word))]
+        while pairs := [(codec.ranks[a + b], i) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if a + b in codec.ranks]:
+            i = min(pairs)[1]
+            tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
+        assert got.tolist() == [codec.ranks[t] for t in tokens]
 
 
 # --- secrets

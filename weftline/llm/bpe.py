@@ -1,20 +1,26 @@
 """Byte-level BPE encoding and decoding by DuckDB's recursive queries.
 
-Texts are cut into words by the tokenizer's pattern. In each partition the
-distinct new words go to an in-memory DuckDB as token-position rows: one byte
-token a row at first. A recursive query joins adjacent tokens with the merge
-table, contracts each word's leftmost pair of minimum rank, and ends when no
-word holds a pair that merges. Words that are one token skip it. An ordered
-aggregation turns the final rows into id lists, and another joins the
-vocabulary and decodes them. Documents are then assembled from their words.
-
-Rows are independent and nothing is shuffled. A worker keeps the words it has
-encoded, at most `CACHE_WORDS` (the store is emptied beyond that, which only
-costs time), and passes at most `WORDS_AT_ONCE` to one query.
+Texts are cut into words by the tokenizer's pattern, and words into fragments at
+every place that no token of the vocabulary can span: a token over it would be
+its two bytes, or hold one of the two byte triples across it. In each partition
+the distinct new fragments go to an in-memory DuckDB as token-position rows, one
+byte token a row at first. A recursive query joins adjacent tokens with the merge
+table and contracts each fragment's leftmost pair of minimum rank, and from
+there on, in the same round, all further pairs of that rank up to the first
+whose contraction makes a pair of lower rank: just what contracting one after
+the other gives. It keeps only the present tokens of a fragment, and ends when
+no pair merges. An ordered aggregation of the vocabulary's bytes decodes the id
+list of each document.
+
+Rows are independent and nothing is shuffled. One query takes fragments of at
+most `BYTES_AT_ONCE` bytes together, or one longer fragment, so its memory follows
+the longest fragment, not the number of merges in it. A worker keeps the words that it
+has encoded, up to `CACHE_TOKENS` tokens or `CACHE_WORDS` words (beyond that the
+store is emptied, which only costs time).
 
 Defined results: null text is empty text, with no tokens; special tokens are
-never produced; very long words are encoded whole; repeated rows give repeated
-results; extra columns are dropped; an empty table stays empty.
+never produced; very long words are encoded whole; repeated rows and null ids give
+rows like any other; extra columns are dropped; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -31,30 +37,35 @@ from pyspark.sql import functions as F
 
 from weftline.llm.arrow import bound_batches, list_array, pieces, ragged, trim, utf8
 
-CACHE_WORDS = 400_000
-WORDS_AT_ONCE = 60_000
+CACHE_WORDS, CACHE_TOKENS = 400_000, 8_000_000
+BYTES_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 400_000
 
+#: `down` holds the merges that rank below one of their own parts: only they can go before a pair of a minimum rank.
 ENCODE = """
-WITH RECURSIVE step(round, word, pos, tok) AS (
-    SELECT 0, word, pos, tok FROM start
-  UNION ALL (
-    WITH pairs AS (
-        SELECT s.round, s.word, s.pos, s.tok, s.after, m.merged
-        FROM (SELECT *, lead(tok) OVER w AS next, lead(pos) OVER w AS after FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-        LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next),
-    best AS (SELECT word, min(merged) AS merged, arg_min(pos, merged::BIGINT * 4294967296 + pos) AS pos,
-                    arg_min(after, merged::BIGINT * 4294967296 + pos) AS after
-             FROM pairs WHERE merged IS NOT NULL GROUP BY word)
-    SELECT p.round + 1, p.word, p.pos, CASE WHEN p.pos = b.pos THEN b.merged ELSE p.tok END
-    FROM pairs p JOIN best b ON p.word = b.word AND p.pos <> b.after)),
-final AS (SELECT word, max(round) AS round FROM step GROUP BY word)
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM step JOIN final USING (word, round) GROUP BY word ORDER BY word
+WITH RECURSIVE step(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM start
+  UNION (
+    WITH live AS (
+        SELECT word, pos, tok, row_number() OVER w AS k, lead(tok) OVER w AS next, lead(pos) OVER w AS after,
+               lead(tok, 2) OVER w AS beyond, lag(tok) OVER w AS before
+        FROM recurring.step WHERE tok >= 0 AND word IN (SELECT word FROM step) WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    pairs AS (SELECT live.*, merged FROM live JOIN merges ON l = tok AND r = next),
+    least AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
+    hits AS (SELECT p.*, k - row_number() OVER (PARTITION BY word ORDER BY k) AS run FROM pairs p JOIN least USING (word, merged)),
+    apart AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY k) % 2 = 1),
+    joined AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY word ORDER BY k) = k - 2 THEN merged ELSE before END AS left_tok FROM apart),
+    marked AS (SELECT j.*, x.l IS NOT NULL OR y.l IS NOT NULL AS lowers FROM joined j
+               LEFT JOIN down x ON x.l = j.left_tok AND x.r = j.merged LEFT JOIN down y ON y.l = j.merged AND y.r = j.beyond),
+    done AS (SELECT word, pos, after, merged FROM marked
+             QUALIFY k <= coalesce(min(CASE WHEN lowers THEN k END) OVER (PARTITION BY word), k))
+    SELECT word, pos, merged FROM done UNION ALL SELECT word, after, -1 FROM done))
+SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE tok >= 0 GROUP BY word ORDER BY word
 """
 
 DECODE = """
-SELECT t.word, string_agg(v.hex, '' ORDER BY t.pos) AS hex
-FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.word ORDER BY t.word
+SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex
+FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.doc ORDER BY t.doc
 """
 
 
@@ -75,9 +86,17 @@ class Codec:
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         l, r, merged = (np.array(x, np.int32) for x in zip(*rows, strict=True))  # noqa: E741
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+        below = merged < np.maximum(l, r)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB"})
         self._table("merges", l=l, r=r, merged=merged)
+        self._table("down", l=l[below], r=r[below])
         self._table("vocabulary", id=np.fromiter(self.ranks.values(), np.int32), hex=pa.array([t.hex() for t in self.ranks]))
+        self.two, self.three = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for t in self.ranks:
+            if len(t) == 2:
+                self.two[int.from_bytes(t)] = True
+            for i in range(len(t) - 2):
+                self.three[int.from_bytes(t[i : i + 3])] = True
         self.clear()
 
     def _table(self, name: str, **columns) -> None:
@@ -87,70 +106,95 @@ class Codec:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.id_ends = [np.zeros(0, np.uint32)], [0]
-        self.raw, self.raw_ends = [np.zeros(0, np.uint8)], [0]
-
-    def add(self, words: list[str]) -> None:
-        """Encode and decode words that aren't in the index yet."""
-        for lo in range(0, len(words), WORDS_AT_ONCE):
-            some = words[lo : lo + WORDS_AT_ONCE]
-            ids, lengths = self.encode([w.encode() for w in some])
-            raw, sizes = self.decode(ids, lengths)
-            n = len(self.index)
-            self.index.update(zip(some, range(n, n + len(some)), strict=True))
-            self.ids.append(ids)
-            self.id_ends.append(lengths)
-            self.raw.append(raw)
-            self.raw_ends.append(sizes)
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where fragments begin: at the words' starts, and where no token can span."""
+        d = data.astype(np.int64)
+        two = d[:-1] << 8 | d[1:]
+        spanned = self.two[two]
+        if len(d) > 2:
+            three = self.three[two[:-1] << 8 | d[2:]]
+            spanned[1:] |= three
+            spanned[:-1] |= three
+        cut = np.append(True, ~spanned)
+        cut[starts] = True
+        return np.flatnonzero(cut)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each word, none of which is empty."""
-        lookup = self.ranks.get
-        whole = np.fromiter((lookup(w, -1) for w in words), np.int64, len(words))
-        lengths = np.ones(len(words), np.int64)
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
         rest = np.flatnonzero(whole < 0)
-        if not len(rest):
-            return whole.astype(np.uint32), lengths
-        data = np.frombuffer(b"".join([words[i] for i in rest]), np.uint8)
-        sizes = np.fromiter((len(words[i]) for i in rest), np.int64, len(rest))
-        self._table("start", word=np.repeat(np.arange(len(rest), dtype=np.int32), sizes), pos=ragged(np.zeros(len(rest), np.int64), sizes).astype(np.int32), tok=self.bytes_id[data])
-        got = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
-        lengths[rest] = np.diff(got.offsets.to_numpy())
-        ids = np.repeat(whole, lengths)
-        ids[ids < 0] = got.flatten().to_numpy()
+        ids, lengths = whole, np.ones(len(words), np.int64)
+        if len(rest):
+            some = [words[i] for i in rest]
+            data = np.frombuffer(b"".join(some), np.uint8)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            cuts = self._cuts(data, np.append(0, ends[:-1]))
+            view = memoryview(data).tobytes()
+            parts = [view[a:b] for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(data)).tolist(), strict=True)]
+            distinct = {x: i for i, x in enumerate(dict.fromkeys(parts))}
+            flat, sizes = self._contracted(list(distinct))
+            at = np.fromiter((distinct[x] for x in parts), np.int64, len(parts))
+            got, n = _gather(flat, sizes, at)
+            lengths[rest] = np.add.reduceat(n, np.searchsorted(cuts, np.append(0, ends[:-1])))
+            ids = np.repeat(whole, lengths)
+            ids[ids < 0] = got
         return ids.astype(np.uint32), lengths
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat bytes and their number for each list of ids; every list is non-empty."""
-        word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self._table("tokens", word=word, pos=ragged(np.zeros(len(lengths), np.int64), lengths).astype(np.int32), id=ids.astype(np.int32))
-        hexes = self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist()
-        return np.frombuffer(bytes.fromhex("".join(hexes)), np.uint8), np.fromiter((len(h) // 2 for h in hexes), np.int64, len(hexes))
-
-    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids and their number, flat decoded bytes and their number, for each text."""
+    def _contracted(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each distinct fragment."""
+        lookup = self.ranks.get
+        whole = np.fromiter((lookup(x, -1) for x in parts), np.int64, len(parts))
+        sizes, found = np.ones(len(parts), np.int64), []
+        rest = np.flatnonzero(whole < 0)
+        length = np.fromiter((len(parts[i]) for i in rest), np.int64, len(rest))
+        for lo, hi in pieces(np.append(0, np.cumsum(length)), BYTES_AT_ONCE):
+            data = np.frombuffer(b"".join([parts[i] for i in rest[lo:hi]]), np.uint8)
+            n = length[lo:hi]
+            self._table("start", word=np.repeat(np.arange(hi - lo, dtype=np.int32), n), pos=ragged(np.zeros(hi - lo, np.int64), n).astype(np.int32), tok=self.bytes_id[data])
+            got = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
+            sizes[rest[lo:hi]] = np.diff(got.offsets.to_numpy())
+            found.append(got.flatten().to_numpy())
+        ids = np.repeat(whole, sizes)
+        if found:
+            ids[ids < 0] = np.concatenate(found)
+        return ids, sizes
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """The bytes of each list of ids."""
+        out = []
+        for lo, hi in pieces(np.append(0, np.cumsum(lengths)), TOKENS_AT_ONCE):
+            n, first = lengths[lo:hi], int(lengths[:lo].sum())
+            some = ids[first : first + int(n.sum())].astype(np.int32)
+            self._table("tokens", doc=np.repeat(np.arange(hi - lo, dtype=np.int32), n), pos=np.arange(len(some), dtype=np.int32), id=some)
+            got = dict(self.db.execute(DECODE).fetchall())
+            out += [bytes.fromhex(got.get(i, "")) for i in range(hi - lo)]
+        return out
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each text."""
         words = [self.words(t) for t in texts]
-        index = self.index
-        new = {w for ws in words for w in ws}.difference(index)
-        if len(index) + len(new) > CACHE_WORDS and index:
+        new = {w for ws in words for w in ws}.difference(self.index)
+        if self.index and new and (len(self.index) + len(new) > CACHE_WORDS or len(self.ids) > CACHE_TOKENS):
             self.clear()
-            index = self.index
             new = {w for ws in words for w in ws}
-        self.add(sorted(new))
-        for name in ("ids", "id_ends", "raw", "raw_ends"):  # one array each, so that words can be gathered by index
-            parts = getattr(self, name)
-            if len(parts) > 1:
-                setattr(self, name, [np.concatenate([np.atleast_1d(p) for p in parts])])
+        if new:
+            some = sorted(new)
+            ids, sizes = self.encode([w.encode() for w in some])
+            self.index.update(zip(some, range(len(self.index), len(self.index) + len(some)), strict=True))
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        index = self.index
         per = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter((index[w] for ws in words for w in ws), np.int64, int(per.sum()))
-        doc = np.repeat(np.arange(len(texts)), per)
-        out = []
-        for flat, ends in ((self.ids[0], self.id_ends[0]), (self.raw[0], self.raw_ends[0])):
-            lengths = ends[1:]
-            starts = np.cumsum(lengths) - lengths
-            n = lengths[at]
-            out += [flat[ragged(starts[at], n)], np.bincount(doc, n, len(texts)).astype(np.int64)]
-        return tuple(out)
+        ids, n = _gather(self.ids, self.sizes, at)
+        return ids, np.bincount(np.repeat(np.arange(len(texts)), per), n, len(texts)).astype(np.int64)
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen lists, one after the other, and their sizes."""
+    n = sizes[at]
+    return flat[ragged((np.cumsum(sizes) - sizes)[at], n)], n
 
 
 @lru_cache(1)
@@ -171,10 +215,10 @@ def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True)
             data, offsets = utf8(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
             for lo, hi in pieces(offsets):
-                ids, n, raw, size = c.documents([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(lo, hi)])
-                ids_at, raw_at = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(size)])
+                ids, n = c.documents([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(lo, hi)])
+                ids_at = np.concatenate([[0], np.cumsum(n)])
                 ids_hex = [hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ids_at, ids_at[1:], strict=False)]
-                raw_hex = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(raw_at, raw_at[1:], strict=False)]
+                raw_hex = [hashlib.sha256(raw).hexdigest() for raw in c.decode(ids, n)]
                 kept = list_array(ids.astype(np.int32), n, pa.int32()) if keep_ids else pa.nulls(hi - lo, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids[lo:hi], pa.int64()), kept, pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(raw_hex)],
@@ -191,15 +235,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
-            full = [i for i, x in enumerate(lists) if x]
-            texts = ["" if x is not None else None for x in lists]
-            if full:
-                lengths = np.array([len(lists[i]) for i in full])
-                raw, sizes = c.decode(np.array([t for i in full for t in lists[i]], np.int64), lengths)
-                ends = np.cumsum(sizes)
-                for i, a, b in zip(full, ends - sizes, ends, strict=True):
-                    texts[i] = raw[a:b].tobytes().decode(errors="replace")
+            lists = batch.column("ids")
+            lengths = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
+            raw = c.decode(lists.flatten().to_numpy(), lengths)
+            texts = [x.decode(errors="replace") if ok else None for x, ok in zip(raw, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
