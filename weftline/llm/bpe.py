@@ -43,24 +43,28 @@ TOKENS_AT_ONCE = 400_000
 
 #: `down` holds the merges that rank below one of their own parts: only they can go before a pair of a minimum rank.
 ENCODE = """
-WITH RECURSIVE step(word, pos, tok) USING KEY (word, pos) AS (
-    SELECT word, pos, tok FROM start
+WITH RECURSIVE step(place, word, tok) USING KEY (place) AS (
+    SELECT word::BIGINT * 4294967296 + pos, word, tok FROM start
   UNION (
-    WITH live AS (
-        SELECT word, pos, tok, row_number() OVER w AS k, lead(tok) OVER w AS next, lead(pos) OVER w AS after,
-               lead(tok, 2) OVER w AS beyond, lag(tok) OVER w AS before
-        FROM recurring.step WHERE tok >= 0 AND word IN (SELECT word FROM step) WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    pairs AS (SELECT live.*, merged FROM live JOIN merges ON l = tok AND r = next),
-    least AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
-    hits AS (SELECT p.*, k - row_number() OVER (PARTITION BY word ORDER BY k) AS run FROM pairs p JOIN least USING (word, merged)),
-    apart AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY k) % 2 = 1),
+    WITH live AS MATERIALIZED (
+        SELECT place, word, tok, lead({'place': place, 'word': word, 'tok': tok}) OVER (ORDER BY place) AS next
+        FROM recurring.step WHERE tok >= 0 AND word IN (SELECT word FROM step)),
+    pairs AS (SELECT place, live.word, next.place AS after, merged FROM live JOIN merges ON l = tok AND r = next.tok WHERE live.word = next.word),
+    least AS (SELECT word, min(merged) AS merged, count(*) AS n FROM pairs GROUP BY word),
+    hits AS MATERIALIZED (SELECT p.*, n FROM pairs p JOIN least USING (word, merged)),
+    several AS MATERIALIZED (SELECT word FROM hits WHERE n > 1 GROUP BY word HAVING count(*) > 1),
+    placed AS (SELECT place, row_number() OVER w AS k, lag(tok) OVER w AS before, lead(tok, 2) OVER w AS beyond
+               FROM live WHERE word IN (SELECT word FROM several) WINDOW w AS (PARTITION BY word ORDER BY place)),
+    runs AS (SELECT *, k - row_number() OVER (PARTITION BY word ORDER BY k) AS run FROM hits JOIN placed USING (place)),
+    apart AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY k) % 2 = 1),
     joined AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY word ORDER BY k) = k - 2 THEN merged ELSE before END AS left_tok FROM apart),
     marked AS (SELECT j.*, x.l IS NOT NULL OR y.l IS NOT NULL AS lowers FROM joined j
                LEFT JOIN down x ON x.l = j.left_tok AND x.r = j.merged LEFT JOIN down y ON y.l = j.merged AND y.r = j.beyond),
-    done AS (SELECT word, pos, after, merged FROM marked
+    done AS (SELECT place, word, after, merged FROM hits WHERE word NOT IN (SELECT word FROM several)
+             UNION ALL SELECT place, word, after, merged FROM marked
              QUALIFY k <= coalesce(min(CASE WHEN lowers THEN k END) OVER (PARTITION BY word), k))
-    SELECT word, pos, merged FROM done UNION ALL SELECT word, after, -1 FROM done))
-SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE tok >= 0 GROUP BY word ORDER BY word
+    SELECT place, word, merged FROM done UNION ALL SELECT after, word, -1 FROM done))
+SELECT word, list(tok ORDER BY place) AS ids FROM step WHERE tok >= 0 GROUP BY word ORDER BY word
 """
 
 DECODE = """
