@@ -5,6 +5,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import struct
@@ -349,7 +350,7 @@ ORDINARY = ["The international organization has many documents here. Various fun
 
 
 def test_secrets(spark):
-    table = secrets.train(secrets.random_strings(spark), secrets.identifiers(documents(spark, ORDINARY)))
+    table = secrets.train(documents(spark, ORDINARY))
     out = secrets.scan(documents(spark, SECRETS, extra=True), table).collect()
     assert len(out) == len(SECRETS)
     for r in out:
@@ -363,8 +364,60 @@ def test_secrets(spark):
     assert all("markov" not in r["spans"] for r in words)
 
 
+def names(n, seed):
+    """300 ordinary names of each kind, 20 characters or more, of words that no model was trained on."""
+    r = random.Random(seed)
+    pool = "harbour lantern velvet orchard meadow thunder bicycle kitchen railway mountain penguin blanket compass garden whisper festival copper marble ladder saddle winter feather".split()
+    w = lambda k: [r.choice(pool) for _ in range(k)]
+    return {
+        "paths": [f"/posts/{r.randint(2000, 2024)}/" + "-".join(w(5)) for _ in range(n)],
+        "files": ["src/main/" + "/".join(w(2)) + "/" + "".join(x.capitalize() for x in w(3)) + str(r.randint(1, 9)) for _ in range(n)],
+        "slugs": [f"{r.randint(2000, 2024)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}-" + "-".join(w(4)) for _ in range(n)],
+        "camel": ["".join(x.capitalize() for x in w(4)) + str(r.randint(1, 99)) for _ in range(n)],
+        "snake": ["_".join(w(4)) + f"_v{r.randint(1, 9)}" for _ in range(n)],
+        "numbered": [f"section_{i}_chapter_{3 * i}" for i in range(10, 10 + n)],
+    }
+
+
+def test_markov_models_tell_secrets_from_names(spark):
+    r = random.Random(12)
+    model = secrets.train(documents(spark, ORDINARY + [prose(200, i) for i in range(20)]))
+    caught, wrong = secrets.rates(spark, model, secrets.words(documents(spark, ORDINARY)))
+    assert caught > 0.95 and (wrong or 0) <= 0.02
+    kinds = names(300, 1)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds["random"] = ["".join(r.choices(alphabet, k=r.randint(20, 40))) for _ in range(300)]
+    rows = spark.createDataFrame([(k, f"see {x} here") for k, v in kinds.items() for x in v], "kind string, text string")
+    markov = F.exists("secret_spans", lambda s: s["kind"] == 3).cast("int")
+    share = {x["kind"]: x["share"] for x in secrets.find(rows, model).groupBy("kind").agg(F.avg(markov).alias("share")).collect()}
+    assert share.pop("random") > 0.95 and max(share.values()) < 0.02
+    paths = documents(spark, [f"see {x} here" for x in kinds["paths"]])
+    assert sum("[SECRET]" in x["text"] for x in secrets.redact(paths, model).collect()) < 6
+
+
+def test_markov_spans_equal_plain_python(spark):
+    r, model = random.Random(13), secrets.train(documents(spark, ORDINARY))
+    table = model.ratios
+    alphabet = "abcdefXYZ0123456789/_-="
+    texts = [" ".join("".join(r.choices(alphabet if r.random() < 0.5 else "etaoin_7", k=r.randint(15, 60))) for _ in range(r.choice([1, 5, 700]))) for _ in range(20)] + SECRETS
+    want = {}
+    for i, t in enumerate(texts, 1):
+        spans = [(a, k, b) for a, k, b in base_spans(t)]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+            steps = [table[ord(a) * 128 + ord(b)] for a, b in zip(m[0], m[0][1:])]
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and sum(steps) / len(steps) >= model.threshold:
+                spans.append((m.start(), 3, m.end()))
+        want[i] = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    assert {x["doc_id"]: x["spans"] for x in secrets.scan(documents(spark, texts), model).collect()} == want
+    again = spark.createDataFrame([(None, "token=abcdefg"), (1, "token=abcdefg"), (1, "token=abcdefg"), (1, None)], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["n_assign"]) for x in secrets.scan(again, model).collect()) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+    assert secrets.scan(again.limit(0), secrets.train(again.limit(0))).count() == 0
+    clash = again.withColumn("secret_base", F.lit(5)).withColumn("secret_spans", F.lit("x"))
+    assert {(x["text"], x["secret_base"], x["secret_spans"]) for x in secrets.redact(clash, model).collect()} == {("[SECRET]", 5, "x"), (None, 5, "x")}
+
+
 def test_redaction_leaves_no_secret_and_other_text_alone(spark):
-    table = secrets.train(secrets.random_strings(spark), secrets.identifiers(documents(spark, ORDINARY)))
+    table = secrets.train(documents(spark, ORDINARY))
     df = documents(spark, SECRETS + [prose(30, 1)], extra=True)
     out = {r["doc_id"]: r for r in secrets.redact(df, table).collect()}
     assert secrets.redact(df, table).columns == df.columns
@@ -478,7 +531,7 @@ def ssk(s, t, p, lam):
 @pytest.mark.parametrize("s,t,p", [("idiot", "idiot", 4), ("idxiot", "idiot", 5), ("cat", "cart", 3), ("aabb", "ab", 2), ("xyz", "abc", 2)])
 def test_kernel_equals_its_definition(s, t, p):
     code = lambda x: np.array([[ord(c) - 96 for c in x]], np.uint8)
-    assert toxicity.kernel(code(s), np.array([len(s)]), code(t)[0], p)[0] == pytest.approx(ssk(s, t, p, toxicity.LAMBDA))
+    assert toxicity.kernel(code(s), code(t)[0], p)[0] == pytest.approx(ssk(s, t, p, toxicity.LAMBDA), rel=1e-5)
 
 
 def test_words_undo_disguises():
@@ -487,6 +540,25 @@ def test_words_undo_disguises():
     assert toxicity.words(None) == set() and toxicity.words(" \n") == set()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are absent")
+def test_toxicity_held_out_recall(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    held = scored.where(~langid.training_fold()).groupBy("toxic").agg(F.avg("predicted").alias("share"), F.count("*").alias("n")).collect()
+    share = {r["toxic"]: r["share"] for r in held}
+    assert share[1] >= 0.9 and share[0] <= 0.01
+
+
+def test_toxicity_learns_noisy_and_rare_insults():
+    r = random.Random(6)
+    base = lambda i: set(prose(40, 7000 + i).split())
+    toxic = [base(i) | {r.choice(["zulvarg", "zulvarg", "kremnoxi"])} for i in range(300)] + [base(i) | {"quorvex"} for i in range(300, 318)]
+    clean = [base(i) for i in range(1000, 1900)] + [base(2000) | {"zulvarg"}, base(2001) | {"kremnoxi"}]
+    model = toxicity.Model(toxic, clean)
+    probe = [base(5000), *(base(5001) | {w} for w in ("zulvarg", "kremnoxi", "quorvex"))]
+    assert (model.score(toxicity.Landmarks(model.marks), probe) >= 0.5).tolist() == [False, True, True, True]
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     insults = ["zulvarg", "kremnoxi", "wopfling"]
@@ -509,5 +581,17 @@ def test_toxicity(spark):
     scored = {x["doc_id"]: x["predicted"] for x in toxicity.score(df, model).collect()}
     held = [i for i in range(1, 401) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(scored[i] == labels[i - 1][2] for i in held) >= 0.97 * len(held)
+    again = spark.createDataFrame([(None, clean + " zulvarg"), (7, clean), (7, clean + " zulvarg"), (7, clean)], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["predicted"]) for x in toxicity.score(again, model).collect()) == [(0, 1), (7, 0), (7, 0), (7, 1)]
+    assert toxicity.score(df.limit(0), model).count() == 0
+    # The whole score from the kernel's definition.
+    marks = toxicity.Landmarks(model.marks)
+    own = [ssk(m, m, toxicity.ORDER, toxicity.LAMBDA) for m in model.marks]
+    for text in [texts[0], texts[1], clean + " zulxvarg", "krem noxi wopflings", ""]:
+        total = np.zeros(len(own))
+        for w in toxicity.words(text):
+            total += np.array([min(1, ssk(f"\x02{w}\x03", m, toxicity.ORDER, toxicity.LAMBDA) / k) for m, k in zip(model.marks, own)]) ** toxicity.SHARPEN
+        margin = np.log1p(total) @ model.map @ model.weights + model.bias
+        assert model.score(marks, [toxicity.words(text)])[0] == pytest.approx(1 / (1 + math.exp(-model.slope * margin - model.offset)), abs=1e-3)
     none = toxicity.train(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
     assert {x["score"] for x in toxicity.score(df, none).collect()} == {0.0}

@@ -1,27 +1,34 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM.
+"""Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-The kernel K_p(s, t) sums, over all subsequences of p characters that two
+The kernel K(s, t) sums, over all subsequences of `ORDER` characters that two
 strings share, LAMBDA to the power of the lengths they span in both: gaps and
-inserted characters weaken a match but don't end it. Against a landmark l
-(p = 5, or 4 for landmarks of four characters) a word x scores
-min(1, K_p(x, l) / K_p(l, l)). These features are whitened by the landmarks'
-own kernel matrix (Nyström) and go to a linear SVM; a document's margin is that
-of its worst word, and a logistic calibration makes it a score.
-
-Landmarks are pieces of words of the labelled sentences: a greedy cover takes
-the piece that explains most toxic documents not yet explained and hardly any
-clean one. Words are taken as written, and with punctuation, repeated single
-letters ("i d i o t") and digits used as letters undone.
+inserted characters weaken a match but don't end it. Strings are words between
+an opening and a closing mark, so that a word's begin and end count as characters.
+Against a landmark l a word x scores min(1, K(x, l) / K(l, l)); these features are
+whitened by the landmarks' own kernel matrix (Nyström) and go to a linear SVM.
+
+A document is a bag of words. Its features are, for each landmark, the greatest score of its words
+and the logarithm of the sum of their scores: one insult can be enough, and pieces that stand in
+clean documents too count by how often they stand. The SVM is trained on whole documents of both labels. A logistic
+calibration, fitted on margins of samples left out of the SVM they come from, makes a margin a score.
+
+Landmarks are pieces of words, of both labels and all languages: those of toxic
+documents by likelihood ratio, one after the other over the words that hold none
+of the ones before, with no demand that a piece be absent from clean documents,
+which the SVM weighs; and the clean words that come closest to these. Words are taken
+as written, and with punctuation, repeated single letters ("i d i o t") and digits used as
+letters undone.
 
 Training uses at most `POSITIVE` toxic and `NEGATIVE` clean labelled documents,
 those of smallest hash; only their distinct words reach the driver. Scoring
 reads each whole text once and shuffles nothing. Before the kernel is
-computed, a bit-parallel longest common subsequence drops words that can't
-share enough with a landmark.
+computed, a bit-parallel longest common subsequence finds the words that share
+`ORDER` characters with a landmark; for all others the kernel is 0.
 
 Defined results: null or empty text scores as a document whose words match no
-landmark; a label of either kind missing gives score 0 everywhere; a document
-that is labelled twice is toxic if either label says so; a word of more than
+landmark; a label of either kind missing, or no landmark found, gives score 0 everywhere; a document
+that is labelled twice is toxic if either label says so, and of several texts under one labelled id
+the least counts; null ids are scored and never learned from; a word of more than
 32 characters is read in overlapping windows of 32; extra columns are dropped.
 """
 
@@ -31,7 +38,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +49,20 @@ from weftline.llm.arrow import mix
 from weftline.llm.langid import training_fold
 from weftline.llm.sample import by_hash
 
-LAMBDA = 0.66
+LAMBDA, ORDER = 0.66, 5
 POSITIVE, NEGATIVE = 1_200, 2_500
-LANDMARKS, LEAST_COVER, LEAST_SHARE, PURITY, CHANCE = 48, 4, 0.015, 0.998, 0.01
-#: Toxic occurrences that one clean occurrence of a piece outweighs.
-HARM = 10
-CLEAN_WEIGHT = 2.0
+#: Landmarks of toxic documents, and clean words beside them, at most; chance that a piece of no meaning becomes one.
+LANDMARKS, CONTRASTS, CHANCE = 40, 8, 0.01
+#: Weights of a clean document, and of a landmark with a character inserted, against that of a toxic one.
+CLEAN_WEIGHT, INSERTED_WEIGHT = 2.0, 0.5
+SHARPEN, FOLDS = 2.5, 5
 WINDOW, STRIDE = 32, 20
-PIECE_MIN, PIECE_MAX = 4, 8
+PIECE_MIN, PIECE_MAX = 5, 8
+OPEN, CLOSE = "\x02", "\x03"
 
 #: Characters that stand for letters in disguised words.
 _LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _SPACED = re.compile(r"(?:(?<!\S)\w[.,\-_*]?\s+){2,}\w(?!\S)")
-_SENTENCE = re.compile(r"(?<=[a-z])[.!?]\s|\n")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _LEET = str.maketrans(_LOOKS_LIKE)
 
@@ -83,65 +91,59 @@ def words(text: str | None) -> set[str]:
 
 
 def _windows(word: str) -> list[str]:
+    """The marked word, or the overlapping windows of a long one."""
+    word = OPEN + word + CLOSE
     if len(word) <= WINDOW:
         return [word]
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + STRIDE, STRIDE)]
 
 
-def kernel(strings: np.ndarray, lengths: np.ndarray, mark: np.ndarray, p: int) -> np.ndarray:
-    """K_p of every string (rows of codes, padded by 0) with one landmark; codes of 0 match nothing."""
+def kernel(strings: np.ndarray, mark: np.ndarray, p: int = ORDER) -> np.ndarray:
+    """K of every string (rows of codes, padded by 0) with one landmark; codes of 0 match nothing."""
     n, m = len(strings), len(mark)
-    # prime[i][:, j]: the sum over subsequences of length i of (string so far, mark[:j]), each weighted to the end of both.
-    prime = [np.zeros((n, m + 1)) for _ in range(p)]
-    prime[0][:] = 1.0
-    total = np.zeros(n)
+    # prime[i][j]: the sum over subsequences of length i of (string so far, mark[:j]), each weighted to the end of both.
+    prime = np.zeros((p, m + 1, n), np.float32)
+    prime[0] = 1.0
+    decay = np.tril(np.float32(LAMBDA) ** np.subtract.outer(np.arange(m), np.arange(m))).astype(np.float32)
+    total = np.zeros(n, np.float32)
     for c in range(strings.shape[1]):
-        same = (strings[:, c : c + 1] == mark[None, :]) & (strings[:, c : c + 1] != 0)
-        total += LAMBDA**2 * (prime[p - 1][:, :m] * same).sum(axis=1)
+        same = (mark[:, None] == strings[None, :, c]) * np.float32(LAMBDA**2)
+        total += (prime[p - 1, :m] * same).sum(axis=0)
         for i in range(p - 1, 0, -1):
-            inner = np.zeros((n, m + 1))
-            step = LAMBDA**2 * prime[i - 1][:, :m] * same
-            for j in range(m):
-                inner[:, j + 1] = LAMBDA * inner[:, j] + step[:, j]
-            prime[i] = LAMBDA * prime[i] + inner
+            prime[i] *= np.float32(LAMBDA)
+            prime[i, 1:] += decay @ (prime[i - 1, :m] * same)
     return total
 
 
-def _order(mark: str) -> int:
-    return min(len(mark), 5)
-
-
 class Landmarks:
     """Kernel scores of words against fixed landmarks."""
 
     def __init__(self, marks: list[str]):
         self.marks = marks
         letters = sorted(set("".join(marks)))
-        self.code = {c: i + 1 for i, c in enumerate(letters)}
-        self.lut = np.zeros(0x110000, np.uint8)
-        for c, i in self.code.items():
-            self.lut[ord(c)] = i
-        self.coded = [np.array([self.code[c] for c in m], np.uint8) for m in marks]
-        self.own = np.array([kernel(m[None, :], np.array([len(m)]), m, _order(s))[0] for s, m in zip(marks, self.coded, strict=True)])
+        self.lut = np.zeros(0x110000, np.uint16)
+        self.lut[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.coded = [self._codes([m], len(m))[0] for m in marks]
+        self.own = np.array([kernel(m[None, :], m)[0] for m in self.coded])
         self.bits = np.zeros((len(marks), len(letters) + 1), np.uint64)
         for k, m in enumerate(self.coded):
             for j, c in enumerate(m):
                 self.bits[k, c] |= np.uint64(1) << np.uint64(j)
-        self.need = [max(_order(m), len(m) - 2) for m in marks]
-        self.known: dict[str, tuple[tuple[int, float], ...]] = {}
 
-    def matrix(self) -> np.ndarray:
-        """The landmarks' own normalised kernel matrix."""
-        k = np.array([[self._full(a, b) for b in range(len(self.marks))] for a in range(len(self.marks))])
-        return (k + k.T) / 2
+    def _codes(self, strings: list[str], width: int) -> np.ndarray:
+        return self.lut[np.array(strings, f"U{width}").view(np.uint32).reshape(len(strings), width)]
 
-    def _full(self, a: int, b: int) -> float:
-        p = min(_order(self.marks[a]), _order(self.marks[b]))
-        one = lambda x, y: kernel(self.coded[x][None, :], np.array([len(self.coded[x])]), self.coded[y], p)[0]
-        return one(a, b) / np.sqrt(one(a, a) * one(b, b))
+    def whitening(self) -> np.ndarray:
+        """The Nyström map: the landmarks' own kernel matrix to the power of -1/2, without its null space."""
+        width = max(map(len, self.marks))
+        codes = self._codes(self.marks, width)
+        gram = np.array([kernel(codes, m) for m in self.coded])
+        values, vectors = np.linalg.eigh((gram / np.sqrt(np.outer(self.own, self.own))) ** SHARPEN)
+        keep = values > 1e-6
+        return vectors[:, keep] / np.sqrt(values[keep])
 
     def _common(self, codes: np.ndarray, k: int) -> np.ndarray:
-        """Length of the longest common subsequence of each row with landmark k, 64 at most."""
+        """Length of the longest common subsequence of each row with landmark k."""
         v = np.full(len(codes), np.uint64(0xFFFFFFFFFFFFFFFF))
         for c in range(codes.shape[1]):
             u = v & self.bits[k][codes[:, c]]
@@ -149,38 +151,27 @@ class Landmarks:
         mask = np.uint64((1 << len(self.coded[k])) - 1)
         return np.bitwise_count(~v & mask)
 
-    def add(self, new: Iterable[str]) -> None:
-        """Score words that aren't known yet; `known` keeps those that match any landmark."""
-        parts = [(w, x) for w in new for x in _windows(w) if len(x) >= 3]
-        if not parts:
-            return
-        size = np.fromiter((len(x) for _, x in parts), np.int64, len(parts))
-        scores: dict[str, dict[int, float]] = {}
-        for top, low in ((8, 0), (12, 8), (20, 12), (WINDOW, 20)):
-            rows = np.flatnonzero((size > low) & (size <= top))
-            for lo in range(0, len(rows), 100_000):
-                some = rows[lo : lo + 100_000]
-                codes = self.lut[np.array([parts[i][1] for i in some], f"U{top}").view(np.uint32).reshape(len(some), top)]
-                for k, mark in enumerate(self.coded):
-                    close = np.flatnonzero(self._common(codes, k) >= self.need[k])
-                    if not len(close):
-                        continue
-                    value = np.minimum(1.0, kernel(codes[close], size[some[close]], mark, _order(self.marks[k])) / self.own[k])
-                    for i, v in zip(some[close].tolist(), value.tolist(), strict=True):
-                        own = scores.setdefault(parts[i][0], {})
-                        own[k] = max(own.get(k, 0.0), v)
-        self.known.update((w, tuple(s.items())) for w, s in scores.items())
-
     def features(self, words_: list[str]) -> tuple[list[str], np.ndarray]:
-        """The words that match any landmark, and their scores against each."""
-        self.known.clear()
-        self.add(words_)
-        found = sorted(self.known)
-        out = np.zeros((len(found), len(self.marks)))
-        for i, w in enumerate(found):
-            for k, v in self.known[w]:
-                out[i, k] = v
-        return found, out
+        """Those words that share a subsequence with any landmark, and their scores against each; the greatest of a long word's windows."""
+        parts = [(i, x) for i, w in enumerate(words_) if len(w) + 2 >= ORDER for x in _windows(w)]
+        owner = np.fromiter((i for i, _ in parts), np.int64, len(parts))
+        size = np.fromiter((len(x) for _, x in parts), np.int64, len(parts))
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        with np.errstate(over="ignore"):
+            for top, low in ((8, 0), (12, 8), (20, 12), (WINDOW, 20)):
+                rows = np.flatnonzero((size > low) & (size <= top))
+                for lo in range(0, len(rows), 32_768):
+                    some = rows[lo : lo + 32_768]
+                    codes = self._codes([parts[i][1] for i in some], top)
+                    for k, mark in enumerate(self.coded):
+                        close = np.flatnonzero(self._common(codes, k) >= ORDER)
+                        if len(close):
+                            found.append((owner[some[close]], k, np.minimum(1.0, kernel(codes[close], mark) / self.own[k])))
+        held = np.unique(np.concatenate([f[0] for f in found])) if found else np.zeros(0, np.int64)
+        out = np.zeros((len(held), len(self.marks)))
+        for at, k, value in found:
+            np.maximum.at(out[:, k], np.searchsorted(held, at), value)
+        return [words_[i] for i in held], out
 
 
 def _unlike(documents: list[set[str]]) -> list[set[str]]:
@@ -190,7 +181,7 @@ def _unlike(documents: list[set[str]]) -> list[set[str]]:
     for ws in documents:
         if not ws:
             continue
-        h = np.fromiter((zlib.crc32(w.encode()) for w in sorted(ws) if len(w) >= PIECE_MAX), np.uint64)
+        h = np.fromiter((zlib.crc32(w.encode()) for w in sorted(ws) if len(w) >= 8), np.uint64)
         keys = [(i, *np.sort(mix(h + np.uint64(i)))[:2].tolist()) for i in range(4)] if len(h) > 1 else []
         if not any(k in seen for k in keys):
             out.append(ws)
@@ -198,91 +189,114 @@ def _unlike(documents: list[set[str]]) -> list[set[str]]:
     return out
 
 
+def _pieces(word: str) -> set[str]:
+    w = OPEN + word + CLOSE
+    return {w[i : i + n] for n in range(PIECE_MIN, PIECE_MAX + 1) for i in range(len(w) - n + 1)}
+
+
+def _ratio(a: int, b: int, toxic: int, clean: int) -> float:
+    """Twice the log likelihood ratio of a piece's rates in a of the toxic and b of the clean documents; 0 if the clean rate is higher."""
+    if a * clean <= b * toxic:
+        return 0.0
+    share = (a + b) / (toxic + clean)
+    part = lambda x, e: x * math.log(x / e) if x else 0.0
+    return 2 * (part(a, toxic * share) + part(b, clean * share) + part(toxic - a, toxic * (1 - share)) + part(clean - b, clean * (1 - share)))
+
+
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Pieces of words that cover the words of toxic documents, each almost absent from clean ones; longer ones first among equals.
+    """Pieces of words that toxic documents hold more often than clean ones, by likelihood ratio; longer ones first among equals.
 
-    A piece counts only if it stands in so many toxic documents that chance
-    would not make any piece do so without clean ones: base ** count, times the
-    number of pieces, stays below `CHANCE`. Copies count once.
+    Each is chosen over the words that hold none of those before, and only if chance would give
+    no piece so great a ratio. Copies count once.
     """
     toxic, clean = _unlike(toxic), _unlike(clean)
-    for_, against = Counter(w for ws in toxic for w in ws), Counter(w for ws in clean for w in ws)
-    pieces = lambda w: {w[i : i + n] for n in range(PIECE_MIN, PIECE_MAX + 1) for i in range(len(w) - n + 1)}
-    holds: dict[str, list[str]] = {}
-    for w in for_:
-        for g in pieces(w):
-            holds.setdefault(g, []).append(w)
     if not toxic or not clean:
         return []
-    base = len(toxic) / (len(toxic) + len(clean))
-    least = max(LEAST_COVER, LEAST_SHARE * len(toxic), math.log(max(2, len(holds)) / CHANCE) / -math.log(base))
-    count = {g: n for g, ws in holds.items() if (n := sum(for_[w] for w in ws)) >= least}
+    for_, against = Counter(w for ws in toxic for w in ws), Counter(w for ws in clean for w in ws)
+    holds: dict[str, set[str]] = {}
+    for w in for_:
+        for g in _pieces(w):
+            holds.setdefault(g, set()).add(w)
+    least = 2 * math.log(max(2, len(holds)) / CHANCE)
+    ratio = lambda a, b: _ratio(min(a, len(toxic)), min(b, len(clean)), len(toxic), len(clean))
+    holds = {g: ws for g, ws in holds.items() if ratio(sum(for_[w] for w in ws), 0) >= least}
     other: Counter[str] = Counter()
     for w, n in against.items():
-        for g in pieces(w):
-            if g in count:
+        for g in _pieces(w):
+            if g in holds:
                 other[g] += n
-    share = len(clean) / len(toxic)
-    cover = {g: set(holds[g]) for g, n in count.items() if n >= PURITY * (n + other[g] / share)}
-    done: set[str] = set()
     marks: list[str] = []
-    while cover and len(marks) < most:
-        gain = {g: sum(for_[w] for w in ws - done) - HARM * other[g] for g, ws in cover.items()}
-        if max(gain.values()) < least:
+    while len(marks) < most:
+        value = {g: ratio(sum(for_[w] for w in ws), other[g]) for g, ws in holds.items()}
+        holds = {g: ws for g, ws in holds.items() if value[g] >= least}
+        if not holds:
             break
-        best = max(cover, key=lambda g: (gain[g] * len(g) ** 2, g))  # longer pieces fit fewer words by chance
+        best = max(holds, key=lambda g: (value[g] * (1 + 0.05 * len(g)), g))
         marks.append(best)
-        done |= cover.pop(best)
-        cover = {g: x for g, x in cover.items() if gain[g] >= least}
+        done = holds.pop(best)
+        holds = {g: rest for g, ws in holds.items() if (rest := ws - done)}
     return marks
 
 
 class Model:
-    """Landmarks, the Nyström map, a linear SVM and its logistic calibration.
-
-    A toxic document is given by its sentences. The words in these that hold a
-    landmark are the positive samples; landmarks with a character inserted are
-    too, if they have five letters or more: shorter ones would fit by chance.
-    Words of clean documents that match a landmark are the negative samples, so
-    what counts is a document's worst word, not how many fit a little.
-    """
+    """Landmarks, the Nyström map, a linear SVM on documents and its logistic calibration."""
 
-    def __init__(self, sentences: list[list[set[str]]], clean: list[set[str]]):
-        whole = [set().union(*s) for s in sentences]
-        self.marks = choose_landmarks(whole, clean) if whole and clean else []
+    def __init__(self, toxic: list[set[str]], clean: list[set[str]]):
+        self.marks = choose_landmarks(toxic, clean) if toxic and clean else []
         if not self.marks:
             return
+        insults = [m.strip(OPEN + CLOSE) for m in self.marks]
+        self.marks += nearest(self.marks, clean)
         landmarks = Landmarks(self.marks)
-        values, vectors = np.linalg.eigh(landmarks.matrix())
-        keep = values > 1e-6
-        self.map = vectors[:, keep] / np.sqrt(values[keep])
-        found, f = landmarks.features(sorted(set().union(*whole, *clean)))
-        strong = {w for w, x in zip(found, f, strict=True) if x.max() >= 0.999}
+        self.map = landmarks.whitening()
+        # An insult alone, or with a character inserted, is still one, however many stand together in the samples.
+        inserted = [{m} for m in insults] + [{m[:i] + "\x01" + m[i:]} for m in insults if len(m) >= ORDER for i in range(1, len(m))]
+        x = self.documents(landmarks, toxic + clean + inserted)
+        y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean)), np.ones(len(inserted))])
+        weight = np.where(y < 0, CLEAN_WEIGHT, 1.0)
+        weight[len(toxic) + len(clean) :] = INSERTED_WEIGHT
+        self.weights, self.bias = _svm(x, y, weight)
+        margin = np.zeros(len(y))
+        for fold in range(FOLDS):
+            out = np.arange(len(y)) % FOLDS == fold
+            w, bias = _svm(x[~out], y[~out], weight[~out])
+            margin[out] = x[out] @ w + bias
+        self.slope, self.offset = _logistic(margin, y)
+
+    def documents(self, landmarks: Landmarks, documents: list[set[str]]) -> np.ndarray:
+        """For each document and landmark the greatest score of its words, and the logarithm of 1 + the sum of their scores to the power of `SHARPEN`; whitened."""
+        found, f = landmarks.features(sorted(set().union(*documents)))
         row = {w: i for i, w in enumerate(found)}
-        insults = [i for s in sentences for ws in s for i in sorted(row[w] for w in ws & strong)]
-        _, inserted = landmarks.features(sorted({m[:i] + "x" + m[i:] for m in self.marks if len(m) > PIECE_MIN for i in range(1, len(m))}))
-        harmless = sorted({row[w] for ws in clean for w in ws & row.keys()})
-        nothing = np.zeros((len(clean), len(self.marks)))
-        x = np.vstack([f[insults], inserted, f[harmless], nothing]) @ self.map
-        y = np.concatenate([np.ones(len(insults) + len(inserted)), -np.ones(len(harmless) + len(clean))])
-        self.weights, self.bias = _svm(x, y)
-        value = dict(zip(found, (f @ self.map) @ self.weights + self.bias, strict=True))
-        best = lambda ws: max((value[w] for w in ws & value.keys()), default=self.bias)
-        z = np.array([best(ws) for ws in whole] + [best(ws) for ws in clean])
-        self.slope, self.offset = _logistic(z, np.concatenate([np.ones(len(whole)), -np.ones(len(clean))]))
+        held = [[row[w] for w in ws if w in row] for ws in documents]
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        greatest, total = np.zeros((len(held), len(self.marks))), np.zeros((len(held), len(self.marks)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            f = f[np.fromiter((i for h in held for i in h), np.int64, int(sizes.sum()))]
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            greatest[some] = np.maximum.reduceat(f, starts)
+            total[some] = np.log1p(np.add.reduceat(f**SHARPEN, starts))
+        return total @ self.map
 
     def score(self, landmarks: Landmarks, documents: list[set[str]]) -> np.ndarray:
-        """The probability that the worst word of each document gives."""
-        found, f = landmarks.features(sorted(set().union(*documents)))
-        value = dict(zip(found, ((f @ self.map) @ self.weights + self.bias).tolist(), strict=True))
-        z = np.array([max((value[w] for w in ws & value.keys()), default=self.bias) for ws in documents])
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50)))
+        """The probability that each document is toxic."""
+        margin = self.documents(landmarks, documents) @ self.weights + self.bias
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Linear SVM, squared hinge, a clean sample weighing `CLEAN_WEIGHT` times a toxic one, by Newton steps on the active set."""
+def nearest(marks: list[str], clean: list[set[str]]) -> list[str]:
+    """The clean words nearest to the landmarks, by kernel times the logarithm of the number of documents that hold them."""
+    held = Counter(w for ws in clean for w in ws if PIECE_MIN <= len(w) + 2 <= PIECE_MAX)
+    found, f = Landmarks(marks).features(sorted(held))
+    near = f.max(axis=1) * np.log1p([held[w] for w in found]) if found else np.zeros(0)
+    words_ = [OPEN + found[i] + CLOSE for i in np.argsort(-near, kind="stable")]
+    return [w for w in words_ if w not in marks][:CONTRASTS]
+
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Linear SVM with a squared hinge on weighted samples, by Newton steps on the active set."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, c, c * CLEAN_WEIGHT)
+    weight = c * weight
     w = np.zeros(x1.shape[1])
     ridge = np.eye(x1.shape[1])
     ridge[-1, -1] = 1e-6
@@ -318,18 +332,15 @@ def train(documents: DataFrame, labels: DataFrame, positive: int = POSITIVE, neg
     known = labels.where(training_fold() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     some = by_hash(known.where("label = 1"), positive).unionByName(by_hash(known.where("label = 0"), negative))
     # At most positive + negative ids: safe to broadcast.
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, found = batch.column("label").to_pylist(), []
-            for label, text in zip(labels, batch.column("text").to_pylist(), strict=True):
-                parts = _SENTENCE.split(text or "") if label else [text]
-                found.append("\n".join(" ".join(sorted(words(x))) for x in parts))
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.string())], names=["label", "words"])
-
-    got = sorted((r["label"], r["words"]) for r in rows.mapInArrow(reduce, "label int, words string").collect())
-    return Model([[set(x.split()) for x in w.split("\n")] for v, w in got if v == 1], [set(w.split()) for v, w in got if v == 0])
+            found = [" ".join(sorted(words(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.string())], names=["label", "words"])
+
+    got = sorted((r["label"], r["words"]) for r in rows.select("label", "text").mapInArrow(reduce, "label int, words string").collect())
+    return Model([set(w.split()) for v, w in got if v == 1], [set(w.split()) for v, w in got if v == 0])
 
 
 _LANDMARKS: dict[tuple[str, ...], Landmarks] = {}
