@@ -65,7 +65,7 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    return secrets.scan(documents, secrets.train(secrets.random_strings(spark), secrets.identifiers(documents)))
+    return secrets.scan(documents, secrets.train(documents))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
