@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from weftline.llm.arrow import bound_batches, list_array, pieces, ragged, trim, utf8
 
 CACHE_WORDS, CACHE_TOKENS = 400_000, 8_000_000
-BYTES_AT_ONCE = 400_000
-TOKENS_AT_ONCE = 400_000
+#: Bytes of texts, of fragments and tokens of one step; every query has a cost of its own.
+TEXT_AT_ONCE, BYTES_AT_ONCE, TOKENS_AT_ONCE = 4 << 20, 1_000_000, 1_000_000
 
 #: `down` holds the merges that rank below one of their own parts: only they can go before a pair of a minimum rank.
 ENCODE = """
@@ -218,7 +218,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, TEXT_AT_ONCE):
                 ids, n = c.documents([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(lo, hi)])
                 ids_at = np.concatenate([[0], np.cumsum(n)])
                 ids_hex = [hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(ids_at, ids_at[1:], strict=False)]
