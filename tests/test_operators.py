@@ -1,12 +1,13 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import score
-from weftline.operators import control, observe, report, select
-from weftline.operators.track import Detection, Linker, Lock, MAX_MISSES, follow
+from weftline.operators import control, observe, report, select, sequence, track
+from weftline.operators.track import MAX_MISSES, follow
 from weftline.sources import files, sampling
 from weftline.streaming import tracks
 
@@ -142,42 +143,127 @@ def test_files(spark, tmp_path):
 A, B = np.array([1.0, 0.0, 0.0]), np.array([0.0, 1.0, 0.0])
 
 
-def det(i, x, emb, size=20.0):
-    return Detection(i, np.array([x, 0.0, x + size, size]), 0.9, emb)
+class Clip:
+    """A clip fed frame by frame: detections are (number, x, embedding or None, size)."""
+
+    def __init__(self, diagonal=400.0):
+        self.diagonal, self.tracks, self.lock, self.events = diagonal, track.none(3), track.Lock(), []
+
+    def frame(self, *detections, cut=False):
+        d = [(*x, 20.0)[:4] for x in detections]
+        box = np.array([[x, 0.0, x + size, size] for _, x, _, size in d]).reshape(-1, 4)
+        look = np.array([np.zeros(3) if e is None else e for _, _, e, _ in d]).reshape(-1, 3)
+        f = track.Frame(np.array([n for n, *_ in d]), box, np.full(len(d), 0.9), look, np.array([e is not None for _, _, e, _ in d], bool), cut)
+        self.tracks, number, turn = track.advance(self.tracks, f, self.diagonal)
+        seen = [i for i in np.argsort(turn, kind="stable") if number[i]]
+        looks = {n: e for n, e in zip(self.tracks.number, self.tracks.look)}
+        self.lock, best, event = track.hold(self.lock, number[seen], np.array([looks[number[i]] for i in seen]).reshape(-1, 3), np.array([d[i][3] ** 2 for i in seen]))
+        self.events.append(event)
+        self.followed = None if best is None else d[seen[best]][0]
+        return {int(number[i]): d[i][0] for i in seen}
 
 
 def test_crossing_faces_keep_their_tracks():
-    link = Linker(400.0)
+    clip = Clip()
     for f in range(40):
-        out = link.step([det(0, 4.0 * f, A), det(1, 160 - 4.0 * f, B)])
-        assert {n: d.det for n, d in out.items()} == {1: 0, 2: 1}
+        assert clip.frame((0, 4.0 * f, A), (1, 160 - 4.0 * f, B)) == {1: 0, 2: 1}
 
 
 def test_identity_vetoes_a_match_by_place():
-    link = Linker(400.0)
-    link.step([det(0, 50, A)])
-    out = link.step([det(0, 50, B)])
-    assert list(out) == [2] and link.vetoed + link.created >= 2
+    clip = Clip()
+    clip.frame((0, 50, A))
+    assert clip.frame((0, 50, B)) == {2: 0} and clip.tracks.vetoed == 1
+    # A pair that a better claim has already settled is no veto.
+    clip = Clip()
+    clip.frame((0, 50, A), (1, 70, B))
+    clip.frame((0, 50, A), (1, 70, B))
+    assert clip.tracks.vetoed == 0
+
+
+def test_missed_tracks_slow_down_and_a_cut_stops_them():
+    clip = Clip()
+    for f in range(3):
+        clip.frame((0, 10.0 * f, A))
+    assert np.allclose(clip.tracks.speed, [[7.5, 0]])  # 0.5 * 0 + 0.5 * 10, then 0.5 * 5 + 0.5 * 10
+    clip.frame()
+    assert np.allclose(clip.tracks.speed, [[6.0, 0]]) and clip.tracks.missed.tolist() == [1]
+    assert clip.frame((5, 26.0, None)) == {1: 5}  # 20 + 6 is where it is looked for; without an embedding place decides
+    clip.frame((5, 26.0, A), cut=True)
+    assert np.allclose(clip.tracks.speed, [[0, 0]])
 
 
 def test_tracks_end_after_misses_and_faces_without_embedding_start_none():
-    link = Linker(400.0)
-    link.step([det(0, 50, A), det(1, 200, None)])
-    assert len(link.tracks) == 1
-    for _ in range(MAX_MISSES + 1):
-        link.step([])
-    assert link.lost == 1 and not link.tracks
+    clip = Clip()
+    clip.frame((0, 50, A), (1, 200, None))
+    assert clip.tracks.number.tolist() == [1]
+    for _ in range(MAX_MISSES):
+        clip.frame()
+    assert clip.tracks.lost == 0
+    clip.frame()
+    assert clip.tracks.lost == 1 and not len(clip.tracks.number)
+    assert clip.frame((0, 50, A)) == {2: 0}
 
 
 def test_lock_skips_strangers_and_reacquires():
-    lock = Lock(Linker(400.0))
-    assert lock.step([det(0, 50, A, 40.0), det(1, 200, B)]).det == 0
-    for _ in range(5):
-        assert lock.step([det(1, 200, B, 90.0)]) is None  # the stranger grows, the person is gone
-    for _ in range(MAX_MISSES + 1):
-        lock.step([det(1, 200, B, 90.0)])
-    assert lock.step([det(7, 300, A)]).det == 7 and lock.reacquired == 1
-    assert lock.step([det(7, 100, A)], cut=True).det == 7
+    clip = Clip()
+    clip.frame((0, 50, A, 40.0), (1, 200, B))
+    assert clip.followed == 0
+    for _ in range(MAX_MISSES + 6):
+        clip.frame((1, 200, B, 90.0))  # the stranger grows, the person is gone
+        assert clip.followed is None
+    clip.frame((7, 300, A))
+    assert clip.followed == 7 and clip.events.count("reacquired") == 1
+    clip.frame((7, 100, A), cut=True)
+    assert clip.followed == 7
+
+
+def test_lock_lets_go_of_a_track_that_drifts():
+    clip, angle = Clip(), 0.0
+    while "switched" not in clip.events and angle < 10:
+        clip.frame((0, 50, np.array([np.cos(angle), np.sin(angle), 0.0])))
+        angle += 0.06
+    assert "switched" in clip.events and clip.followed is None and clip.tracks.created == 1
+    clip.frame((0, 50, np.array([np.cos(angle), np.sin(angle), 0.0])))
+    assert clip.events[-1] == "locked"
+
+
+def test_claims_equal_a_walk_over_sorted_pairs():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        n, m = r.integers(0, 6, 2)
+        value, allowed = r.integers(0, 5, (n, m)) / 4, r.random((n, m)) < 0.7
+        rows, columns, want, refused = set(), set(), [], 0
+        for _, i, j in sorted(((value[i, j], i, j) for i in range(n) for j in range(m)), reverse=True):
+            if i not in rows and j not in columns:
+                if allowed[i, j]:
+                    rows.add(i), columns.add(j), want.append((i, j))
+                else:
+                    refused += 1
+        got, free = track.claims(value, allowed)
+        assert got == want and int((free & ~allowed).sum()) == refused
+
+
+def test_frames_may_go_on_in_the_next_batch():
+    rows = pd.DataFrame({"clip": [1] * 5 + [2] * 3, "frame": [0, 0, 1, 1, 1, 1, 1, 2], "det": range(8)})
+    whole = [(c, f, g["det"].tolist()) for c, f, g in track.frames(iter([rows]), "clip")]
+    for size in (1, 2, 3):
+        assert [(c, f, g["det"].tolist()) for c, f, g in track.frames((rows[i : i + size] for i in range(0, 8, size)), "clip")] == whole
+
+
+def test_nearest_alike(spark):
+    box = lambda x: [x, 0.0, x + 10.0, 10.0]
+    rows = spark.createDataFrame([(1, 0, box(0.0), 0.5), (1, 1, box(50.0), 0.4), (2, 0, box(0.0), -0.3), (3, 0, box(0.0), None), (3, 1, box(9.0), 0.1)], "f int, det int, box array<double>, s double")
+    got = lambda df: {r["f"]: r["det"] for r in df.collect()}
+    assert got(sequence.nearest_alike(rows, ["f"], "s", F.array(F.lit(55.0), F.lit(5.0)), 100.0)) == {1: 1, 2: None, 3: 1}
+    assert got(sequence.nearest_alike(rows, ["f"], "s", None, 0.0)) == {1: 0, 2: None, 3: None}
+    assert got(sequence.nearest_alike(rows.drop("s"), ["f"], "s", None, 0.0)) == {1: 0, 2: 0, 3: 0}
+
+
+def test_ladder_is_strict_and_ends_with_the_second_detector(spark):
+    assert select.ladder(0.5) == [(1, 0.5), (1, 0.3), (2, 0.35), (2, 0.25)] and select.ladder(0.3, second=False) == [(1, 0.3), (1, 0.25)]
+    rows = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.31), (2, 1, 0.3), (2, 2, 0.36), (3, 2, 0.35), (3, 2, 0.2), (4, 1, 0.51), (4, 1, 0.5), (4, 2, 0.9), (5, 2, 0.25)], "f int, d int, s double")
+    out = select.tiered(rows, "f", "s", "d", select.ladder(0.5))
+    assert sorted((r["f"], r["s"], r["tier"]) for r in out.collect()) == [(1, 0.31, 2), (1, 0.5, 2), (2, 0.36, 3), (3, 0.35, 4), (4, 0.51, 1)]
 
 
 def rows(n=12):

@@ -102,6 +102,21 @@ def greedy_dedup(rows: Column | str, pose: float = 7.0, similarity: float = 0.92
     return _keep(rows, lambda k, x: (F.abs(k["yaw"] - x["yaw"]) <= pose) & (vec.dot(k["embedding"], x["embedding"]) >= similarity), most)
 
 
+def mark_duplicates(rows: Column | str, name: str, pose: float = 12.0, similarity: float = 0.86, penalty: float = 0.5) -> Column:
+    """Structs (name, duplicate_of, penalty), one a row, best first: a row close in pose and look to a kept one is its duplicate and counts `penalty`, others are kept."""
+    r = _col(rows)
+
+    def step(acc: Column, x: Column) -> Column:
+        close = F.filter(acc["kept"], lambda k: (F.abs(k["yaw"] - x["yaw"]) <= pose) & (vec.dot(k["embedding"], x["embedding"]) >= similarity))
+        of = F.get(close, 0)[name]
+        mark = F.struct(x[name].alias(name), of.alias("duplicate_of"), F.when(of.isNull(), 1.0).otherwise(penalty).alias("penalty"))
+        return F.struct(F.when(of.isNull(), F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"), F.array_append(acc["marks"], mark).alias("marks"))
+
+    first = F.get(r, 0)
+    none = F.slice(F.array(F.struct(first[name].alias(name), first[name].alias("duplicate_of"), F.lit(1.0).alias("penalty"))), 1, 0)
+    return F.aggregate(r, F.struct(F.slice(r, 1, 0).alias("kept"), none.alias("marks")), step)["marks"]
+
+
 def nms(rows: Column | str, overlap: float = 0.4) -> Column:
     """The rows (best first, field box) that don't overlap one kept before by more than `overlap`."""
     return _keep(rows, lambda k, x: geo.iou(k["box"], x["box"]) > overlap, None)

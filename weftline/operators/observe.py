@@ -86,6 +86,13 @@ def deduplicated(rows: DataFrame, key: list[str], quality: Column, pose: float =
     return kept.select(*key, "rank", F.col("kept.vec_id").alias("vec_id"))
 
 
+def marked_duplicates(rows: DataFrame, key: list[str], quality: Column, pose: float = 12.0, similarity: float = 0.86) -> DataFrame:
+    """key..., vec_id, duplicate_of (null for rows that count in full), penalty: every row stays; a key's rows must fit a task."""
+    ranked = rows.select(*key, (-quality).alias("order"), "vec_id", "yaw", vec.unit("embedding").alias("embedding"))
+    lists = ranked.groupBy(*key).agg(fold.ordered(["order", "vec_id"], ["yaw", "embedding"]).alias("rows"))
+    return lists.select(*key, F.explode(fold.mark_duplicates("rows", "vec_id", pose, similarity)).alias("m")).select(*key, "m.vec_id", "m.duplicate_of", "m.penalty")
+
+
 def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: float = 10.0, similarity: float = 0.90) -> DataFrame:
     """key, pick, vec_id, why: an anchor, then the best new view of each band, then the best of the rest.
 

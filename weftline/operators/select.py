@@ -21,8 +21,8 @@ def summary(value: Column, name: str, digits: int = 5) -> list[Column]:
     """Mean, min, max, population deviation and number of the finite values."""
     v = score.finite(value)
     return [
-        F.round(F.avg(v), digits).alias(f"{name}_mean"), F.round(F.min(v), digits).alias(f"{name}_min"), F.round(F.max(v), digits).alias(f"{name}_max"),
-        F.round(F.stddev_pop(v), digits).alias(f"{name}_std"), F.count(v).alias(f"{name}_n"),
+        F.bround(F.avg(v), digits).alias(f"{name}_mean"), F.bround(F.min(v), digits).alias(f"{name}_min"), F.bround(F.max(v), digits).alias(f"{name}_max"),
+        F.bround(F.stddev_pop(v), digits).alias(f"{name}_std"), F.count(v).alias(f"{name}_n"),
     ]
 
 
@@ -107,11 +107,16 @@ def best_per(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def tiered(rows: DataFrame, key: str, value: str, thresholds: list[float]) -> DataFrame:
-    """Rows at or over the first threshold that any row of their key reaches, with its number as tier; a key that reaches none has no row."""
-    reached = F.lit(None).cast("int")
-    for i in range(len(thresholds), 0, -1):
-        reached = F.when(F.col(value) >= thresholds[i - 1], i).otherwise(reached)
-    tiers = rows.groupBy(key).agg(F.min(reached).alias("tier")).where("tier is not null")
-    limit = F.element_at(F.array(*(F.lit(float(t)) for t in thresholds)), F.col("tier"))
-    return rows.join(tiers, key).where(F.col(value) >= limit)
+def ladder(threshold: float, second: bool = True, fast: bool = False) -> list[tuple[int, float]]:
+    """(detector, threshold) in the order in which a frame is tried: as asked, more sensitively, then the same with a second detector."""
+    retry = lambda d, t: [(d, t)] if fast else [(d, t), (d, max(0.25, 0.6 * t))]
+    return retry(1, threshold) + (retry(2, max(0.25, 0.7 * threshold)) if second else [])
+
+
+def tiered(rows: DataFrame, key: str, value: str, detector: str, steps: list[tuple[int, float]]) -> DataFrame:
+    """Rows over (not at) the threshold of the first step that any row of their key and the step's detector passes, with its number as tier; a key that passes none has no row."""
+    passes = lambda d, t: (F.col(detector) == d) & (F.col(value) > t)
+    first = F.coalesce(*(F.when(passes(*step), i) for i, step in enumerate(steps, 1)))
+    tiers = rows.groupBy(key).agg(F.min(first).alias("tier")).where("tier is not null")
+    kept = reduce(lambda a, b: a | b, ((F.col("tier") == i) & passes(*step) for i, step in enumerate(steps, 1)))
+    return rows.join(tiers, key).where(kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import fold
+from weftline.functions import fold, geo
 
 
 def over(key: list[str], order: list[str]):
@@ -73,3 +73,21 @@ def steps(rows: DataFrame, key: list[str], order: list[str], time: Column) -> Da
     return counts.groupBy(*key).agg(
         F.min("step").alias("shortest"), F.max("step").alias("longest"), F.max_by("step", F.struct("count", -F.col("step"))).alias("usual"), F.count("*").alias("kinds")
     )
+
+
+def nearest_alike(rows: DataFrame, key: list[str], similarity: str, where: Column | None, diagonal: float, share: float = 0.35, floor: float = 0.15) -> DataFrame:
+    """One row a key, with value: the detection (det, box) most like the person, `share` of its nearness to where they were last seen added.
+
+    det is null where even the best stays under the floor: everyone there is someone else. Without a place only similarity
+    counts; rows without a similarity are left out, and if the column is absent, no person is known yet, the largest box is taken.
+    """
+    if similarity not in rows.columns:
+        first = Window.partitionBy(*key).orderBy(F.desc(geo.area("box")), "det")
+        return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("value", F.lit(None).cast("double")).drop("_r")
+    near = F.lit(0.0)
+    if where is not None and diagonal > 0:
+        middle = geo.centre("box")
+        near = 1.0 - F.least(F.lit(1.0), F.sqrt(F.pow(middle[0] - where[0], 2) + F.pow(middle[1] - where[1], 2)) / diagonal)
+    best = Window.partitionBy(*key).orderBy(F.desc("value"), "det")
+    ranked = rows.where(F.col(similarity).isNotNull()).withColumn("value", F.round(F.col(similarity) + share * near, 6)).withColumn("_r", F.row_number().over(best))
+    return ranked.where("_r = 1").withColumn("det", F.when(F.col("value") >= floor, F.col("det"))).drop("_r")

@@ -27,11 +27,15 @@ def agreement_filter(spark, sf_dir):
     return observe.reject_outliers(observations(spark, sf_dir), ["label"], 1.0, floor=0.15).select("vec_id", "label", "kept")
 
 
-@query("""WITH t AS (SELECT l_orderkey AS frame, l_linenumber AS det, (l_partkey % 100) / 100 AS s, l_partkey % 100 >= 50 AS one, l_partkey % 100 >= 30 AS two FROM lineitem), b AS (SELECT frame, max(one::INT) AS one, max(two::INT) AS two FROM t GROUP BY frame)
-SELECT t.frame, det, CASE WHEN b.one = 1 THEN 1 ELSE 2 END AS tier FROM t JOIN b USING (frame) WHERE (b.one = 1 AND t.one) OR (b.one = 0 AND b.two = 1 AND t.two)""")
+@query("""WITH t AS (SELECT l_orderkey AS frame, l_linenumber AS det, l_partkey % 20 * 5 AS s, CASE WHEN l_suppkey % 3 = 0 THEN 2 ELSE 1 END AS d FROM lineitem),
+s(tier, d, least) AS (VALUES (1, 1, 50), (2, 1, 30), (3, 2, 35), (4, 2, 25)), p AS (SELECT frame, det, min(tier) AS tier FROM t JOIN s ON t.d = s.d AND t.s > s.least GROUP BY ALL),
+b AS (SELECT frame, min(tier) AS tier FROM p GROUP BY frame) SELECT t.frame, t.det, b.tier FROM t JOIN b USING (frame) JOIN s ON s.tier = b.tier AND s.d = t.d AND t.s > s.least""")
 def threshold_fallback(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("det"), (F.col("l_partkey") % 100).alias("s"))
-    return select.tiered(rows, "frame", "s", [50, 30]).select("frame", "det", "tier")
+    """Scores in steps of 0.05, so that many stand on a threshold."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("det"), (F.col("l_partkey") % 20 * 5 / 100).alias("s"), F.when(F.col("l_suppkey") % 3 == 0, 2).otherwise(1).alias("detector")
+    )
+    return select.tiered(rows, "frame", "s", "detector", select.ladder(0.5)).select("frame", "det", "tier")
 
 
 @query(f"""WITH {DET}, c AS (SELECT frame, det, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, row_number() OVER (PARTITION BY frame ORDER BY (x2 - x1) * (y2 - y1) DESC, det) AS r FROM det),

@@ -47,12 +47,20 @@ def spike_baseline_window(spark, sf_dir):
     return rows.select("event_id", F.round("baseline", 6).alias("baseline"), "spike")
 
 
-@query()
+_ORDERED = "o AS (SELECT user_id AS clip, event_id, value, floor(epoch(ts)) AS t, event_type = 'purchase' AS final, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, st(clip, r, event_id, recent, is_cut) AS (SELECT clip, r, event_id, [value], false FROM o WHERE r = 1 UNION ALL
+SELECT clip, r, event_id, CASE WHEN cut THEN [value] ELSE list_append(recent, value)[-24:] END, cut FROM (
+  SELECT o.*, s.recent, len(s.recent) >= 3 AND o.value >= 8 AND o.value >= 3 * greatest(list_aggregate(s.recent, 'median'), 1e0) AS cut FROM st s JOIN o ON o.clip = s.clip AND o.r = s.r + 1))
+SELECT clip, event_id, is_cut FROM st""")
 def scene_cut_exact(spark, sf_dir):
     return sequence.scene_cuts(series(spark, sf_dir), ["clip"], ["ts", "event_id"], "value").select("clip", "event_id", "is_cut")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ORDERED}, st(clip, r, event_id, last, emitted) AS (SELECT clip, r, event_id, t, true FROM o WHERE r = 1 UNION ALL
+SELECT clip, r, event_id, CASE WHEN due THEN t ELSE last END, due FROM (SELECT o.*, s.last, o.t - s.last >= 3600 OR o.final AS due FROM st s JOIN o ON o.clip = s.clip AND o.r = s.r + 1))
+SELECT clip, event_id, emitted FROM st""")
 def throttled_progress(spark, sf_dir):
     rows = series(spark, sf_dir).withColumn("t", F.unix_timestamp("ts").cast("double")).withColumn("final", F.col("event_type") == "purchase")
     return sequence.throttled(rows, ["clip"], ["ts", "event_id"], "t", 3600.0, "final").select("clip", "event_id", "emitted")
@@ -150,23 +158,41 @@ def angle_unwrap(spark, sf_dir):
 
 
 def _tracked(spark, sf_dir):
-    """Two persons a clip who cross: person and position follow from the vector's number, embeddings from its label."""
+    """A clip of 100 frames for 200 vectors. Person 0, the larger, is away from frame 20 to 69; from 30 to 34 a stranger stands where person 1 is."""
     i = F.col("vec_id")
-    rows = table(spark, sf_dir, "embeddings")
-    person = i % 2
-    x = F.when(person == 0, F.expr("(vec_id div 2) % 40") * 4.0).otherwise(160.0 - F.expr("(vec_id div 2) % 40") * 4.0)
-    look = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == person, 1.0).otherwise(0.0))
-    return rows.select(
-        F.expr("vec_id div 80").alias("clip"), F.expr("(vec_id div 2) % 40").alias("frame"), person.cast("int").alias("det"),
-        F.array(x, F.lit(10.0), x + 20 + person * 10, F.lit(40.0)).alias("box"), F.lit(0.9).alias("score"), look.alias("embedding"),
-    )
-
-
-@query("SELECT vec_id // 80 AS clip, (vec_id // 2) % 40 AS frame, (vec_id % 2)::INT AS det, (vec_id % 2 + 1)::INT AS track FROM embeddings")
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 200").alias("clip"), F.expr("vec_id % 200 div 2").alias("frame"), (i % 2).cast("int").alias("det"))
+    frame, det = F.col("frame"), F.col("det")
+    person = F.when((det == 1) & frame.between(30, 34), 2).otherwise(det)
+    x = F.when(det == 0, frame * 1.5).otherwise(160.0 - frame * 1.5)
+    look = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(k == person, 1.0).otherwise(0.0))
+    there = (det == 1) | (frame < 20) | (frame >= 70)
+    return rows.where(there).withColumn("box", F.array(x, F.lit(10.0), x + 30 - det * 10, F.lit(40.0))).withColumn("score", F.lit(0.9)).withColumn("embedding", look)
+
+
+#: Tracks by number: person 0, person 1, the stranger, and person 0 again, whose first track has ended after 45 misses.
+@query("""WITH r AS (SELECT vec_id // 200 AS clip, vec_id % 200 // 2 AS frame, (vec_id % 2)::INT AS det FROM embeddings)
+SELECT clip, frame, det, (CASE WHEN det = 1 THEN CASE WHEN frame BETWEEN 30 AND 34 THEN 3 ELSE 2 END WHEN frame < 20 THEN 1 ELSE 4 END)::INT AS track FROM r WHERE det = 1 OR frame < 20 OR frame >= 70""")
 def track_assignment(spark, sf_dir):
     return track.assign(_tracked(spark, sf_dir), "clip", 200.0)
 
 
-@query("SELECT DISTINCT vec_id // 80 AS clip, (vec_id // 2) % 40 AS frame, 1::INT AS det FROM embeddings")
+@query("""WITH r AS (SELECT DISTINCT vec_id // 200 AS clip, vec_id % 200 // 2 AS frame FROM embeddings WHERE vec_id % 2 = 1 OR vec_id % 200 < 40 OR vec_id % 200 >= 140)
+SELECT clip, frame, CASE WHEN frame < 20 OR frame >= 70 THEN 0::INT END AS det,
+CASE WHEN frame = 0 THEN 'locked' WHEN frame = 70 THEN 'reacquired' WHEN frame < 20 OR frame > 70 THEN 'followed' ELSE 'skipped' END AS event FROM r""")
 def target_lock(spark, sf_dir):
     return track.follow(_tracked(spark, sf_dir), "clip", 200.0)
+
+
+@query("""WITH r AS (SELECT DISTINCT vec_id // 200 AS clip, vec_id % 200 // 2 AS frame FROM embeddings WHERE vec_id % 2 = 1 OR vec_id % 200 < 40 OR vec_id % 200 >= 140)
+SELECT clip, count(*) FILTER (WHERE frame < 20 OR frame >= 70) AS followed, count(*) FILTER (WHERE frame BETWEEN 20 AND 69) AS skipped,
+count(*) FILTER (WHERE frame = 70) AS reacquired, 0::BIGINT AS switched FROM r GROUP BY clip""")
+def lock_report(spark, sf_dir):
+    return track.report(track.follow(_tracked(spark, sf_dir), "clip", 200.0), "clip")
+
+
+@query(f"""WITH {DET}, p AS (SELECT frame, det, score - 2e-1 AS alike, greatest(0e0, 1e0 - least(1e0, sqrt(pow((x1 + x2) / 2 - 20, 2) + pow((y1 + y2) / 2 - 20, 2)) / 100)) AS near FROM det),
+r AS (SELECT frame, det, round(alike + 35e-2 * near, 6) AS value, row_number() OVER (PARTITION BY frame ORDER BY round(alike + 35e-2 * near, 6) DESC, det) AS r FROM p)
+SELECT frame, CASE WHEN value >= 15e-2 THEN det END AS det, value FROM r WHERE r = 1""")
+def proximity_pick(spark, sf_dir):
+    rows = detections(spark, sf_dir).withColumn("like", F.col("score") - 0.2)
+    return sequence.nearest_alike(rows, ["frame"], "like", F.array(F.lit(20.0), F.lit(20.0)), 100.0).select("frame", "det", "value")

@@ -119,11 +119,27 @@ def near_duplicate_pairs(spark, sf_dir):
     return observe.near_pairs(observations(spark, sf_dir), ["label"], 12.0, 0.30).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_RANKED = f"{OBS}, o AS (SELECT label, vec_id, yaw, e, sqrt(list_inner_product(e, e)) AS n, row_number() OVER (PARTITION BY label ORDER BY quality DESC, vec_id) AS r FROM q)"
+_CLOSE = "list_inner_product(k.e, o.e) / (k.n * o.n) >= 3e-1"
+
+
+@query(f"""WITH RECURSIVE {_RANKED}, st(label, r, kept) AS (SELECT label, r, [vec_id] FROM o WHERE r = 1 UNION ALL
+SELECT s.label, o.r, CASE WHEN len(s.kept) >= 24 OR EXISTS (SELECT 1 FROM o k WHERE k.label = s.label AND list_contains(s.kept, k.vec_id) AND abs(k.yaw - o.yaw) <= 7 AND {_CLOSE}) THEN s.kept ELSE list_append(s.kept, o.vec_id) END
+FROM st s JOIN o ON o.label = s.label AND o.r = s.r + 1), f AS (SELECT label, arg_max(kept, r) AS kept FROM st GROUP BY label)
+SELECT label, (generate_subscripts(kept, 1) - 1)::INT AS rank, unnest(kept) AS vec_id FROM f""")
 def greedy_dedup(spark, sf_dir):
     return observe.deduplicated(observations(spark, sf_dir), ["label"], score.quality(), 7.0, 0.30)
 
 
+@query(f"""WITH RECURSIVE {_RANKED}, st(label, r, kept, vec_id, duplicate_of) AS (SELECT label, r, [vec_id], vec_id, NULL::BIGINT FROM o WHERE r = 1 UNION ALL
+SELECT label, r, CASE WHEN d IS NULL THEN list_append(kept, vec_id) ELSE kept END, vec_id, d FROM (
+  SELECT s.label, o.r, s.kept, o.vec_id, (SELECT arg_min(k.vec_id, k.r) FROM o k WHERE k.label = s.label AND list_contains(s.kept, k.vec_id) AND abs(k.yaw - o.yaw) <= 12 AND {_CLOSE}) AS d
+  FROM st s JOIN o ON o.label = s.label AND o.r = s.r + 1))
+SELECT label, vec_id, duplicate_of, CASE WHEN duplicate_of IS NULL THEN 1e0 ELSE 5e-1 END AS penalty FROM st""")
+def mark_duplicates(spark, sf_dir):
+    return observe.marked_duplicates(observations(spark, sf_dir), ["label"], score.quality(), 12.0, 0.30)
+
+
 @query()
 def acquire_references(spark, sf_dir):
     rows = observations(spark, sf_dir).withColumn("is_photo", F.col("vec_id") % 7 == 0)

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def even_indices(clips: DataFrame, key: str, total: str, want: int, truncate: bool = False) -> DataFrame:
-    """key, frame: `want` evenly spaced indices of 0 .. total - 1, rounded (half to even) without repeats, or truncated."""
+    """key, frame: `want` evenly spaced indices of 0 .. total - 1, rounded (half to even) without repeats, or truncated. One row a clip.
+
+    Indices repeat only within their own clip, so they are made distinct before they are rows: nothing is shuffled.
+    """
     n = F.col(total)
     k = F.least(F.lit(want), n)
-    at = F.col("i") * (n - 1) / F.greatest(k - 1, F.lit(1))
-    index = (F.floor(at) if truncate else F.bround(at)).cast("long")
-    return clips.where(n > 0).select(key, total, F.explode(F.sequence(F.lit(0), (k - 1).cast("int"))).alias("i")).select(key, index.alias("frame")).distinct()
+    at = lambda i: i * (n - 1) / F.greatest(k - 1, F.lit(1))
+    index = lambda i: (F.floor(at(i)) if truncate else F.bround(at(i))).cast("long")
+    return clips.where(n > 0).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), (k - 1).cast("int")), index))).alias("frame"))
 
 
 def stride_step(fps: Column, per_second: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weftline.operators.track import Linker, _frames
+from weftline.operators.track import frames, match_frame, none
 
 
 def assign(detections: DataFrame, clip: str, diagonal: float, idle_ms: int | None = None) -> DataFrame:
@@ -24,16 +24,19 @@ def assign(detections: DataFrame, clip: str, diagonal: float, idle_ms: int | Non
         if state.hasTimedOut:
             state.remove()
             return
-        linker = pickle.loads(state.get[0]) if state.exists else Linker(diagonal)
-        pdf = pd.concat(list(batches), ignore_index=True)
-        rows = [(key[0], frame, d.det, n) for frame, some, cut in _frames(pdf) for n, d in linker.step(some, cut).items()]
-        state.update((pickle.dumps(linker),))
+        known = pickle.loads(state.get[0]) if state.exists else none()
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["frame", "det"])
+        out = []
+        for _, _, frame in frames(iter([rows]), clip):
+            known, matched = match_frame(known, frame, diagonal)
+            out.append(matched[matched["track"] > 0][[clip, "frame", "det", "track"]])
+        state.update((pickle.dumps(known),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=[clip, "frame", "det", "track"])
+        yield pd.concat(out, ignore_index=True)
 
     return detections.groupBy(clip).applyInPandasWithState(
-        run, f"{clip} {kind[clip]}, frame long, det int, track int", "linker binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+        run, f"{clip} {kind[clip]}, frame long, det int, track int", "tracks binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )
 
 
