@@ -457,6 +457,64 @@ def test_suffixes(spark, monkeypatch):
     assert suffixes.report(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_multikey_quicksort_orders_suffixes():
+    r = random.Random(8)
+    data = np.array([r.choice([0, 0, 97, 98]) for _ in range(900)], np.uint8)
+    start = np.array([r.randrange(900) for _ in range(400)] + [5] * 5)
+    length = np.array([r.randint(0, min(60, 900 - s)) for s in start])
+    group = np.array([r.randrange(3) for _ in start])
+    eights = suffixes._eights(data)
+    text = [data[s : s + n].tobytes() for s, n in zip(start, length)]
+    order = suffixes.multikey_quicksort(eights, start, length, group)
+    assert [(group[i], text[i]) for i in order] == sorted((g, t) for g, t in zip(group, text))
+    shared = suffixes.common_prefixes(eights, start[order], length[order], group[order])
+    for i, j, n in zip(order, order[1:], shared[1:]):
+        assert n == (-1 if group[i] != group[j] else next((k for k, (a, b) in enumerate(zip(text[i], text[j])) if a != b), min(len(text[i]), len(text[j]))))
+
+
+def test_windows_of_one_anchor_equal_brute_force():
+    r = random.Random(9)
+    gram = b"the leading tokens of the anchor"
+    for case in range(60):
+        few = lambda n: bytes(r.choice(b"ab\0") for _ in range(n))  # noqa: B023, E731
+        at = [r.randint(0, 12) for _ in range(r.randint(1, 25))]
+        blobs = [few(a) + (gram + b"x" * (160 - r.randint(0, 8)) + few(40))[: LENGTH_LEFT - r.randint(0, a)] for a in at]
+        blobs = [b.ljust(200, b"z") for b in blobs]
+        group, copies = np.array([r.randrange(2) for _ in at]), np.array([r.choice([1, 1, 1, 2]) for _ in at])
+        count = collections.Counter()
+        for b, a, g, n in zip(blobs, at, group, copies):
+            for w in range(len(b) - 199):
+                count[g, a - w, b[w : w + 200]] += n
+        want = {(i, w) for i, (b, a, g) in enumerate(zip(blobs, at, group)) for w in range(len(b) - 199) if count[g, a - w, b[w : w + 200]] > 1}
+        segment, window = suffixes.equal_windows(blobs, np.array(at), group, copies)
+        assert set(zip(segment.tolist(), window.tolist())) == want, case
+
+
+LENGTH_LEFT = 200
+
+
+def test_one_anchor_with_a_hundred_thousand_contents(spark, monkeypatch):
+    """Records around one long template: every one holds the same anchor, and no window of 200 bytes stands twice but in the last two."""
+    template = prose(14, 5)[:60]
+    left, right = (lambda i: hashlib.sha256(str(i).encode()).hexdigest() * 2), (lambda i: hashlib.sha512(str(i).encode()).hexdigest())
+    n = 100_000
+    rows = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat(
+        F.sha2(F.col("id").cast("string"), 256), F.sha2(F.col("id").cast("string"), 256), F.lit(template), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    twice = spark.createDataFrame([(n, left(7) + template + right(7)), (n + 1, left(7)[-70:] + template + right(7) + "!")], "doc_id long, text string")
+    out = suffixes.report(rows.unionByName(twice)).where("n_removed > 0").collect()
+    texts = {7: left(7) + template + right(7), n: left(7) + template + right(7), n + 1: left(7)[-70:] + template + right(7) + "!"}
+    want = dict(zip(texts, cut_by_hand(list(texts.values()))))
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out} == want
+
+
+def test_suffixes_of_repeated_and_null_ids(spark):
+    text = prose(60, 90)
+    df = spark.createDataFrame([(None, text), (None, text + "!"), (1, text), (1, text), (1, prose(60, 91)), (1, None)], "doc_id long, text string")
+    got = sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"]) for x in suffixes.report(df).collect())
+    want = [(d or 0, n, gone) for d, (n, gone, *_) in zip((None, None, 1, 1, 1, 1), cut_by_hand([text, text + "!", text, text, prose(60, 91), None]))]
+    assert got == sorted(want)
+
+
 def test_tiles_do_not_change_segments_windows(monkeypatch):
     data = np.frombuffer((prose(900, 5) * 2).encode(), np.uint8)
     offsets = np.array([0, 1500, 1600, len(data)])

@@ -7,51 +7,53 @@ least hash among its GRAM-byte strings (the leftmost of equals): equal windows
 have equal anchors, at one offset. A run of windows with one anchor is a
 segment; the anchor's leading tokens are the GRAM bytes that follow it.
 
-1. Segments are counted by (anchor, content). An anchor that occurs once has no
-   repeated window. A segment whose content occurs twice is repeated whole.
-2. What remains are segments that share an anchor with others of different
-   content. They, and one copy of each repeated segment, are range-partitioned
-   by leading tokens: splitters are sampled, and since the hash of equal tokens
-   is equal, so is their bucket. Anchors with very many contents are salted by
-   offset, for windows at different offsets never match.
-3. In its bucket, every window is a suffix pointer. Pointers are sorted by
-   multikey quicksort with tokens of 40 bytes: each round sorts the runs that
-   are still equal by their next token, and pointers that have become unique
-   drop out. What is left after LENGTH bytes is compared with its neighbours,
-   byte by byte, and is repeated. Splitters never part
-   equal leading tokens, so the comparison across a bucket's boundary is between
-   different tokens and can't match.
-4. Intervals return to their documents.
+1. Segments are counted by (anchor, content), on the map side first: equal ones are
+   folded into one with a number. An anchor that occurs once has no repeated window.
+2. The folded segments are range-partitioned by their leading tokens: splitters are
+   sampled. The segments of an anchor with very many contents are cut into blocks of
+   offsets, for windows at different offsets never match, and have for leading tokens,
+   beside the anchor's, the bytes that all windows of the block hold: other contents, other buckets.
+3. In its bucket, a segment is two suffixes: its bytes from the anchor on, and
+   those before the anchor, read backwards. Both are sorted by multikey quicksort: a run of
+   suffixes that are still equal is parted by the next 8 bytes, in lexicographic order, and those that
+   are alone drop out. Neighbours' common prefixes give, for each offset d, the suffixes that agree for
+   200 - d bytes after the anchor and d before it: windows of one class of both are equal. A window is repeated if
+   its class holds two segments, or a folded one.
+4. Buckets compare across their boundaries: the last leading tokens of each and the first of the next must differ,
+   as they do where no run of equal ones is parted; if not, the job fails rather than miss a match.
+5. Intervals return to all places of their segments.
 
 Hot passages are counted by partial aggregation before any shuffle, and only
-distinct segments are ever sorted. Work arrays are bounded by pieces of text,
+distinct segments are ever sorted. A task holds about `TILE` bytes, or the segments of one run of leading tokens. Work arrays are bounded by pieces of text,
 long documents included.
 
 Defined results: null text is empty; text under LENGTH bytes is kept whole;
 a text that repeats inside itself counts, overlaps included; repeated rows are
-copies of each other; extra columns are dropped by `report`; an empty table
+copies of each other, whatever their ids, null ones too; extra columns are dropped by `report`; an empty table
 stays empty.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import mix, pieces, utf8
+from weftline.llm.arrow import pieces, utf8
 from weftline.llm.shared import Stored
 
 LENGTH, GRAM = 200, 32
 TILE = 1 << 20
-TOKEN = 40
-#: Distinct contents of one anchor from which its windows are dealt by offset.
+#: Distinct contents of one anchor from which its windows are dealt by offset, and segments that a bucket is meant to hold.
 SALT_FROM, SALT_BLOCK = 512, 16
+BUCKET = 250_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -164,119 +166,195 @@ def _places(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "text_hash", "text").mapInArrow(run, "key long, text_hash long, first long, last long, at long, anchor long, content long")
 
 
-SUFFIXES = "key long, text_hash long, first long, at int, lead binary, block int, bytes binary"
+SUFFIXES = "anchor long, content long, n long, at int, lead binary, bytes binary"
 
 
 def _suffixes(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted segments, with the leading tokens of each and the block of offsets if it is salted."""
-    lists = wanted.groupBy("key", "text_hash").agg(F.collect_set(F.struct("first", "last", "at", "salted")).alias("wanted"))
+    """The bytes of one of each wanted segment, with the number of its copies, where its anchor is, and its leading tokens."""
+    lists = wanted.groupBy("key", "text_hash").agg(F.collect_set(F.struct("first", "last", "at", "anchor", "content", "n", "salted")).alias("wanted"))
     rows = keyed.select("key", "text_hash", "text").join(lists, ["key", "text_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for i in range(batch.num_rows):
-                key, h, text = (batch.column(c)[i] for c in ("key", "text_hash", "text"))
+            out: list[list] = [[] for _ in range(6)]
+            for text, some in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
-                for x in batch.column("wanted")[i].as_py():
+                for x in some:
                     lo, hi, at = x["first"], x["last"], x["at"]
                     lead = data[at : at + GRAM]
-                    blocks = [(lo, hi, -1)]
-                    if x["salted"]:  # windows s with (at - s) // SALT_BLOCK = b
-                        blocks = [(max(lo, at - (b + 1) * SALT_BLOCK + 1), min(hi, at - b * SALT_BLOCK), b) for b in range((at - hi) // SALT_BLOCK, (at - lo) // SALT_BLOCK + 1)]
-                    for a, z, b in blocks:
-                        for column, value in zip(out, (key.as_py(), h.as_py(), a, at - a, lead, b, data[a : z + LENGTH]), strict=True):
+                    parts = [(lo, hi, lead)]
+                    if x["salted"]:  # windows s with (at - s) // SALT_BLOCK = b; all of them hold the bytes from at - b * SALT_BLOCK on
+                        parts = [
+                            (max(lo, at - (b + 1) * SALT_BLOCK + 1), min(hi, at - b * SALT_BLOCK), lead + bytes([b]) + data[at - b * SALT_BLOCK : at - (b + 1) * SALT_BLOCK + 1 + LENGTH])
+                            for b in range((at - hi) // SALT_BLOCK, (at - lo) // SALT_BLOCK + 1)
+                        ]
+                    for a, z, tokens in parts:
+                        for column, value in zip(out, (x["anchor"], x["content"], x["n"], at - a, tokens, data[a : z + LENGTH]), strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "text_hash", "first", "at", "lead", "block", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "content", "n", "at", "lead", "bytes"])
 
-    # Repeated rows give repeated segments; one of each is enough.
-    return rows.mapInArrow(run, SUFFIXES).dropDuplicates(["key", "text_hash", "first", "block"])
+    # Segments that stand twice in their first document come twice; one is enough.
+    return rows.mapInArrow(run, SUFFIXES).dropDuplicates(["anchor", "content", "at", "lead"])
 
 
-def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 8 bytes from each position on as a number, and a hash of the TOKEN = 40 bytes from each position on."""
-    eight = np.zeros(len(data) - 7, np.uint64)
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number, the first byte highest; zeros follow the end."""
+    data = np.concatenate([data, np.zeros(7, np.uint8)])
+    out = np.zeros(len(data) - 7, np.uint64)
     for i in range(8):
-        eight = (eight << np.uint64(8)) | data[i : i + len(eight)]
-    h = mix(eight)
-    base = np.uint64(_BASE)
-    h16 = h[:-8] * base + h[8:]
-    h32 = h16[:-16] * (base * base) + h16[16:]
-    return eight, mix(h32[:-8] * base + h[32 : 32 + len(h32) - 8])
+        out = (out << np.uint64(8)) | data[i : i + len(out)]
+    return out
 
 
-def equal_windows(blobs: list[bytes], at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window) of every window that equals a window of its group at the same offset from the anchor.
+_MASKS = np.array([0] + [((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(1, 9)], np.uint64)
 
-    Multikey quicksort: pointers that are still equal are sorted by their next
-    token of 40 bytes, those that are alone drop out. Tokens are compared by
-    hash; pointers that are left are neighbours, and compared byte by byte.
+
+def _token(eights: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The next 8 bytes of suffixes, zeros beyond their ends, and how many of them there are."""
+    here = np.clip(length - depth, 0, 8)
+    return eights[np.minimum(start + depth, len(eights) - 1)] & _MASKS[here], here
+
+
+def multikey_quicksort(eights: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, depth: int = 0) -> np.ndarray:
+    """Suffixes (rows of start, length) in lexicographic order within their groups, the first `depth` bytes of a group being equal.
+
+    A suffix's place is that of the first of its run; each round parts the runs by the next token.
     """
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.append(True, group[order[1:]] != group[order[:-1]])[: len(order)])
+    size = np.diff(np.append(first, len(order)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.repeat(first, size)
+    alive = order[np.repeat(size > 1, size)]
+    while len(alive):
+        value, here = _token(eights, start[alive], length[alive], depth)
+        by = np.lexsort((here, value, place[alive]))
+        alive, value, here = alive[by], value[by], here[by]
+        run = place[alive]
+        outer = np.append(True, run[1:] != run[:-1])
+        inner = outer | np.append(True, (value[1:] != value[:-1]) | (here[1:] != here[:-1]))
+        begin, outer_begin = np.flatnonzero(inner), np.flatnonzero(outer)
+        size = np.diff(np.append(begin, len(alive)))
+        place[alive] = np.repeat(run[begin] + begin - outer_begin[np.searchsorted(outer_begin, begin, "right") - 1], size)
+        alive = alive[np.repeat(size > 1, size) & (here == 8)]
+        depth += 8
+    return np.argsort(place, kind="stable")
+
+
+def common_prefixes(eights: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it; -1 where the group is another."""
+    out = np.zeros(len(start), np.int64)
+    out[:1] = -1
+    out[1:][group[1:] != group[:-1]] = -1
+    alive, depth = np.flatnonzero(out == 0), 0
+    while len(alive):
+        x, n = _token(eights, start[alive], length[alive], depth)
+        y, m = _token(eights, start[alive - 1], length[alive - 1], depth)
+        differ = x ^ y
+        same = np.full(len(alive), 8)
+        for k in range(8):
+            same[(differ >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0] = np.minimum(same, k)[(differ >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0]
+        same = np.minimum(same, np.minimum(n, m))
+        out[alive] += same
+        alive = alive[same == 8]
+        depth += 8
+    return out
+
+
+def equal_windows(blobs: list[bytes], at: np.ndarray, group: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window) of every window that equals one of another segment, or stands in a segment of several copies; equal windows share group and offset."""
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
-    begins = np.cumsum(sizes) - sizes
+    anchor = np.cumsum(sizes) - sizes + at
     windows = sizes - LENGTH + 1
-    total = int(windows.sum())
-    segment = np.repeat(np.arange(len(blobs)), windows)
-    window = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-    with np.errstate(over="ignore"):
-        eight, token = _tokens(data)
-        run = (group[segment] * 4096 + (at[segment] - window)).astype(np.uint64)
-        alive, pointer = np.arange(total), begins[segment] + window
-        for step in range(0, LENGTH, TOKEN):
-            value, now = token[pointer[alive] + step], run[alive]
-            order = np.argsort(mix(now * np.uint64(_BASE) + value))
-            alive, value, now = alive[order], value[order], now[order]
-            first = np.flatnonzero(np.append(True, (now[1:] != now[:-1]) | (value[1:] != value[:-1]))[: len(alive)])
-            size = np.diff(np.append(first, len(alive)))
-            run[alive] = np.repeat(np.arange(len(first), dtype=np.uint64), size)
-            alive = alive[np.repeat(size > 1, size)]
-            if not len(alive):
-                break
-    same = run[alive[1:]] == run[alive[:-1]]
-    for step in range(0, LENGTH, 8):
-        same &= eight[pointer[alive[1:]] + step] == eight[pointer[alive[:-1]] + step]
-    alive = np.sort(alive[np.append(False, same)[: len(alive)] | np.append(same, False)[: len(alive)]])
-    return segment[alive], window[alive]
+    classes = []
+    for text, start, length, depth in ((data, anchor, sizes - at, GRAM), (data[::-1], len(data) - anchor, at, 0)):
+        eights = _eights(text)
+        order = multikey_quicksort(eights, start, length, group, depth)
+        shared = common_prefixes(eights, start[order], length[order], group[order])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        classes.append((shared, back))
+    (after, after_place), (before, before_place) = classes
+    found_segment, found_window = [], []
+    for d in range(int((at - windows + 1).min()), int(at.max()) + 1):
+        member = np.flatnonzero((at >= d) & (at - windows < d))
+        if not len(member):
+            continue
+        key = np.cumsum(after < LENGTH - d)[after_place[member]] * (len(at) + 1) + np.cumsum(before < d)[before_place[member]]
+        order = np.argsort(key)
+        begin = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+        total = np.add.reduceat(copies[member[order]], begin)
+        twice = member[order[np.repeat(total > 1, np.diff(np.append(begin, len(order))))]]
+        found_segment.append(twice)
+        found_window.append(at[twice] - d)
+    if not found_segment:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    segment, window = np.concatenate(found_segment), np.concatenate(found_window)
+    order = np.lexsort((window, segment))
+    return segment[order], window[order]
+
+
+MATCHED = "anchor long, content long, lo long, hi long, bucket int, first_lead binary, last_lead binary"
 
 
 def _matched(suffixes: DataFrame, partitions: int) -> DataFrame:
-    """key, text_hash, lo, hi: byte intervals that repeated windows of the segments cover."""
+    """anchor, content, lo, hi: byte intervals, from the anchor on, that repeated windows of the segments cover; and a row of each bucket's edges."""
 
     def finish(table: pa.Table) -> pa.RecordBatch:
-        lead, block = table.column("lead").to_pylist(), table.column("block").to_pylist()
-        group = np.cumsum([i > 0 and (lead[i] != lead[i - 1] or block[i] != block[i - 1]) for i in range(len(lead))])
-        segment, window = equal_windows(table.column("bytes").to_pylist(), table.column("at").to_numpy().astype(np.int64), group)
+        lead = table.column("lead").combine_chunks()
+        group = np.cumsum(np.append(False, pa.compute.not_equal(lead[1:], lead[:-1]).to_numpy(zero_copy_only=False)))
+        at = table.column("at").to_numpy().astype(np.int64)
+        segment, window = equal_windows(table.column("bytes").to_pylist(), at, group, table.column("n").to_numpy())
         new = np.append(True, (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1))[: len(segment)]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(segment))[: len(first)] - 1
-        take = pa.array(segment[first])
-        start = table.column("first").to_numpy()[segment[first]]
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(table.column(c).take(take).chunks) if len(first) else pa.array([], pa.int64()) for c in ("key", "text_hash")]
-            + [pa.array(start + window[first]), pa.array(start + window[last] + LENGTH)],
-            names=["key", "text_hash", "lo", "hi"],
-        )
+        take, offset = pa.array(segment[first]), window[first] - at[segment[first]]
+        ids = [table.column(c).combine_chunks().take(take) for c in ("anchor", "content")]
+        n = len(first)
+        return _rows(*ids, pa.array(offset), pa.array(window[last] - at[segment[first]] + LENGTH), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
+        from pyspark import TaskContext
+
+        waiting, held, first, last = [], 0, None, None
         for batch in batches:
-            waiting.append(batch)
-            if sum(b.nbytes for b in waiting) > TILE:
-                table = pa.Table.from_batches(waiting)
-                lead, block, n = table.column("lead"), table.column("block"), len(table)
-                end = n - 1
-                while end > 0 and lead[end - 1] == lead[n - 1] and block[end - 1] == block[n - 1]:
-                    end -= 1
-                if end:  # whole groups go, the last one waits for its rest
-                    yield finish(table.slice(0, end))
-                    waiting = table.slice(end).to_batches()
+            if not batch.num_rows:
+                continue
+            lead = batch.column("lead")
+            first, ends = lead[0].as_py() if first is None else first, lead[-1].as_py()
+            # The last run of a batch may go on in the next one: what comes before it is whole.
+            tail = int(pa.compute.index_in(pa.scalar(ends, pa.binary()), value_set=lead).as_py())
+            if tail or ends != last:
+                waiting.append(batch.slice(0, tail))
+                held += waiting[-1].nbytes
+                if held > TILE:
+                    table = pa.Table.from_batches(waiting)
+                    if table.num_rows:
+                        yield finish(table)
+                    waiting, held = [], 0
+            waiting.append(batch.slice(tail))
+            held += waiting[-1].nbytes
+            last = ends
         if waiting and (table := pa.Table.from_batches(waiting)).num_rows:
             yield finish(table)
+        if first is not None:
+            yield _rows(*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.binary()), pa.array([last], pa.binary()))
+
+    return suffixes.repartitionByRange(partitions, "lead").sortWithinPartitions("lead").mapInArrow(run, MATCHED)
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=[c.split()[0] for c in MATCHED.split(", ")])
+
 
-    # Splitters are sampled by the range partitioner; equal leading tokens and blocks share a bucket.
-    return suffixes.repartitionByRange(partitions, "lead", "block").sortWithinPartitions("lead", "block").mapInArrow(run, "key long, text_hash long, lo long, hi long")
+def _compare_boundaries(matched: DataFrame) -> None:
+    """Fails if a run of equal leading tokens lies across the boundary of two buckets: a window could then match in the next one. One row a bucket."""
+    edge = matched.where("bucket is not null").select("bucket", "first_lead", "last_lead").orderBy("bucket").collect()
+    for one, two in zip(edge, edge[1:], strict=False):
+        if one["last_lead"] >= two["first_lead"]:
+            raise RuntimeError(f"buckets {one['bucket']} and {two['bucket']} share leading tokens")
 
 
 def intervals(documents: DataFrame) -> DataFrame:
@@ -286,17 +364,21 @@ def intervals(documents: DataFrame) -> DataFrame:
     repeated = Stored(_repeated(keyed))
     _release(spark)
     placed = Stored(_places(keyed).join(repeated.rows, ["anchor", "content"]).select(
-        "key", "text_hash", "first", "last", "at", "n", ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("key") == F.col("owner")))).alias("compared"), (F.col("kinds") > SALT_FROM).alias("salted")
+        "key", "text_hash", "first", "last", "at", "anchor", "content", "n", (F.col("key") == F.col("owner")).alias("owner"), (F.col("kinds") > SALT_FROM).alias("salted")
     ))
     repeated.discard()
     _release(spark)
-    whole = placed.rows.where("n > 1").select("key", "text_hash", F.col("first").alias("lo"), (F.col("last") + LENGTH).alias("hi"))
-    suffixes = Stored(_suffixes(keyed, placed.rows.where("compared")))
+    suffixes = Stored(_suffixes(keyed, placed.rows.where("owner")))
     _release(spark)
-    matched = Stored(_matched(suffixes.rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(suffixes.rows.count() / BUCKET))
+    matched = Stored(_matched(suffixes.rows, partitions))
+    _compare_boundaries(matched.rows)
     suffixes.discard()
     _release(spark)
-    return whole.unionByName(matched.rows)
+    # A segment has at most LENGTH windows, so its intervals are one short row, whatever the number of its places.
+    found = matched.rows.where("bucket is null").groupBy("anchor", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    places = placed.rows.select("key", "text_hash", "at", "anchor", "content").join(found, ["anchor", "content"])
+    return places.select("key", "text_hash", "at", F.explode("found").alias("x")).select("key", "text_hash", (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"))
 
 
 def _release(spark) -> None:
