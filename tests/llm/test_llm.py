@@ -201,6 +201,54 @@ def test_similarity_is_a_parameter(spark, monkeypatch, percent):
     assert {x["doc_id"] for x in neardup.drop_near_duplicates(documents(spark, texts), percent).collect()} == set(want.values())
 
 
+def test_link_whose_unshared_values_are_the_least(spark):
+    """127 shingles against 108 of them: similarity 0.8504, and the 19 that are missing lie first in the order of hashes, in some of many trials."""
+    base = [f"w{i}" for i in range(131)]
+    whole = " ".join(base)
+    one = neardup.shingle_sets(np.frombuffer(whole.encode(), np.uint8), np.array([0, len(whole)]))[0]
+    limits = neardup.Limits(85)
+    assert len(one) == 127 and limits.lacks(127) == 19
+    for n in (1, 5, 20, 127, 217, 1000, 5000):  # a partner holds one of the retained values, whatever the missing ones are
+        assert limits.lacks(n) < n and 100 * (n - limits.lacks(n)) >= 85 * n > 100 * (n - limits.lacks(n) - 1)
+    sub = one[19:]  # the least hashes are not shared
+    assert neardup._linked(one, sub, limits) and not neardup.Limits(86).hopeless(one, one)
+    texts = [whole, " ".join(base[19:])] + [prose(60, 900 + i) for i in range(20)]
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}[2] == 1
+
+
+def test_union_sketches_drop_no_link():
+    r = np.random.default_rng(5)
+    for percent in (80, 85):
+        limits = neardup.Limits(percent)
+        for _ in range(400):
+            n, lost, added = r.integers(20, 3000), *r.integers(0, 400, 2)
+            pool = np.unique(r.integers(0, 2**63, n + added).astype(np.uint64))
+            a, b = pool[: -added or None], pool[min(lost, len(pool) - 1) :]
+            if r.random() < 0.5:
+                r.shuffle(pool)
+                a, b = np.sort(pool[: -added or None]), np.sort(pool[min(lost, len(pool) - 1) :])
+            both = len(np.intersect1d(a, b))
+            assert neardup._linked(a, b, limits) == (100 * both >= percent * (len(a) + len(b) - both))
+
+
+def test_family_of_twenty_thousand_variants(spark):
+    words = prose(200, 55).split()
+    def variant(i):
+        r = random.Random(i)
+        return " ".join([*words[: (k := r.randrange(200))], f"v{i}", *words[k + 1 :]])
+    n = 20_000
+    rows = spark.createDataFrame([(i, variant(i)) for i in range(n)] + [(n + i, prose(80, 7000 + i)) for i in range(50)], "doc_id long, text string").repartition(8)
+    out = neardup.near_duplicates(rows).groupBy("component_id").count().collect()
+    sizes = {r["component_id"]: r["count"] for r in out}
+    assert sizes[0] == n and len(sizes) == 51
+
+
+def test_ids_with_several_texts_give_one_result(spark):
+    rows = [(1, prose(60, 1)), (1, prose(60, 2)), (2, prose(60, 2)), (3, prose(60, 1) + " x"), (None, prose(60, 1)), (4, None)]
+    results = {tuple(sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"] or 0) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(k)).collect())) for k in (1, 3, 5)}
+    assert len(results) == 1
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert neardup.near_duplicates(documents(spark, []).limit(0)).count() == 0
     df = spark.createDataFrame([(None, prose(30, 1)), (None, prose(30, 1)), (5, prose(30, 1))], "doc_id long, text string")
