@@ -7,15 +7,15 @@ an opening and a closing mark, so that a word's begin and end count as character
 Against a landmark l a word x scores min(1, K(x, l) / K(l, l)); these features are
 whitened by the landmarks' own kernel matrix (Nyström) and go to a linear SVM.
 
-A document is a bag of words. Its features are, for each landmark, the greatest score of its words
-and the logarithm of the sum of their scores: one insult can be enough, and pieces that stand in
+A document is a bag of words. Its features are, for each landmark, the logarithm of 1 + the sum of its words'
+scores to the power of `SHARPEN`, again a kernel: one insult can be enough, and pieces that stand in
 clean documents too count by how often they stand. The SVM is trained on whole documents of both labels. A logistic
 calibration, fitted on margins of samples left out of the SVM they come from, makes a margin a score.
 
 Landmarks are pieces of words, of both labels and all languages: those of toxic
 documents by likelihood ratio, one after the other over the words that hold none
-of the ones before, with no demand that a piece be absent from clean documents,
-which the SVM weighs; and the clean words that come closest to these. Words are taken
+of the ones before, which must stand `LIFT` times as often in toxic as in clean documents, but not be absent from these:
+the SVM weighs that; and the clean words that come closest to these. Words are taken
 as written, and with punctuation, repeated single letters ("i d i o t") and digits used as
 letters undone.
 
@@ -53,6 +53,8 @@ LAMBDA, ORDER = 0.66, 5
 POSITIVE, NEGATIVE = 1_200, 2_500
 #: Landmarks of toxic documents, and clean words beside them, at most; chance that a piece of no meaning becomes one.
 LANDMARKS, CONTRASTS, CHANCE = 40, 8, 0.01
+#: Least ratio of the rates at which toxic and clean documents hold a landmark: syllables of a language that is more often toxic have a small one.
+LIFT = 3
 #: Weights of a clean document, and of a landmark with a character inserted, against that of a toxic one.
 CLEAN_WEIGHT, INSERTED_WEIGHT = 2.0, 0.5
 SHARPEN, FOLDS = 2.5, 5
@@ -194,9 +196,36 @@ def _pieces(word: str) -> set[str]:
     return {w[i : i + n] for n in range(PIECE_MIN, PIECE_MAX + 1) for i in range(len(w) - n + 1)}
 
 
+def _frequent(counts: Counter[str], enough) -> tuple[set[str], int]:
+    """The pieces whose words' counts together are enough, and the number of distinct pieces: by hashes in arrays, for the pieces of all words are many."""
+    names = list(counts)
+    marked = [OPEN + w + CLOSE for w in names]
+    text = "".join(marked)
+    codes = np.array([text], f"U{len(text)}").view(np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), np.fromiter(map(len, marked), np.int64, len(marked)))
+    weight = np.fromiter((counts[w] for w in names), np.int64, len(names))
+    found = []
+    with np.errstate(over="ignore"):
+        for n in range(PIECE_MIN, PIECE_MAX + 1):
+            h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+            for i in range(n):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(h)])
+            inside = np.flatnonzero(owner[: len(h)] == owner[n - 1 :])
+            _, first, back = np.unique(h[inside], return_index=True, return_inverse=True)
+            total = np.zeros(len(first), np.int64)
+            np.add.at(total, back, weight[owner[inside]])
+            found.append((n, inside[first], total))
+    kinds = sum(len(t) for _, _, t in found)
+    out: set[str] = set()
+    for n, at, total in found:
+        good = {t: enough(t, kinds) for t in np.unique(total).tolist()}
+        out.update(text[i : i + n] for i, t in zip(at.tolist(), total.tolist(), strict=True) if good[t])
+    return out, kinds
+
+
 def _ratio(a: int, b: int, toxic: int, clean: int) -> float:
-    """Twice the log likelihood ratio of a piece's rates in a of the toxic and b of the clean documents; 0 if the clean rate is higher."""
-    if a * clean <= b * toxic:
+    """Twice the log likelihood ratio of a piece's rates in a of the toxic and b of the clean documents; 0 unless the toxic rate is `LIFT` times the clean one."""
+    if a * clean < LIFT * b * toxic:
         return 0.0
     share = (a + b) / (toxic + clean)
     part = lambda x, e: x * math.log(x / e) if x else 0.0
@@ -213,18 +242,18 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     if not toxic or not clean:
         return []
     for_, against = Counter(w for ws in toxic for w in ws), Counter(w for ws in clean for w in ws)
+    ratio = lambda a, b: _ratio(min(a, len(toxic)), min(b, len(clean)), len(toxic), len(clean))
+    often, kinds = _frequent(for_, lambda total, kinds: ratio(total, 0) >= 2 * math.log(max(2, kinds) / CHANCE))
+    least = 2 * math.log(max(2, kinds) / CHANCE)
     holds: dict[str, set[str]] = {}
     for w in for_:
-        for g in _pieces(w):
+        for g in _pieces(w) & often:
             holds.setdefault(g, set()).add(w)
-    least = 2 * math.log(max(2, len(holds)) / CHANCE)
-    ratio = lambda a, b: _ratio(min(a, len(toxic)), min(b, len(clean)), len(toxic), len(clean))
     holds = {g: ws for g, ws in holds.items() if ratio(sum(for_[w] for w in ws), 0) >= least}
     other: Counter[str] = Counter()
     for w, n in against.items():
-        for g in _pieces(w):
-            if g in holds:
-                other[g] += n
+        for g in _pieces(w) & holds.keys():
+            other[g] += n
     marks: list[str] = []
     while len(marks) < most:
         value = {g: ratio(sum(for_[w] for w in ws), other[g]) for g, ws in holds.items()}
@@ -264,19 +293,16 @@ class Model:
         self.slope, self.offset = _logistic(margin, y)
 
     def documents(self, landmarks: Landmarks, documents: list[set[str]]) -> np.ndarray:
-        """For each document and landmark the greatest score of its words, and the logarithm of 1 + the sum of their scores to the power of `SHARPEN`; whitened."""
+        """For each document and landmark the logarithm of 1 + the sum of its words' scores to the power of `SHARPEN`; whitened."""
         found, f = landmarks.features(sorted(set().union(*documents)))
+        f **= SHARPEN
         row = {w: i for i, w in enumerate(found)}
-        held = [[row[w] for w in ws if w in row] for ws in documents]
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        greatest, total = np.zeros((len(held), len(self.marks))), np.zeros((len(held), len(self.marks)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            f = f[np.fromiter((i for h in held for i in h), np.int64, int(sizes.sum()))]
-            starts = np.cumsum(sizes[some]) - sizes[some]
-            greatest[some] = np.maximum.reduceat(f, starts)
-            total[some] = np.log1p(np.add.reduceat(f**SHARPEN, starts))
-        return total @ self.map
+        out = np.zeros((len(documents), len(self.marks)))
+        for i, ws in enumerate(documents):
+            held = [row[w] for w in ws if w in row]
+            if held:
+                out[i] = np.log1p(f[held].sum(axis=0))
+        return out @ self.map
 
     def score(self, landmarks: Landmarks, documents: list[set[str]]) -> np.ndarray:
         """The probability that each document is toxic."""
