@@ -13,8 +13,8 @@ that rate. A shorter item is matched exactly, where it doesn't begin or end
 within a word of ASCII letters and digits.
 
 The items travel to the executors in blocks of about `BLOCK_CHARS` characters,
-so what is shipped is bounded whatever the benchmark's size; a larger benchmark
-takes several passes over the documents. Documents are read where they lie:
+each with one pass over the documents; the driver holds the items, and a task one block at a time. A
+q-gram that many items share is no hot key: a row's pairs are counted range of items by range, and expanded `PAIRS` at a time. Documents are read where they lie:
 nothing is shuffled, and each text is searched whole.
 
 Defined results: null or empty text matches nothing, null and empty items are left out,
@@ -25,6 +25,7 @@ empty benchmark leaves every document as it is.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import bound_batches, pieces, powers, trim, utf8
+from weftline.llm.arrow import bound_batches, pieces, powers, ragged, trim, utf8
 
 Q, RATE, MIN_CHARS = 8, 0.1, 32
 BLOCK_CHARS = 4 << 20
@@ -41,6 +42,8 @@ _BASE = 0x9E3779B97F4A7C15
 _TABLE_BITS = 20
 #: Alignments at a time, and cells of their texts, which bound a batch of long items.
 _AT_ONCE, _CELLS = 512, 1 << 18
+#: Pairs of a text's and an item's q-gram that are expanded at a time.
+PAIRS = 1 << 18
 _NEVER = np.int64(1 << 60)
 _WORD = np.zeros(128, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -131,7 +134,8 @@ class Index:
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.item, self.place = item[order], place[order]
-        self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.grams, number, self.count = np.unique(flat[order], return_inverse=True, return_counts=True)
+        self.key = number * len(self.n) + self.item  # ascending: the places of a gram, by item
         self.maybe = np.zeros(1 << _TABLE_BITS, bool)
         self.maybe[self._slot(self.grams)] = True
 
@@ -175,26 +179,38 @@ class Index:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         at, gram, row = at[dense], gram[dense], row[dense]
         lo = 0
-        while lo < len(at):  # whole rows, about 260,000 pairs at a time
+        while lo < len(at):  # whole rows, about `PAIRS` pairs at a time
             ends = np.cumsum(self.count[gram[lo:]])
-            hi = lo + max(1, int(np.searchsorted(ends, 1 << 18)))
+            hi = lo + max(1, int(np.searchsorted(ends, PAIRS)))
             hi = int(np.searchsorted(row, row[min(hi, len(at)) - 1], "right"))
-            self._bands(points, starts, at[lo:hi], gram[lo:hi], row[lo:hi], found)
+            parts = max(1, min(len(self.n), -(-int(self.count[gram[lo:hi]].sum()) // PAIRS)))
+            for first, last in itertools.pairwise(np.linspace(0, len(self.n), parts + 1).astype(int).tolist()):
+                self._bands(points, starts, at[lo:hi], gram[lo:hi], row[lo:hi], (first, last), found)
             lo = hi
         return [(r, i, *x) for (r, i), x in found.items()]
 
-    def _bands(self, points, starts, at, gram, row, found) -> None:
-        n = self.count[gram]
-        which = np.repeat(self.first[gram] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        item, place = self.item[which], self.place[which]
-        at, row = np.repeat(at, n) - np.repeat(starts[row], n), np.repeat(row, n)
+    def _counted(self, at: np.ndarray, gram: np.ndarray, base: np.ndarray, items: tuple[int, int], shift: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matches of each (row, item, band) for a range of items; pairs are expanded `PAIRS` at a time, and only their counts kept."""
+        begin = np.searchsorted(self.key, gram * len(self.n) + items[0])
+        n = np.searchsorted(self.key, gram * len(self.n) + items[1]) - begin
+        ends, keys, counts, lo = np.cumsum(n), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+            some = n[lo:hi]
+            which = ragged(begin[lo:hi], some)
+            item, place = self.item[which], self.place[which]
+            band = (np.repeat(at[lo:hi], some) - place + shift) // (self.k[item] + 1) + 1  # one up, so that the lower of the two is never negative
+            key = (np.repeat(base[lo:hi], some) * len(self.n) + item) * size + band
+            keys, back = np.unique(np.concatenate([keys, key, key - 1]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, np.ones(2 * len(key), np.int64)]), len(keys)).astype(np.int64)
+            lo = hi
+        return keys, counts
+
+    def _bands(self, points, starts, at, gram, row, items, found) -> None:
+        at = at - starts[row]
         shift = int(self.n.max())  # diagonals of regions that begin before the row are negative
-        width = self.k[item] + 1
-        band = (at - place + shift) // width + 1  # bands are one up, so that the lower of the two is never negative
-        base = row - row[0]
-        size = int(band.max()) + 2
-        key = (base * len(self.n) + item) * size + band
-        keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        size = int(at.max()) + shift + 3
+        keys, counts = self._counted(at, gram, row - row[0], items, shift, size)
         items = keys // size % len(self.n)
         good = counts >= self.least[items]
         keys, items = keys[good], items[good]
