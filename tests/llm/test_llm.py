@@ -130,6 +130,36 @@ def test_decontamination_of_long_and_short_items(spark):
     assert {x["doc_id"] for x in kept.collect()} == set(range(1, len(texts) + 1)) - {d for d, _ in found}
 
 
+def test_decontamination_of_a_hot_template_keeps_memory_flat():
+    import tracemalloc
+
+    r = random.Random(3)
+    template = "which of the following statements about the subject of this question is the one that most people hold to be right: "
+    text = " ".join(template + prose(3, 100 + i) for i in range(400))
+    points = decontam._points(text)
+    peaks = []
+    for n in (20, 160):
+        items = [(i, template + prose(12, 5000 + i)) for i in range(n - 1)] + [(n, text[3000:3300])]
+        index = decontam.Index(items)
+        tracemalloc.start()
+        found = index.search(points, np.array([0, len(points)]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n - 1 in {i for _, i, *_ in found}
+        some = r.sample(range(n - 1), 3)
+        assert {i for _, i, *_ in found} & set(some) == {i for i in some if edits(items[i][1], text[:4000]) <= index.k[i]}
+    assert peaks[1] < 2 * peaks[0] + (40 << 20)
+
+
+def test_decontamination_of_repeated_and_null_ids_and_no_documents(spark):
+    item = prose(20, 1)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(None, item), (4, item), (4, item), (4, "x"), (5, None)], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0) for x in decontam.find(df, benchmark).collect()) == [0, 4, 4]
+    assert decontam.drop_contaminated(df, benchmark).count() == 2
+    assert decontam.find(df.limit(0), benchmark).count() == 0 and decontam.drop_contaminated(df.limit(0), benchmark).count() == 0
+
+
 # --- near duplicates
 
 def shingles(text):
@@ -290,6 +320,34 @@ def test_reshard_places_every_row_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == sum(len(by[s]) for s in affected)
 
 
+def test_equal_rows_are_dealt_over_all_blocks(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "same")] * 2_500 + [(None, "x")] * 300 + [(None, None), (1, "")], "doc_id long, text string").repartition(3)
+    numbered = reshard._numbered(reshard.sized(rows).withColumn("old_shard", F.lit(0)))
+    assert numbered.where("doc_id = 7").agg(F.count_distinct("copy"), F.max("copy")).first() == (2_500, 2_499)
+    placed = reshard.reshard(reshard.sized(rows), F.lit(0), 4)
+    shards = {r["shard"]: r for r in placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots")).collect()}
+    assert set(shards) == set(range(4)) and sum(r["n"] for r in shards.values()) == 2_802 and all(r["slots"] == r["n"] == r["top"] + 1 for r in shards.values())
+    assert max(r["b"] for r in shards.values()) - min(r["b"] for r in shards.values()) <= 10
+    with pytest.raises(ValueError):
+        reshard.rewrite(rows, placed, str(tmp_path / "x"))
+
+
+def test_flow_equals_the_least_of_all_dealings():
+    import itertools
+
+    r = random.Random(4)
+    for _ in range(20):
+        supply = [r.randint(0, 4) for _ in range(3)]
+        capacity = [r.randint(1, 5) for _ in range(3)]
+        if sum(capacity) < sum(supply):
+            continue
+        rows = [i for i, s in enumerate(supply) for _ in range(s)]
+        fits = (d for d in itertools.product(range(3), repeat=len(rows)) if all(d.count(j) <= capacity[j] for j in range(3)))
+        least = min(sum(i != j for i, j in zip(rows, d)) for d in fits)
+        flow = reshard.min_cost_flow(supply, capacity, lambda i, j: int(i != j))
+        assert sum(f for (i, j), f in flow.items() if i != j) == least and [sum(f for (i, _), f in flow.items() if i == k) for k in range(3)] == supply
+
+
 # --- media
 
 def test_media_round_trip_and_digests(spark):

@@ -8,12 +8,14 @@ each new one. An old shard's rows, in block order, are then cut at the flow's
 amounts, so a transfer is a run of blocks, of which the first and the last may
 be divided between two shards.
 
-Only block sums reach the driver: old shards x `BLOCKS` rows, whatever the
-number of documents. Texts are never shuffled, and a block holds 1/`BLOCKS` of
-an old shard's rows: equal texts and equal ids differ by a salt.
-
-Defined results: null text has size 1; an empty table gives an empty result;
-rows of equal id and text are interchangeable, and each gets its own slot.
+Only block sums reach the driver: at most old shards x `MOST_BLOCKS` rows, whatever the
+number of documents; the number of blocks follows that of rows. Texts are never shuffled, and a block holds about
+`BLOCK_ROWS` rows: rows of equal id and text are counted, on the map side first, and told apart by their number, so
+that they are dealt over all blocks of their old shard.
+
+Defined results: null text has size 1; null ids and repeated rows are rows like any other; an empty table gives an empty result;
+rows of equal id and text are interchangeable, and each gets its own slot. `rewrite` refuses
+null and repeated ids, since it finds the rows of a table by them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 256
+BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 20_000, 16, 4_096
+#: Equal rows that are told apart in one array.
+COPIES = 1_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -87,16 +91,25 @@ def old_by_hash(n: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
 
 
-def reshard(rows: DataFrame, old_shard: Column, n_new: int, blocks: int = BLOCKS) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with copy: 0, 1, ... for rows that are equal, the same whatever the partitions."""
+    equal = rows.groupBy("old_shard", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    chunk = equal.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    upto = F.least(F.lit(COPIES), F.col("n") - F.col("chunk") * COPIES) - 1
+    return chunk.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), upto))).withColumn("copy", F.col("chunk") * COPIES + F.col("copy")).drop("n", "chunk")
+
+
+def reshard(rows: DataFrame, old_shard: Column, n_new: int, blocks: int | None = None) -> DataFrame:
     """Rows of `sized` with old_shard, shard and slot.
 
-    New shard j continues old shard j; a move is any other pair. Two passes
+    New shard j continues old shard j; a move is any other pair. Passes go
     over the rows without texts: one sums the blocks, one cuts them.
     """
     rows = rows.withColumn("old_shard", old_shard)
-    # The salt parts rows of one id: what the hash deals is id, checksum and a random-looking mix of both with the size.
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string")), "text_crc32", "size"), F.lit(blocks)).cast("int")
-    rows = rows.withColumn("block", block)
+    if blocks is None:
+        size = rows.agg(F.count("*").alias("n"), F.max("old_shard").alias("last")).first()
+        blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-size["n"] // (BLOCK_ROWS * ((size["last"] or 0) + 1)))))
+    rows = _numbered(rows).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "copy"), F.lit(blocks)).cast("int"))
     sums = [(r["old_shard"], r["block"], r["b"]) for r in rows.groupBy("old_shard", "block").agg(F.sum("size").alias("b")).collect()]
     if not sums:
         return rows.select("doc_id", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -126,7 +139,7 @@ def reshard(rows: DataFrame, old_shard: Column, n_new: int, blocks: int = BLOCKS
         pieces.append((o, b, start, over))
     plan = spark.createDataFrame(pieces, "old_shard int, block int, start long, over array<struct<hi: long, shard: int>>")
     # A row belongs to the piece that holds its middle byte.
-    order = Window.partitionBy("old_shard", "block").orderBy(F.xxhash64("doc_id", "text_crc32"), "doc_id", "text_crc32", "size")
+    order = Window.partitionBy("old_shard", "block").orderBy(F.xxhash64("doc_id", "text_crc32", "copy"), "doc_id", "text_crc32", "size", "copy")
     middle = F.col("start") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.expr("size div 2") - 1
     placed = (
         rows.join(F.broadcast(plan), ["old_shard", "block"]).withColumn("middle", middle)
@@ -142,7 +155,7 @@ def reshard(rows: DataFrame, old_shard: Column, n_new: int, blocks: int = BLOCKS
             firsts.append((shard, o, b, at))
             at += n
     first = spark.createDataFrame(firsts, "shard int, old_shard int, block int, first long")
-    within = Window.partitionBy("old_shard", "block", "shard").orderBy("middle")
+    within = Window.partitionBy("old_shard", "block", "shard").orderBy("middle", "doc_id", "text_crc32", "copy")
     return placed.join(F.broadcast(first), ["shard", "old_shard", "block"]).select(
         "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.row_number().over(within) - 1).alias("slot")
     )
@@ -151,10 +164,12 @@ def reshard(rows: DataFrame, old_shard: Column, n_new: int, blocks: int = BLOCKS
 def rewrite(documents: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write the shards that gain or lose rows to `path`/shard=N, and return them; others keep their files.
 
-    `placed` is `reshard` of the documents; ids must be unique and not null.
+    `placed` is `reshard` of the documents; ids must be unique and not null. A shard's files hold ranges of its slots, so several tasks write it.
     """
+    if placed.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        raise ValueError("ids must be unique and not null")
     changed = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     affected = sorted(r["shard"] for r in changed.collect())
     moved = placed.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    documents.join(moved, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    documents.join(moved, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
     return affected
