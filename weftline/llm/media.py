@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import list_array, pieces, utf8
+from weftline.llm.arrow import bound_batches, list_array, pieces, trim, utf8
 
 FRAME, HOP, RATE = 192, 96, 8_000
 BANDS = ((1, 12), (12, 36), (36, 96))
@@ -156,6 +156,7 @@ def store(documents: DataFrame) -> DataFrame:
                     [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
                 )
 
+    bound_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STORED)
 
 
@@ -169,6 +170,7 @@ def read(stored: DataFrame) -> DataFrame:
             for lo, hi in pieces(ends):
                 yield _read(ids[lo:hi], sizes[lo:hi], media[lo:hi])
 
+    bound_batches(stored.sparkSession)
     return stored.mapInArrow(run, READ)
 
 
@@ -179,7 +181,9 @@ def store_and_read(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for stored in _stored(batch):
                 yield _read(*stored)
+            trim()
 
+    bound_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, READ)
 
 

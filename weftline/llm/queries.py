@@ -49,7 +49,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_and_read(_table(spark, sf_dir, "documents"))
-    return stored.withColumn("feature", media.digest(F.col("fingerprint"))).drop("fingerprint")
+    return stored.withColumn("feature", media.digest(F.col("fingerprint")))
 
 
 def tokenizer() -> tuple[str, str]:
