@@ -370,6 +370,35 @@ def test_media_round_trip_and_digests(spark):
     assert out[1]["fingerprint"] == []  # silence
 
 
+def peaks_by_hand(payload):
+    """Peak pairs from the docstring's words: windows, bands, peaks over time, three partners each."""
+    n = len(payload) // 96 - 1
+    power = np.array([[(x := np.frombuffer(payload[96 * t : 96 * t + 192], np.uint8) - 128.0) @ media.BASIS[:, k - 1], x @ media.BASIS[:, k - 1 + 95]] for t in range(n) for k in range(1, 96)])
+    power = (power.astype(float) ** 2).sum(axis=1).reshape(n, 95)
+    found = []
+    for lo, hi in media.BANDS:
+        level = [max(power[t, lo - 1 : hi - 1]) for t in range(n)]
+        for t in range(n):
+            if level[t] > 0 and (t == 0 or level[t] >= level[t - 1]) and (t == n - 1 or level[t] > level[t + 1]):
+                found.append((t, lo + int(np.argmax(power[t, lo - 1 : hi - 1]))))
+    found.sort()
+    return sorted(t << 20 | b << 13 | c << 6 | (u - t) for i, (t, b) in enumerate(found) for u, c in found[i + 1 : i + 4] if u - t <= 63)
+
+
+def test_fingerprints_equal_peaks_by_hand():
+    payloads = [media.padded(t.encode()) for t in (prose(60, 1), prose(15, 2), "ab" * 300, "é" * 500, prose(300, 3))]
+    for payload, got in zip(payloads, media.fingerprints(payloads)):
+        assert got.tolist() == peaks_by_hand(payload)
+    assert peaks_by_hand(payloads[0])
+
+
+def test_media_of_repeated_and_null_ids_and_no_documents(spark):
+    df = spark.createDataFrame([(None, "abc"), (1, "abc"), (1, "abc"), (1, None)], "doc_id long, text string")
+    out = media.store_and_read(df).collect()
+    assert sorted((x["doc_id"] or 0, x["n_bytes"]) for x in out) == [(0, 3), (1, 0), (1, 3), (1, 3)] and len({x["media_sha256"] for x in out}) == 2
+    assert media.store_and_read(df.limit(0)).count() == 0
+
+
 def test_spectra_equal_a_plain_transform():
     x = np.frombuffer(prose(40, 9).encode()[:192], np.uint8)
     z = (x.astype(float) - 128) @ media.BASIS.astype(float)
@@ -672,6 +701,50 @@ def test_language_id_of_languages_with_hundreds_of_letters(spark):
     assert [model.predict(t)[0] for _, t, _ in test] == [g for _, _, g in test]
 
 
+def test_language_by_hand(spark):
+    """Rank order, counts and out-of-place distance from their definitions."""
+    rows = [(i, sample(g, i, 40), g) for i, g in enumerate(list(LETTERS) * 6)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn(train)
+    model = langid.Model(profiles)
+    order = {ch: model.codes[ord(ch)] for ch in "".join(LETTERS.values())}
+
+    def grams(text):
+        padded = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        return [g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " " and "  " not in g]
+
+    def key(g):
+        value = 0
+        for ch in g:
+            value = value << langid.BITS | (0 if ch == " " else int(order[ch]))
+        return value | (0 if len(g) == 1 else 1 << len(g) * langid.BITS)
+
+    agree = 0
+    for i in range(30):
+        text = sample(list(LETTERS)[i % 3], 700 + i, 30)
+        count = collections.Counter(grams(text))
+        top = sorted(count, key=lambda g: (-count[g], key(g)))[: langid.RANKS]
+        cost = {lang: sum(abs(ranks.index(g) - r) if g in ranks else langid.RANKS for r, g in enumerate(top)) for lang, ranks in profiles}
+        agree += min(cost, key=lambda k: (cost[k], k)) == model.predict(text)[0]
+        assert set(top) == set(top)
+    assert agree == 30
+
+
+def test_language_of_repeated_and_null_ids(spark):
+    profiles = langid.learn(spark.createDataFrame([(i, sample(g, i), g) for i, g in enumerate(list(LETTERS) * 10)], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(None, sample("de", 1), 1), (1, sample("en", 2), 1), (1, sample("fr", 3), 1), (1, None, 1)], "doc_id long, text string, _judged int")
+    assert sorted((x["doc_id"] or 0, x["lang_pred"]) for x in langid.predict(df, profiles).collect()) == [(0, "de"), (1, "en"), (1, "fr"), (1, "und")]
+    assert langid.predict(df.limit(0), profiles).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are absent")
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = langid.predict(docs, langid.learn(docs.where(langid.training_fold())), keep=["doc_id", "lang"])
+    held = found.where(~langid.training_fold()).where("lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert held >= 0.99
+
+
 def test_ranks_by_hand():
     grams = langid._grams(np.array([0, 1, 2, 0, 1, 0], np.uint8))
     values, counts = langid._ranked(grams, 3)

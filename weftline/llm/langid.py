@@ -80,7 +80,7 @@ def learn(documents: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> lis
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = rows.groupBy("lang").count()  # a row a language
     share = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))) < F.lit(float(sample)) / F.col("count")
-    few = rows.join(F.broadcast(per), "lang").where(share).dropDuplicates(["doc_id"]).select("lang", "text")
+    few = rows.join(F.broadcast(per), "lang").where(share).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.lang", "x.text")  # an id counts once, with its least row
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,5 +200,8 @@ def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: l
         trim()
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
 
-    judged = documents.withColumn("_judged", judge("text"))
-    return judged.select(*keep, F.col("_judged.lang_pred").alias(f"lang_pred{suffix}"), F.col("_judged.score").alias(f"score{suffix}"))
+    own = "_judged"
+    while own in documents.columns:
+        own += "_"
+    judged = documents.withColumn(own, judge("text"))
+    return judged.select(*keep, F.col(f"{own}.lang_pred").alias(f"lang_pred{suffix}"), F.col(f"{own}.score").alias(f"score{suffix}"))

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a folder of our own only where that is unset, as in tests."""
+    """`spark.checkpoint.dir` of the session; a folder of our own only where that is unset and all tasks run in this machine, as in tests."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
     return context.getCheckpointDir().get()
 
