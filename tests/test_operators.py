@@ -305,3 +305,38 @@ def test_liveness_and_evictions(spark):
 def test_holdout_columns_never_reach_the_score():
     used = {m for _, m, *_ in score.TERMS} | set(select.MEANS.values())
     assert not any("holdout" in m or "sface" in m for m in used)
+
+
+def test_a_group_of_jobs_is_seen_while_it_runs_and_can_be_cancelled(spark):
+    import threading
+    import time
+
+    ended = []
+
+    def work():
+        try:
+            control.in_group(spark, "render-1", lambda: spark.range(4).repartition(4).foreach(lambda _: time.sleep(60)))
+        except Exception as e:  # noqa: BLE001  the JVM reports a cancelled job as a failed one
+            ended.append(e)
+
+    from pyspark import InheritableThread
+
+    t = InheritableThread(target=work)
+    t.start()
+    for _ in range(200):
+        if control.is_active(spark, "render-1"):
+            break
+        time.sleep(0.1)
+    assert control.is_active(spark, "render-1")
+    control.cancel_group(spark, "render-1")
+    t.join(40)
+    assert ended and not t.is_alive() and isinstance(t, threading.Thread)
+
+
+def test_strategies_are_functions_of_a_column(spark):
+    """A strategy maps a pose to a vector; evaluation takes any."""
+    rows = spark.createDataFrame([(1, -30.0), (1, 0.0), (1, 30.0)], "k int, yaw double")
+    strategies = {"fixed": lambda yaw: F.array(F.lit(1.0), F.lit(0.0)), "turned": lambda yaw: F.array(F.cos(F.radians(yaw)), F.sin(F.radians(yaw)))}
+    truth = F.array(F.cos(F.radians("yaw")), F.sin(F.radians("yaw")))
+    out = rows.agg(*(F.avg(F.aggregate(F.zip_with(s(F.col("yaw")), truth, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)).alias(n) for n, s in strategies.items())).first()
+    assert out["turned"] == pytest.approx(1.0) and out["fixed"] < 1.0

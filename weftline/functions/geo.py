@@ -109,3 +109,37 @@ def landmark_motion(before: Column | str, after: Column | str) -> Column:
     p = _col(after)
     eyes = F.sqrt(F.pow(p[1]["x"] - p[0]["x"], 2) + F.pow(p[1]["y"] - p[0]["y"], 2))
     return F.coalesce(_mean_distance(_col(before), p) / F.when(eyes == 0, 1.0).otherwise(eyes), F.lit(0.0))
+
+
+def region_of_interest(corners: Column | str, width: Column | int, height: Column | int) -> Column:
+    """Box (x0, y0, x1, y1) of whole pixels around mapped corners (an array of x, y), a pixel wider on each side and clipped to the frame; null outside it."""
+    p = _col(corners)
+    side = lambda axis, pick: pick(F.transform(p, lambda c: c[axis]))
+    lo = lambda axis: F.greatest(F.lit(0), F.floor(side(axis, F.array_min)) - 1).cast("int")
+    hi = lambda axis, end: F.least(F.lit(end) if isinstance(end, int) else end, F.ceil(side(axis, F.array_max)) + 1).cast("int")
+    box = F.array(lo("x"), lo("y"), hi("x", width), hi("y", height))
+    return F.when((box[2] > box[0]) & (box[3] > box[1]), box)
+
+
+def mapped(corners: Column | str, affine: Column | str) -> Column:
+    """Corners (x, y) under an affine map, an array of its two rows of three."""
+    m = _col(affine)
+    return F.transform(_col(corners), lambda c: F.struct((m[0] * c["x"] + m[1] * c["y"] + m[2]).alias("x"), (m[3] * c["x"] + m[4] * c["y"] + m[5]).alias("y")))
+
+
+def anchor_centre(index: Column, feature_width: Column | int, stride: Column | int, anchors: int = 1) -> Column:
+    """Centre of anchor `index` of a feature map, in pixels of the input; `anchors` share each cell."""
+    cell = F.floor(index / anchors)
+    return F.struct(((cell % feature_width) * stride).cast("double").alias("x"), (F.floor(cell / feature_width) * stride).cast("double").alias("y"))
+
+
+def decoded_box(centre_: Column, distances: Column | str) -> Column:
+    """Box (x1, y1, x2, y2) from distances left, top, right and bottom of a centre."""
+    d = _col(distances)
+    return F.array(centre_["x"] - d[0], centre_["y"] - d[1], centre_["x"] + d[2], centre_["y"] + d[3])
+
+
+def decoded_points(centre_: Column, offsets: Column | str) -> Column:
+    """Points (x, y) from alternating offsets of a centre."""
+    o = _col(offsets)
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(o) / 2).cast("int") - 1), lambda i: F.struct((centre_["x"] + F.get(o, 2 * i)).alias("x"), (centre_["y"] + F.get(o, 2 * i + 1)).alias("y")))

@@ -238,3 +238,42 @@ def letterboxed(width: Column, height: Column, size: Column) -> tuple[Column, Co
     scale = F.least(size / width, size / height)
     side = lambda x: F.greatest(F.lit(1), F.bround(x * scale).cast("long"))
     return scale, side(width), side(height)
+
+
+def visibility(chroma_distance: Column, texture: Column, luminance: Column) -> Column:
+    """How surely a region shows skin, by its weakest sign: colour near the face's, texture, and light neither crushed nor blown."""
+    unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    light = F.least(luminance - 18.0, F.lit(246.0) - luminance)
+    return F.least(unit(1.0 - (chroma_distance - 6.0) / 22.0), F.greatest(unit(texture / 45.0), F.lit(0.35)), unit(light / 28.0))
+
+
+#: Pipelines by the name of a preset: swapper, mask, colour match, whether parsing and occlusion are used.
+PRESETS = {
+    **dict.fromkeys(("max", "quality", "balanced"), ("alphaface_256", "model", True, True, True)), "fast": ("hyperswap_1a_256", "model", False, False, False),
+}
+AUTO_NEEDS_BENCHMARK = "auto needs the winner of a benchmark"
+
+
+def preset(quality: Column, winner: Column | None = None) -> Column:
+    """struct(swapper, enhancer, mask, color_match, use_parsing, use_occlusion, error): a given winner, else what the preset names; unknown names are `max`.
+
+    `auto` without a winner gives no pipeline but an error: a default would pass for a benchmark's result.
+    """
+    none = F.lit(None).cast("string")
+    field = lambda i: F.coalesce(*(F.when(quality == name, F.lit(v[i])) for name, v in PRESETS.items()), F.lit(PRESETS["max"][i]))
+    auto = (quality == "auto") & (winner.isNull() if winner is not None else F.lit(True))
+    ok = lambda c: F.when(~F.coalesce(auto, F.lit(False)), c)
+    swapper = F.coalesce(winner, field(0)) if winner is not None else field(0)
+    return F.struct(
+        ok(swapper).alias("swapper"), none.alias("enhancer"), ok(field(1)).alias("mask"), ok(field(2)).alias("color_match"), ok(field(3)).alias("use_parsing"), ok(field(4)).alias("use_occlusion"),
+        F.when(auto, AUTO_NEEDS_BENCHMARK).alias("error"),
+    )
+
+
+def summary_line(photos: Column, video_refs: Column, bins: Column) -> Column:
+    """What a reference bank holds, in one line: photos, video references if any, and the pose bins covered."""
+    first = F.concat(photos.cast("string"), F.lit(" photos analyzed"))
+    second = F.when(video_refs > 0, F.concat(video_refs.cast("string"), F.lit(" video references selected")))
+    names = F.array_join(F.transform(bins, lambda b: F.replace(b, F.lit("_"), F.lit(" "))), ", ")
+    return F.concat(F.concat_ws(", ", first, second), F.lit(" | coverage: "), F.when(names == "", "none").otherwise(names))
+

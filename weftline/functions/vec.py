@@ -44,3 +44,9 @@ def blend(a: Column | str, b: Column | str, alpha: Column | float) -> Column:
     """alpha * a + (1 - alpha) * b, element by element."""
     alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     return F.zip_with(doubles(a), doubles(b), lambda x, y: alpha * x + (1.0 - alpha) * y)
+
+
+def shaped(v: Column | str, kind: Column | str) -> Column:
+    """The embedding as a model takes it: `raw`, or of unit length; other kinds need a learned converter and are null."""
+    k = _col(kind)
+    return F.when(k == "raw", _col(v)).when(k == "unit", unit(v))

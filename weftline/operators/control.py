@@ -114,3 +114,41 @@ def looked_up(requests: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     known = registry.withColumn("_known", F.lit(True))
     checked = F.when(F.col("_known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("not registered: "), F.col(key).cast("string"))))
     return requests.join(known, key, "left").withColumn(key, checked).drop("_known")
+
+
+def restart(planned: DataFrame, manifest: DataFrame, key: list[str], files: DataFrame, job: str, fingerprint: str) -> DataFrame:
+    """job, segments_done, frames_done, segments_left: where each job goes on. Manifest rows of another fingerprint count for nothing.
+
+    Both tables carry the fingerprint; the manifest has bytes and frames, files have bytes.
+    """
+    own = manifest.join(planned.select(*key, fingerprint), [*key, fingerprint]).join(files.withColumnRenamed("bytes", "size"), key).where("bytes > 0 and size = bytes")
+    state = planned.join(own.select(*key, F.col("frames").alias("done_frames")), key, "left")
+    done = F.col("done_frames").isNotNull()
+    return state.groupBy(job).agg(F.count(F.when(done, 1)).alias("segments_done"), F.coalesce(F.sum("done_frames"), F.lit(0)).alias("frames_done"), F.count(F.when(~done, 1)).alias("segments_left"))
+
+
+def merged(base: Column, override: Column) -> Column:
+    """A map with another's values where it has them; keys stay distinct whatever the session's policy."""
+    kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(override, k))
+    return F.map_concat(kept, override)
+
+
+def in_group(spark, group: str, action, description: str = ""):
+    """action() with its Spark jobs under one group, so that `cancel_group` from any thread ends them."""
+    context = spark.sparkContext
+    context.setJobGroup(group, description or group, interruptOnCancel=True)
+    try:
+        return action()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cancel_group(spark, group: str) -> None:
+    spark.sparkContext.cancelJobGroup(group)
+
+
+def is_active(spark, group: str) -> bool:
+    """Whether a job of the group is running."""
+    tracker = spark.sparkContext.statusTracker()
+    return any((info := tracker.getJobInfo(j)) is not None and info.status == "RUNNING" for j in tracker.getJobIdsForGroup(group))
+

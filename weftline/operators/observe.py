@@ -123,3 +123,18 @@ def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: fl
         both = picks.join(new, F.col("of").eqNullSafe(F.col("key")), "left")
         picks = both.select("of", F.when(F.col("x").isNull(), F.col("picks")).otherwise(F.concat("picks", added)).alias("picks"))
     return picks.select(F.col("of").alias(key), F.posexplode("picks").alias("pick", "c")).select(key, "pick", "c.vec_id", "c.why")
+
+
+def by_origin(picks: DataFrame, key: str, photo: Column, yaw: str) -> DataFrame:
+    """key, n_selected, from_photo, from_video, bands: what was selected, by origin, and the pose bands it covers, sorted."""
+    return picks.groupBy(key).agg(
+        F.count("*").alias("n_selected"), F.count(F.when(photo, 1)).alias("from_photo"), F.count(F.when(~photo, 1)).alias("from_video"),
+        F.array_sort(F.collect_set(score.binned(yaw, score.POSE_BANDS))).alias("bands"),
+    )
+
+
+def in_order(first: DataFrame, second: DataFrame, order: list[str]) -> DataFrame:
+    """All rows of both tables, the first one's first, with place: no row is merged with another."""
+    both = first.withColumn("_source", F.lit(0)).unionByName(second.withColumn("_source", F.lit(1)))
+    return both.withColumn("place", F.struct("_source", *order)).drop("_source")
+
