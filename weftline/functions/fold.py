@@ -22,16 +22,36 @@ def ordered(order: list[str], fields: list[str]) -> Column:
     return F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, *fields]))))
 
 
+#: Rows between two copies of a scan's whole output.
+BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scan(rows: Column | str, start: Column, step: Callable[[Column, Column], Column], output: Callable[[Column, Column], Column], kind: str) -> Column:
-    """Array of output(state after the row, row); kind is the output's type."""
+    """Array of output(state after the row, row); kind is the output's type.
+
+    Rows go by in blocks, so that a row's output is copied with its block and the block with the
+    whole, not the whole with every row.
+    """
     none = F.array().cast(f"array<{kind}>")
-    init = F.struct(start.alias("state"), none.alias("out"))
 
     def one(acc: Column, row: Column) -> Column:
-        state = step(acc["state"], row)
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(output(state, row))).alias("out"))
+        return _let(step(acc["state"], row), lambda state: F.struct(state.alias("state"), F.array_append(acc["out"], output(state, row)).alias("out")))
+
+    def block(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.array_append(acc["out"], d["out"]).alias("out")))
 
-    return F.aggregate(_col(rows), init, one)["out"]
+    def blocks(r: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), lambda i: F.slice(r, i * BLOCK + 1, BLOCK))
+
+    init = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    r = _col(rows)
+    return F.when(F.size(r) > 0, F.flatten(F.aggregate(blocks(r), init, block)["out"])).otherwise(none)
 
 
 def ema(rows: Column | str, field: str, alpha: float) -> Column:

@@ -45,10 +45,10 @@ def scored(aggregates: DataFrame) -> DataFrame:
 
 def guarded(candidates: DataFrame, is_bare: Column, max_loss: float = 0.04) -> DataFrame:
     """Adds eligible: bare candidates are, others unless they lose more identity than `max_loss` to the best bare one; unknown passes."""
-    best = candidates.where(is_bare).orderBy(F.desc("score"), "candidate").limit(1).select(F.col("identity_mean").alias("bare_identity"))
-    loss = F.col("bare_identity") - F.col("identity_mean")
-    # One row: the best bare candidate.
-    return candidates.join(F.broadcast(best), F.lit(True), "left").withColumn("eligible", is_bare | F.coalesce(loss <= max_loss, F.lit(True)))
+    # All candidates are one small window: what they were aggregated from is read once.
+    whole = Window.orderBy(F.when(is_bare, 0).otherwise(1), F.desc("score"), "candidate").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = candidates.withColumn("bare_identity", F.first(F.when(is_bare, F.col("identity_mean"))).over(whole))
+    return known.withColumn("eligible", is_bare | F.coalesce(F.col("bare_identity") - F.col("identity_mean") <= max_loss, F.lit(True)))
 
 
 def winner(candidates: DataFrame) -> DataFrame:
@@ -78,12 +78,13 @@ def staged(candidates: DataFrame) -> DataFrame:
 
     Columns: candidate, swapper, variant (null, `enhancer` or `mask`), score. Other variants get no stage: they would not be measured.
     """
-    top = lambda rows, name: rows.orderBy(F.desc("score"), "candidate").limit(1).select(F.col("swapper").alias(name))
+    def best(among: Column) -> Column:
+        whole = Window.orderBy(F.when(among, 0).otherwise(1), F.desc("score"), "candidate").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return F.first(F.when(among, F.col("swapper"))).over(whole)
+
     bare = F.col("variant").isNull()
-    lead = top(candidates.where(bare), "lead")
-    second = candidates.join(F.broadcast(lead), F.lit(True)).withColumn("stage", F.when(bare, 1).when((F.col("variant") == "enhancer") & (F.col("swapper") == F.col("lead")), 2))
-    leader = top(second.where("stage is not null"), "leader")
-    return second.join(F.broadcast(leader), F.lit(True)).withColumn(
+    second = candidates.withColumn("lead", best(bare)).withColumn("stage", F.when(bare, 1).when((F.col("variant") == "enhancer") & (F.col("swapper") == F.col("lead")), 2))
+    return second.withColumn("leader", best(F.col("stage").isNotNull())).withColumn(
         "stage", F.coalesce("stage", F.when((F.col("variant") == "mask") & (F.col("swapper") == F.col("leader")), 3))
     ).drop("lead", "leader")
 
