@@ -25,6 +25,44 @@ def test_stages_take_effect(spark):
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
 
 
+def test_stages_equal_brute_force_on_their_own_input(spark):
+    import hashlib
+    import struct
+
+    import tiktoken
+
+    import test_llm as by_hand
+    from weftline.llm import bpe, decontam
+    from weftline.llm.queries import tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {i: by_hand.shingles(t) for i, t in rows.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(by_hand.components(pairs, sets).values()))
+
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    clean = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, SF).collect()}
+    lower = {i: (t or "").lower() for i, t in rows.items()}
+    held = {i for i, t in lower.items() if any(x.lower() in t for x in items.values() if len(x) >= decontam.MIN_CHARS)}
+    assert held and not held & clean
+    index = decontam.Index(sorted(items.items()))
+    for i in sorted(set(rows) - clean)[:12]:  # what goes holds an item within its budget, by the whole table of distances
+        found = {x[1] for x in index.search(decontam._points(rows[i]), decontam.np.array([0, len(rows[i])]))}
+        assert any(by_hand.edits(items[index.ids[n]].lower(), lower[i]) <= len(items[index.ids[n]]) // 10 for n in found)
+
+    redacted = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, docs, SF).collect()}
+    assert all(not [x for x in by_hand.base_spans(t) if "[SECRET]" not in (t or "")[x[0] : x[2] + 8]] for t in redacted.values())
+    assert {i for i, t in rows.items() if by_hand.base_spans(t)} <= {i for i, t in redacted.items() if "[SECRET]" in (t or "")}
+
+    path, pattern = tokenizer()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    for r in corpus_pipeline.tokens(spark, docs, SF).collect():
+        ids = library.encode_ordinary(rows[r["doc_id"]] or "")
+        assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+
+
 @pytest.mark.parametrize("langs", [[None] * 6, ["en"] * 6])
 def test_language_stage_drops_only_documents_without_a_letter(spark, langs):
     texts = ["Some words here.", "日本語", None, "", "12 34 --", "x"]
