@@ -103,10 +103,13 @@ def evictions(rows: DataFrame, order: list[str], resource: str, key: list[str])
     return rows.withColumn("evict", ~F.col(resource).eqNullSafe(F.lead(resource).over(Window.partitionBy(*key).orderBy(*order))))
 
 
-def liveness(beats: DataFrame, key: list[str], ts: str, now: Column, stale_s: float = 180.0) -> DataFrame:
-    """key..., age_s, alive by each key's last heartbeat."""
+def liveness(beats: DataFrame, key: list[str], ts: str, now: Column | DataFrame, stale_s: float = 180.0) -> DataFrame:
+    """key..., age_s, alive by each key's last heartbeat; now is a column, or a table of one row with a column of that name."""
+    last = beats.groupBy(*key).agg(F.max(ts).alias("last"))
+    if isinstance(now, DataFrame):
+        last, now = last.join(F.broadcast(now.select("now")), F.lit(True)), F.col("now")  # one row
     age = F.unix_timestamp(now) - F.unix_timestamp("last")
-    return beats.groupBy(*key).agg(F.max(ts).alias("last")).select(*key, age.alias("age_s"), (age <= stale_s).alias("alive"))
+    return last.select(*key, age.alias("age_s"), (age <= stale_s).alias("alive"))
 
 
 def looked_up(requests: DataFrame, registry: DataFrame, key: str) -> DataFrame:

@@ -156,8 +156,7 @@ def session_evictions(spark, sf_dir):
 SELECT worker, (floor(epoch(now)) - floor(epoch(last)))::BIGINT AS age_s, floor(epoch(now)) - floor(epoch(last)) <= 18000 AS alive FROM l, n""")
 def heartbeat_liveness(spark, sf_dir):
     beats = table(spark, sf_dir, "events").withColumnRenamed("user_id", "worker")
-    now = beats.agg(F.max("ts")).first()[0]
-    return control.liveness(beats, ["worker"], "ts", F.lit(now), 18000.0)
+    return control.liveness(beats, ["worker"], "ts", beats.agg(F.max("ts").alias("now")), 18000.0)
 
 
 @query("SELECT p_partkey AS upload, right(regexp_replace(p_name || ' / ' || p_type || '.mp4', '[^A-Za-z0-9._-]', '_', 'g'), 80) AS name FROM part")
