@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,6 +29,12 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are written: the context cleans up what the JVM has collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stored:
     """Rows written to the shared folder as compressed Parquet, for what is large or read twice."""
 

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.arrow import pieces, utf8
-from weftline.llm.shared import Stored
+from weftline.llm.shared import Stored, release
 
 LENGTH, GRAM = 200, 32
 TILE = 1 << 20
@@ -362,33 +362,25 @@ def intervals(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     keyed = _keyed(documents)
     repeated = Stored(_repeated(keyed))
-    _release(spark)
+    release(spark)
     placed = Stored(_places(keyed).join(repeated.rows, ["anchor", "content"]).select(
         "key", "text_hash", "first", "last", "at", "anchor", "content", "n", (F.col("key") == F.col("owner")).alias("owner"), (F.col("kinds") > SALT_FROM).alias("salted")
     ))
     repeated.discard()
-    _release(spark)
+    release(spark)
     suffixes = Stored(_suffixes(keyed, placed.rows.where("owner")))
-    _release(spark)
+    release(spark)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(suffixes.rows.count() / BUCKET))
     matched = Stored(_matched(suffixes.rows, partitions))
     _compare_boundaries(matched.rows)
     suffixes.discard()
-    _release(spark)
+    release(spark)
     # A segment has at most LENGTH windows, so its intervals are one short row, whatever the number of its places.
     found = matched.rows.where("bucket is null").groupBy("anchor", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
     places = placed.rows.select("key", "text_hash", "at", "anchor", "content").join(found, ["anchor", "content"])
     return places.select("key", "text_hash", "at", F.explode("found").alias("x")).select("key", "text_hash", (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"))
 
 
-def _release(spark) -> None:
-    """Let go of the shuffle files of steps that are written: the context cleans up what the JVM has collected."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _merged(found: list[dict] | None, size: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for x in sorted((f["lo"], f["hi"]) for f in found or ()):
