@@ -586,6 +586,7 @@ def test_suffixes(spark, monkeypatch):
     texts += [t[: len(t) // 2] + "#" + t[len(t) // 2 :] for t in [prose(150, 70)] * 3] + [prose(150, 70)]
     for salt in (512, 2):
         monkeypatch.setattr(suffixes, "SALT_FROM", salt)
+        monkeypatch.setattr(suffixes, "PLACES", salt)
         out = {x["doc_id"]: x for x in suffixes.report(documents(spark, texts, extra=True)).collect()}
         got = [tuple(out[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(1, len(texts) + 1)]
         assert got == cut_by_hand(texts)

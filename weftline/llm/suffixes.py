@@ -54,6 +54,8 @@ TILE = 1 << 20
 #: Distinct contents of one anchor from which its windows are dealt by offset, and segments that a bucket is meant to hold.
 SALT_FROM, SALT_BLOCK = 512, 16
 BUCKET = 250_000
+#: Places of one segment in a task.
+PLACES = 2_048
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -296,11 +298,11 @@ def equal_windows(blobs: list[bytes], at: np.ndarray, group: np.ndarray, copies:
     return segment[order], window[order]
 
 
-MATCHED = "anchor long, content long, lo long, hi long, bucket int, first_lead binary, last_lead binary"
+MATCHED = "anchor long, content long, n long, lo long, hi long, bucket int, first_lead binary, last_lead binary"
 
 
 def _matched(suffixes: DataFrame, partitions: int) -> DataFrame:
-    """anchor, content, lo, hi: byte intervals, from the anchor on, that repeated windows of the segments cover; and a row of each bucket's edges."""
+    """anchor, content, n, lo, hi: byte intervals, from the anchor on, that repeated windows of the segments cover; and a row of each bucket's edges."""
 
     def finish(table: pa.Table) -> pa.RecordBatch:
         lead = table.column("lead").combine_chunks()
@@ -311,7 +313,7 @@ def _matched(suffixes: DataFrame, partitions: int) -> DataFrame:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(segment))[: len(first)] - 1
         take, offset = pa.array(segment[first]), window[first] - at[segment[first]]
-        ids = [table.column(c).combine_chunks().take(take) for c in ("anchor", "content")]
+        ids = [table.column(c).combine_chunks().take(take) for c in ("anchor", "content", "n")]
         n = len(first)
         return _rows(*ids, pa.array(offset), pa.array(window[last] - at[segment[first]] + LENGTH), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
 
@@ -340,7 +342,7 @@ def _matched(suffixes: DataFrame, partitions: int) -> DataFrame:
         if waiting and (table := pa.Table.from_batches(waiting)).num_rows:
             yield finish(table)
         if first is not None:
-            yield _rows(*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.binary()), pa.array([last], pa.binary()))
+            yield _rows(*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.binary()), pa.array([last], pa.binary()))
 
     return suffixes.repartitionByRange(partitions, "lead").sortWithinPartitions("lead").mapInArrow(run, MATCHED)
 
@@ -376,8 +378,11 @@ def intervals(documents: DataFrame) -> DataFrame:
     suffixes.discard()
     release(spark)
     # A segment has at most LENGTH windows, so its intervals are one short row, whatever the number of its places.
-    found = matched.rows.where("bucket is null").groupBy("anchor", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
-    places = placed.rows.select("key", "text_hash", "at", "anchor", "content").join(found, ["anchor", "content"])
+    found = matched.rows.where("bucket is null").groupBy("anchor", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("found"), F.max("n").alias("n"))
+    # A segment of very many copies is dealt over several tasks.
+    deals = F.ceil(F.col("n") / PLACES).cast("int")
+    dealt = found.select("anchor", "content", "found", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    places = placed.rows.select("key", "text_hash", "at", "anchor", "content", F.pmod(F.xxhash64("key", "text_hash", "at"), deals).cast("int").alias("deal")).join(dealt, ["anchor", "content", "deal"])
     return places.select("key", "text_hash", "at", F.explode("found").alias("x")).select("key", "text_hash", (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"))
 
 
