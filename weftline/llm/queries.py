@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontam, langid, media, neardup, reshard, secrets, suffixes, toxicity, urls
+from weftline.llm import bpe, decontam, langid, media, merkle, mixing, neardup, repair, reshard, secrets, suffixes, toxicity, urls
 
 #: The rules that op1 is asked to judge by.
 URL_RULES = (
@@ -85,11 +85,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model).select("doc_id", (~F.coalesce(langid.training_fold(), F.lit(True))).alias("held_out"), "score", "predicted")
 
 
+def op11_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.repair(conversations, repair.damage(conversations))
+
+
+def op12_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+#: The fields of a manifest's leaf, in their order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    altered = F.when(tampered, merkle.leaf(LEAF, {"text": F.translate("text", urls.UPPER, urls.LOWER)}))
+    proven = merkle.verify(documents, LEAF, "source", "doc_id", altered)
+    return proven.select(
+        F.col("payload.key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_minhash_near_dedup, op4_sharding, op5_media_columns,
         op6_byte_level_bpe, op7_secret_scans, op8_suffix_array_dedup, op9_language_id, op10_toxicity,
+        op11_conversation_structure_repair, op12_mixing_sources, op13_merkle_manifest,
     )
 }
 
