@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontam, langid, media, merkle, mixing, neardup, repair, reshard, secrets, suffixes, toxicity, urls
+from weftline.llm import bpe, decontam, langid, media, merkle, mixing, neardup, oracles, repair, reshard, secrets, suffixes, toxicity, urls
 
 #: The rules that op1 is asked to judge by.
 URL_RULES = (
@@ -131,4 +131,7 @@ best AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max
 SELECT page_id, q.host, q.path, rule, coalesce(rv, 'allow') AS verdict
 FROM q LEFT JOIN best ON q.host = best.host AND q.path = best.path
 """,
+    "op11_conversation_structure_repair": oracles.REPAIR,
+    "op12_mixing_sources": oracles.MIX,
+    "op13_merkle_manifest": oracles.MERKLE,
 }
