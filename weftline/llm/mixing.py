@@ -38,8 +38,8 @@ from weftline.llm.shared import Stored, cut
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Words of a block, slots of a shard, rounds of a permutation.
 BLOCK, SLOTS, ROUNDS = 256, 4_096, 24
-#: Slots are made from source rows in two steps, so that those of a large source come from many tasks.
-_CHUNK = 1_024
+#: Slots are made from source rows in two steps, so that those of a large source come from many tasks, of about `_TASK` each.
+_CHUNK, _TASK = 1_024, 65_536
 #: Sources up to which their table is broadcast; a row is under 1 KB.
 BROADCAST_SOURCES = 20_000
 SEED = "mix"
@@ -118,14 +118,14 @@ class Mix:
         """shard, slot, row, doc_id, digest, key, first, words: which words of which documents fill the mix."""
         words = F.least("high", "words") - F.col("low")
         return (
-            self.pieces.join(self.slots, ["key", "block"]).where("words > low")
+            self.pieces.join(self.slots.hint("merge"), ["key", "block"]).where("words > low")
             .select("shard", "slot", "low", "row", "doc_id", "digest", "key", "first", words.alias("words"))
         )
 
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target and taken of every document."""
         sums = self.parts().groupBy("row").agg(F.sum("words").alias("taken"))
-        found = self.rows.join(sums, "row", "left").join(self.sources.select("key", "source_size", "target"), "key")
+        found = self.rows.join(sums.hint("merge"), "row", "left").join(self.sources.select("key", "source_size", "target"), "key")
         return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
     def texts(self, documents: DataFrame) -> DataFrame:
@@ -147,6 +147,8 @@ class Mix:
 
 
 def _slots(sources: DataFrame, most: int, slots: int) -> DataFrame:
+    spark = sources.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((sources.agg(F.sum("target")).first()[0] or 0) / BLOCK / _TASK))
     words = F.floor(F.col("target") + 0.5).cast("long")
     passes = sources.select(
         "key", F.col("source_size").alias("size"), F.expr(f"source_size div {BLOCK}").alias("full"),
@@ -154,7 +156,7 @@ def _slots(sources: DataFrame, most: int, slots: int) -> DataFrame:
     ).select("key", "full", "p.*").where("left > 0").withColumn("count", F.expr(f"(left + {BLOCK - 1}) div {BLOCK}")).withColumn("all", F.lit(""))
     placed, _ = running(passes, "all", ["key", "pass"], "count")
     chunks = (
-        placed.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (count - 1) div {_CHUNK})"))).repartition("key", "pass", "chunk")
+        placed.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (count - 1) div {_CHUNK})"))).repartition(tasks, "key", "pass", "chunk")
         .withColumn("keys", keys_of(F.greatest("full", F.lit(1)), "key", "pass")).withColumn("deal", keys_of(F.col("total"), F.lit("shards")))
     )
     each = chunks.withColumn("i", F.explode(F.expr(f"sequence(chunk * {_CHUNK}, least(count, (chunk + 1) * {_CHUNK}) - 1)")))
