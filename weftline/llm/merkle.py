@@ -84,7 +84,7 @@ class Forest:
         above = above.withColumn("block", F.lit(0).cast("long"))
         for blocks in reversed(self.stages):
             members = (
-                blocks.rows.withColumn("levels", F.expr(_LEVELS)).join(above, ["tree", "block"])
+                blocks.rows.withColumn("levels", F.expr(_LEVELS)).join(above.hint("merge"), ["tree", "block"])
                 .select("tree", "carry", F.expr(f"inline(transform(members, (m, i) -> struct(m.start AS block, m.digest AS digest, m.payload AS payload, concat({_PATH}, path) AS path)))"))
             )
             above = members.select("tree", "block", "path", "carry")
