@@ -279,6 +279,27 @@ def test_ids_with_several_texts_give_one_result(spark):
     assert len(results) == 1
 
 
+def test_rows_of_one_id_are_dropped_row_by_row(spark):
+    a, b, c, d = (prose(40, i) for i in range(4))
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (9, c, "y"), (9, c, "x"), (9, c, "x"), (9, "", "x"), (9, "", "x"), (None, a, "x"), (11, d, "x"), (12, d + " end", "x"), (12, None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, sig_a string").repartition(3)
+    kept = neardup.drop_near_duplicates(frame, 80)
+    assert kept.columns == frame.columns
+    want = [(3, a, "x"), (7, b, "x"), (9, c, "x"), (9, "", "x"), (9, "", "x"), (None, a, "x"), (11, d, "x"), (12, None, "x")]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
+def test_parities_bound_what_two_sets_differ_by():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 60, 900, 20_000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(r.integers(0, 2**64, n, np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], r.integers(0, 2**64, r.integers(0, 2 * n), np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            found = neardup._differ(neardup._parity(a), neardup._parity(b))
+            assert found <= apart and (apart > n or found >= 0.5 * apart)
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert neardup.near_duplicates(documents(spark, []).limit(0)).count() == 0
     df = spark.createDataFrame([(None, prose(30, 1)), (None, prose(30, 1)), (5, prose(30, 1))], "doc_id long, text string")
