@@ -130,6 +130,24 @@ def test_decontamination_of_long_and_short_items(spark):
     assert {x["doc_id"] for x in kept.collect()} == set(range(1, len(texts) + 1)) - {d for d, _ in found}
 
 
+def test_decontamination_of_items_of_every_short_length(spark):
+    r = random.Random(9)
+    items = ["The capital of Peru is Lima"] + [prose(40, 700 + n)[:n].strip("a ") + "z" for n in range(8, 61)]
+    texts = ["Quiz: the capital of Peru as Lima, he said", "nothing"]
+    for item in items:
+        for k in range(1, len(item) // 10 + 2):
+            texts.append(prose(6, len(texts)) + " " + damaged(item, k, r) + " " + prose(5, 50 + len(texts)))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontam.find(documents(spark, texts), benchmark).collect()}
+    want = {}
+    for i, item in enumerate(items):
+        if len(item) < decontam.MIN_CHARS:
+            continue
+        k = min(len(item) // 10, (len(item) - decontam.Q) // decontam.Q)
+        want |= {(d, i): e for d, t in enumerate(texts, 1) if (e := edits(item.lower(), t.lower())) <= k}
+    assert {k: e for k, e in found.items() if len(items[k[1]]) >= decontam.MIN_CHARS} == want and want[1, 0] == 1
+
+
 def test_decontamination_of_a_hot_template_keeps_memory_flat():
     import tracemalloc
 
@@ -337,8 +355,12 @@ def test_reshard_places_every_row_once(spark, tmp_path):
     assert max(sizes) - min(sizes) <= 4 * max(len((t or "").encode()) for t in texts)
     assert all(r["old_shard"] == r["shard"] for r in out if r["shard"] < 6)  # six equal shards only give to the two new ones
     assert reshard.reshard(rows.limit(0), reshard.old_by_hash(6), 8).count() == 0
-    affected = reshard.rewrite(documents(spark, texts), placed, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == sum(len(by[s]) for s in affected)
+    clash = documents(spark, texts, extra=True).withColumn("shard", F.lit("own")).withColumn("whole", F.lit(1))
+    affected, names = reshard.rewrite(clash, placed, str(tmp_path / "shards"))
+    files = spark.read.parquet(str(tmp_path / "shards"))
+    assert names == ["shard_", "slot", "old_shard"] and {r["shard"] for r in files.select("shard").distinct().collect()} == {"own"}
+    got = sorted((r["doc_id"], r["text"] or "", r["shard_"], r["slot"]) for r in files.collect())
+    assert got == sorted((r["doc_id"], texts[r["doc_id"] - 1] or "", s, r["slot"]) for s in affected for r in by[s])
 
 
 def test_equal_rows_are_dealt_over_all_blocks(spark, tmp_path):
@@ -349,8 +371,25 @@ def test_equal_rows_are_dealt_over_all_blocks(spark, tmp_path):
     shards = {r["shard"]: r for r in placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots")).collect()}
     assert set(shards) == set(range(4)) and sum(r["n"] for r in shards.values()) == 2_802 and all(r["slots"] == r["n"] == r["top"] + 1 for r in shards.values())
     assert max(r["b"] for r in shards.values()) - min(r["b"] for r in shards.values()) <= 10
-    with pytest.raises(ValueError):
-        reshard.rewrite(rows, placed, str(tmp_path / "x"))
+    affected, _ = reshard.rewrite(rows, placed, str(tmp_path / "x"))
+    files = sorted(map(repr, ((r["doc_id"], r["text"] or "", r["shard"], r["slot"]) for r in spark.read.parquet(str(tmp_path / "x")).collect())))
+    text = {(7, 5): "same", (None, 2): "x"}
+    assert len(affected) == 4 and files == sorted(repr((r["doc_id"], text.get((r["doc_id"], r["size"]), ""), r["shard"], r["slot"])) for r in placed.collect())
+
+
+def test_sharding_query_reads_its_placement_back_from_files(spark, tmp_path):
+    from weftline.llm.queries import op4_sharding
+
+    texts = AWKWARD + [prose(random.Random(i).randint(1, 200), i) for i in range(60)] + [prose(50, 1)] * 20
+    documents(spark, texts, extra=True).withColumn("slot", F.lit("own")).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op4_sharding(spark, str(tmp_path))
+    rows = out.collect()
+    assert out.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in enumerate(texts, 1)} and len(rows) == len(texts)
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    documents(spark, []).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert op4_sharding(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_flow_equals_the_least_of_all_dealings():

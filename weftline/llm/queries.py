@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, decontam, langid, media, merkle, mixing, neardup, oracles, repair, reshard, secrets, suffixes, toxicity, urls
+from weftline.llm.shared import cut, shared_folder
 
 #: The rules that op1 is asked to judge by.
 URL_RULES = (
@@ -40,9 +42,16 @@ OLD_SHARDS, NEW_SHARDS = 6, 8
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reshard.sized(_table(spark, sf_dir, "documents"))
-    placed = reshard.reshard(rows, reshard.old_by_hash(OLD_SHARDS), NEW_SHARDS)
-    return placed.select(
+    """The placement, of the shards that change as their rewritten files have it, of the others as they are."""
+    documents = _table(spark, sf_dir, "documents")
+    placed = cut(reshard.reshard(reshard.sized(documents), reshard.old_by_hash(OLD_SHARDS), NEW_SHARDS))
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    affected, (shard, slot, old) = reshard.rewrite(documents, placed, path)
+    found = placed.where(~F.col("shard").isin(affected))
+    if affected:
+        files = spark.read.parquet(path)
+        found = found.unionByName(reshard.sized(files, F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.col(old).alias("old_shard")))
+    return found.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
 

@@ -14,8 +14,8 @@ number of documents; the number of blocks follows that of rows. Texts are never
 that they are dealt over all blocks of their old shard.
 
 Defined results: null text has size 1; null ids and repeated rows are rows like any other; an empty table gives an empty result;
-rows of equal id and text are interchangeable, and each gets its own slot. `rewrite` refuses
-null and repeated ids, since it finds the rows of a table by them.
+rows of equal id and text are interchangeable, and each gets its own slot. `rewrite` finds the rows of a table by
+id, size and checksum, and numbers those that repeat; its own columns get other names where the table has theirs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.ordered import running
+from weftline.llm.shared import Stored, cut
+
 BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 20_000, 16, 4_096
 #: Equal rows that are told apart in one array.
 COPIES = 1_000
@@ -80,10 +83,10 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
     return {(i, e[0] - n): f for i in range(n) for e in graph[i] if n <= e[0] < n + m and (f := graph[e[0]][e[3]][1])}
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32."""
+def sized(documents: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32, and more columns."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *more)
 
 
 def old_by_hash(n: int) -> Column:
@@ -161,15 +164,45 @@ def reshard(rows: DataFrame, old_shard: Column, n_new: int, blocks: int | None =
     )
 
 
-def rewrite(documents: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the shards that gain or lose rows to `path`/shard=N, and return them; others keep their files.
+def own_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores as set it apart from a table's columns."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def rewrite(documents: DataFrame, placed: DataFrame, path: str) -> tuple[list[int], list[str]]:
+    """Write the shards that gain or lose rows to `path`/shard=N; others keep their files.
 
-    `placed` is `reshard` of the documents; ids must be unique and not null. A shard's files hold ranges of its slots, so several tasks write it.
+    `placed` is `reshard` of the documents. Returns the shards written and the
+    names of the columns shard, slot and old_shard in their files, which stand
+    beside the documents' own. A shard's files hold ranges of its slots, so
+    several tasks write it.
     """
-    if placed.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
-        raise ValueError("ids must be unique and not null")
     changed = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     affected = sorted(r["shard"] for r in changed.collect())
-    moved = placed.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    documents.join(moved, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return affected
+    names = [own_name(n, documents.columns) for n in ("shard", "slot", "old_shard")]
+
+    def address(rows: DataFrame) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "size", "text_crc32")
+
+    text = F.coalesce("text", F.lit(""))
+    whole = F.struct(*documents.columns).alias("whole")
+    here = documents.select(whole, "doc_id", (F.octet_length(text) + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    here = here.select("whole", address(here).alias("address"))
+    there = placed.select(address(placed).alias("address"), "shard", "slot", "old_shard")
+    several = cut(there.groupBy("address").agg(F.count("*").alias("n")).where("n > 1").select("address"))
+    wanted = there.where(F.col("shard").isin(affected))
+    if several.isEmpty():
+        found = here.join(wanted, "address")
+    else:
+        found = here.join(several, "address", "left_anti").join(wanted, "address")
+        # Rows of one address are numbered on both sides, in any order: they are equal.
+        copies = Stored(here.join(several, "address", "left_semi").withColumn("n", F.monotonically_increasing_id()))
+        mine, _ = running(copies.rows, "address", ["n"])
+        theirs, _ = running(there.join(several, "address", "left_semi"), "address", ["shard", "slot"])
+        pairs = mine.select("whole", "address", "start").join(theirs.select("address", "start", "shard", "slot", "old_shard").where(F.col("shard").isin(affected)), ["address", "start"])
+        found = found.unionByName(pairs.drop("start"))
+    out = found.select(*(F.col("whole")[c].alias(c) for c in documents.columns), *(F.col(c).alias(n) for c, n in zip(("shard", "slot", "old_shard"), names)))
+    out.repartitionByRange(*names[:2]).sortWithinPartitions(*names[:2]).write.mode("overwrite").partitionBy(names[0]).parquet(path)
+    return affected, names
