@@ -8,9 +8,10 @@ in an item is a match; matches are counted per document, item and band of
 the bound are verified by banded alignment, the item against any substring.
 
 Letters A-Z match in either case. The edit budget of an item is `RATE` of its
-length, whatever that is: from `MIN_CHARS` characters on the bound is positive at
-that rate. A shorter item is matched exactly, where it doesn't begin or end
-within a word of ASCII letters and digits.
+length, at any length from 32 characters on; of shorter items as many of these edits as
+leave the bound positive, which are all but one at 20 to 23 characters and all at the other
+lengths from `MIN_CHARS` on. Under that no edit does: an item is matched exactly, where it
+doesn't begin or end within a word of ASCII letters and digits.
 
 The items travel to the executors in blocks of about `BLOCK_CHARS` characters,
 each with one pass over the documents; the driver holds the items, and a task one block at a time. A
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.arrow import bound_batches, pieces, powers, ragged, trim, utf8
 
-Q, RATE, MIN_CHARS = 8, 0.1, 32
+Q, RATE = 8, 0.1
+#: From twice the q-gram on, one edit leaves a q-gram whole.
+MIN_CHARS = 2 * Q
 BLOCK_CHARS = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE_BITS = 20
