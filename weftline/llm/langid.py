@@ -77,7 +77,7 @@ def _spell(gram: tuple[int, ...]) -> str:
 
 def learn(documents: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> list[tuple[str, list[str]]]:
     """(lang, grams by rank) of every language of the documents' `lang` column."""
-    rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = rows.groupBy("lang").count()  # a row a language
     share = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))) < F.lit(float(sample)) / F.col("count")
     few = rows.join(F.broadcast(per), "lang").where(share).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.lang", "x.text")  # an id counts once, with its least row
