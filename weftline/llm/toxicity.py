@@ -84,7 +84,7 @@ def words(text: str | None) -> set[str]:
         out.add("".join(parts))
         core = chunk.strip(".,;:?!\"'()[]|#%&*")
         digits = sum(c in _LOOKS_LIKE for c in core)
-        if digits and 3 * digits <= 2 * len(core) and len(core) <= 24:
+        if digits and 3 * digits <= 2 * len(core):
             out.add(_NOT_LETTER.sub("", core.translate(_LEET)))
     for m in _SPACED.finditer(text):
         out.add(_NOT_LETTER.sub("", m[0].translate(_LEET)))
