@@ -71,3 +71,24 @@ def test_language_stage_drops_only_documents_without_a_letter(spark, langs):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.language(spark, docs, SF)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [ids[0], ids[1], ids[5]]
+
+
+def test_language_stage_decides_by_its_prediction(spark):
+    words = {"xx": "zor bel tamin okarel dun miska ", "yy": "qua lith nepo vurrin shae coule "}
+    unseen = next(i for i in range(950, 999) if zlib.crc32(str(i).encode()) % 5 == 0)  # its label is in no learned row
+    rows = [(i, words[g] * 9, g) for i in range(60) for g in ("xx", "yy")]
+    rows = [(i, t, g) for i, (_, t, g) in enumerate(rows)]
+    rows += [(900, words["xx"] * 9, "yy"), (unseen, words["xx"] * 9, "zz"), (902, words["yy"] * 9, None), (903, "日本語 テキスト", None), (904, "12 -- 7", "xx"), (905, None, "xx")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, lang string, count int, lang_pred_told int, score_told int, _judged int")
+    out = corpus_pipeline.language(spark, docs, SF)
+    kept = {r["doc_id"] for r in out.collect()}
+    assert out.columns == docs.columns and kept == set(range(120)) | {unseen, 902}
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF, languages=["yy"]).collect()} == {i for i in range(120) if i % 2} | {902}
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 2 + [(1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "Words that repeat here are few.", None, None, None)] + [(3, "Some more words, all of one row.", "en", "s", 1)] * 3])
+def test_run_of_empty_null_and_repeated_rows(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "an item that no document holds"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ([2, 3] if rows else [])

@@ -157,15 +157,19 @@ class Model:
         return np.where(self.grams[at] == grams, at + 1, 0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its lead over the next one, and its fit: 0 if none of the text's grams is in the profile, 1 if all are at their ranks."""
         points = _points(text) if text else ()
         if not len(points) or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         top, _ = _ranked(_grams(self.codes[points]), self.ranks)
         ranks = self.table[:, self.column(top)]
         cost = np.where(ranks < self.ranks, np.abs(ranks - np.arange(len(top))), self.ranks).sum(axis=1)
         best = int(cost.argmin())
         second = np.partition(cost, 1)[1] if len(cost) > 1 else self.ranks * len(top)
-        return self.langs[best], float(1.0 - cost[best] / second) if second else 0.0
+        return self.langs[best], float(1.0 - cost[best] / second) if second else 0.0, float(1.0 - cost[best] / (self.ranks * len(top)))
 
 
 def has_letter(text: str) -> Column:
@@ -182,7 +186,7 @@ _MODELS: dict[int, Model] = {}
 
 
 def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: list[str] | None = None, suffix: str = "") -> DataFrame:
-    """The documents' `keep` columns (doc_id by default) with lang_pred and score, whose names get the suffix against clashes.
+    """The documents' `keep` columns (doc_id by default) with lang_pred, score and fit, whose names get the suffix against clashes.
 
     Only texts go to Python and only the two results come back; other columns stay where they are.
     """
@@ -190,18 +194,18 @@ def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: l
     bound_batches(documents.sparkSession)
     key = hash(str(profiles))
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, fit: double>")
     def judge(texts: pa.Array) -> pa.Array:
         model = _MODELS.get(key)
         if model is None:
             _MODELS.clear()
             model = _MODELS[key] = Model(profiles)
-        found = [model.predict(t.as_py()) for t in texts]
+        langs, *rest = zip(*(model.judge(t.as_py()) for t in texts), strict=True) if len(texts) else ((), (), ())
         trim()
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in rest)], names=["lang_pred", "score", "fit"])
 
     own = "_judged"
     while own in documents.columns:
         own += "_"
     judged = documents.withColumn(own, judge("text"))
-    return judged.select(*keep, F.col(f"{own}.lang_pred").alias(f"lang_pred{suffix}"), F.col(f"{own}.score").alias(f"score{suffix}"))
+    return judged.select(*keep, *(F.col(f"{own}.{c}").alias(f"{c}{suffix}") for c in ("lang_pred", "score", "fit")))

@@ -35,6 +35,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, by Spark's own access to it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Stored:
     """Rows written to the shared folder as compressed Parquet, for what is large or read twice."""
 
@@ -46,5 +52,4 @@ class Stored:
 
     def discard(self) -> None:
         """Delete the files; nothing may read the rows any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
