@@ -5,10 +5,11 @@ Columns: a key, vec_id, embedding and those that `weftline.functions.score` name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import fold, score, vec
+from weftline.functions import score, vec
+from weftline.operators import greedy
 
 
 def weighted_centre(rows: DataFrame, key: list[str], weight: Column | float = 1.0, normalise: bool = True) -> DataFrame:
@@ -70,27 +71,32 @@ def coverage(rows: DataFrame, key: list[str], bins=score.POSE_BINS) -> DataFrame
 
 
 def near_pairs(rows: DataFrame, key: list[str], pose: float = 12.0, similarity: float = 0.86) -> DataFrame:
-    """key..., a, b, similarity of rows close in pose and look: an equi-join on pose cells as wide as the limit."""
-    cell = F.floor(F.col("yaw") / pose)
-    left = rows.select(*key, F.col("vec_id").alias("a"), F.col("yaw").alias("ya"), F.col("embedding").alias("ea"), cell.alias("cell"))
-    right = rows.select(*key, F.col("vec_id").alias("b"), F.col("yaw").alias("yb"), F.col("embedding").alias("eb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    close = left.join(right, [*key, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ya") - F.col("yb")) <= pose))
-    return close.withColumn("similarity", vec.cosine("ea", "eb")).where(F.col("similarity") >= similarity).select(*key, "a", "b", "similarity")
+    """key..., a, b, similarity of rows close in pose and look: an equi-join on cells of pose and of angles to pivots."""
+    pairs = greedy.near_pairs(rows, key, F.lit(0), pose, similarity)
+    return pairs.select(*key, F.col("better.vec_id").alias("a"), F.col("worse.vec_id").alias("b"), "similarity")
+
+
+def _settled(rows: DataFrame, key: list[str], quality: Column, pose: float, similarity: float) -> DataFrame:
+    places = rows.select(*key, F.struct((-quality).alias("order"), "vec_id").alias("place"))
+    return greedy.settled(places, greedy.near_pairs(rows, key, -quality, pose, similarity), key)
 
 
 def deduplicated(rows: DataFrame, key: list[str], quality: Column, pose: float = 7.0, similarity: float = 0.92, most: int | None = 24) -> DataFrame:
-    """key..., rank, vec_id of the observations kept, best first. Of a key only the best `most` are carried, so a key's rows must fit a task."""
-    ranked = rows.select(*key, (-quality).alias("order"), "vec_id", "yaw", vec.unit("embedding").alias("embedding"))
-    lists = ranked.groupBy(*key).agg(fold.ordered(["order", "vec_id"], ["yaw", "embedding"]).alias("rows"))
-    kept = lists.select(*key, F.posexplode(fold.greedy_dedup("rows", pose, similarity, most)).alias("rank", "kept"))
-    return kept.select(*key, "rank", F.col("kept.vec_id").alias("vec_id"))
-
-
-def marked_duplicates(rows: DataFrame, key: list[str], quality: Column, pose: float = 12.0, similarity: float = 0.86) -> DataFrame:
-    """key..., vec_id, duplicate_of (null for rows that count in full), penalty: every row stays; a key's rows must fit a task."""
-    ranked = rows.select(*key, (-quality).alias("order"), "vec_id", "yaw", vec.unit("embedding").alias("embedding"))
-    lists = ranked.groupBy(*key).agg(fold.ordered(["order", "vec_id"], ["yaw", "embedding"]).alias("rows"))
-    return lists.select(*key, F.explode(fold.mark_duplicates("rows", "vec_id", pose, similarity)).alias("m")).select(*key, "m.vec_id", "m.duplicate_of", "m.penalty")
+    """key..., rank, vec_id of the observations kept, best first, the best `most` of a key.
+
+    Kept by rounds over the pairs that clash, so a key may have any number of rows; the cut at `most` comes afterwards.
+    """
+    kept = _settled(rows, key, quality, pose, similarity).where("of is null")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("place")))
+    # A limit on the rank is taken in each task first, so of a large key only `most` rows a task are shuffled.
+    ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
+    return ranked.select(*key, (F.col("rank") - 1).alias("rank"), F.col("place.vec_id").alias("vec_id"))
+
+
+def marked_duplicates(rows: DataFrame, key: list[str], quality: Column, pose: float = 12.0, similarity: float = 0.86, penalty: float = 0.5) -> DataFrame:
+    """key..., vec_id, duplicate_of (the best kept row that it is close to, null for those kept), penalty: every row stays, keys may have any number."""
+    marked = _settled(rows, key, quality, pose, similarity)
+    return marked.select(*key, F.col("place.vec_id").alias("vec_id"), F.col("of.vec_id").alias("duplicate_of"), F.when(F.col("of").isNull(), 1.0).otherwise(penalty).alias("penalty"))
 
 
 def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: float = 10.0, similarity: float = 0.90) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import score, vec
-from weftline.operators import observe, select, sequence
+from weftline.operators import greedy, observe, select, sequence
 from weftline.plans.registry import query
 from weftline.plans.stand_ins import OBS, observations
 
@@ -119,6 +119,13 @@ def near_duplicate_pairs(spark, sf_dir):
     return observe.near_pairs(observations(spark, sf_dir), ["label"], 12.0, 0.30).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""WITH {OBS}, c AS (SELECT label, vec_id, floor(yaw / 12) AS cell FROM obs), n AS (SELECT label, (count(*) * (count(*) - 1) // 2)::BIGINT AS all_pairs FROM obs GROUP BY label)
+SELECT n.label, (SELECT count(*) FROM c a JOIN c b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.cell - b.cell) <= 1 WHERE a.label = n.label) AS compared, all_pairs FROM n""")
+def pairs_compared(spark, sf_dir):
+    """What `near_duplicate_pairs` compares, of all pairs of a label."""
+    return greedy.comparisons(observations(spark, sf_dir), ["label"], 12.0, 0.30)
+
+
 _RANKED = f"{OBS}, o AS (SELECT label, vec_id, yaw, e, sqrt(list_inner_product(e, e)) AS n, row_number() OVER (PARTITION BY label ORDER BY quality DESC, vec_id) AS r FROM q)"
 _CLOSE = "list_inner_product(k.e, o.e) / (k.n * o.n) >= 3e-1"
 
