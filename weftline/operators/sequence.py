@@ -44,14 +44,6 @@ def adaptive_ema(rows: DataFrame, key: list[str], order: list[str], value: str,
     return _folded(rows, key, order, [value], fold.adaptive_ema("rows", value, alpha, scale), "smoothed")
 
 
-def throttled(rows: DataFrame, key: list[str], order: list[str], time: str, apart: float = 0.5, always: str | None = None) -> DataFrame:
-    return _folded(rows, key, order, [c for c in (time, always) if c], fold.throttled("rows", time, apart, always), "emitted")
-
-
-def scene_cuts(rows: DataFrame, key: list[str], order: list[str], value: str, **limits) -> DataFrame:
-    return _folded(rows, key, order, [value], fold.scene_cuts("rows", value, **limits), "is_cut")
-
-
 def spikes(rows: DataFrame, key: list[str], order: list[str], value: str, floor: float = 8.0, ratio: float = 3.0, window: int = 24, warmup: int = 3) -> DataFrame:
     """Adds baseline and spike by a plain window: as `scene_cuts`, but history doesn't restart at a cut."""
     back = over(key, order).rowsBetween(-window, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import fold, geo
-from weftline.operators import sequence, track
+from weftline.operators import sequence, track, walk
 from weftline.plans.registry import query
 from weftline.plans.stand_ins import DET, detections, series, table
 
@@ -55,7 +55,7 @@ SELECT clip, r, event_id, CASE WHEN cut THEN [value] ELSE list_append(recent, va
   SELECT o.*, s.recent, len(s.recent) >= 3 AND o.value >= 8 AND o.value >= 3 * greatest(list_aggregate(s.recent, 'median'), 1e0) AS cut FROM st s JOIN o ON o.clip = s.clip AND o.r = s.r + 1))
 SELECT clip, event_id, is_cut FROM st""")
 def scene_cut_exact(spark, sf_dir):
-    return sequence.scene_cuts(series(spark, sf_dir), ["clip"], ["ts", "event_id"], "value").select("clip", "event_id", "is_cut")
+    return walk.spike_cuts(series(spark, sf_dir), ["clip"], ["ts", "event_id"], "value").select("clip", "event_id", "is_cut")
 
 
 @query(f"""WITH RECURSIVE {_ORDERED}, st(clip, r, event_id, last, emitted) AS (SELECT clip, r, event_id, t, true FROM o WHERE r = 1 UNION ALL
@@ -63,7 +63,7 @@ SELECT clip, r, event_id, CASE WHEN due THEN t ELSE last END, due FROM (SELECT o
 SELECT clip, event_id, emitted FROM st""")
 def throttled_progress(spark, sf_dir):
     rows = series(spark, sf_dir).withColumn("t", F.unix_timestamp("ts").cast("double")).withColumn("final", F.col("event_type") == "purchase")
-    return sequence.throttled(rows, ["clip"], ["ts", "event_id"], "t", 3600.0, "final").select("clip", "event_id", "emitted")
+    return walk.throttled(rows, ["clip"], ["ts", "event_id"], "t", 3600.0, "final").select("clip", "event_id", "emitted")
 
 
 @query("""WITH l AS (SELECT user_id AS clip, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS same FROM events)
@@ -196,3 +196,78 @@ SELECT frame, CASE WHEN value >= 15e-2 THEN det END AS det, value FROM r WHERE r
 def proximity_pick(spark, sf_dir):
     rows = detections(spark, sf_dir).withColumn("like", F.col("score") - 0.2)
     return sequence.nearest_alike(rows, ["frame"], "like", F.array(F.lit(20.0), F.lit(20.0)), 100.0).select("frame", "det", "value")
+
+
+#: A clip a label, a frame a vector; every 37th id is a cut.
+_VIEWS = """v AS (SELECT label AS clip, vec_id, embedding::DOUBLE[] AS e, vec_id % 37 = 0 AS cut, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)"""
+
+
+def _views(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.col("embedding").cast("array<double>").alias("look"), (F.col("vec_id") % 37 == 0).alias("cut"))
+
+
+@query(f"""WITH RECURSIVE {_VIEWS}, st(clip, r, vec_id, s) AS (SELECT clip, r, vec_id, e FROM v WHERE r = 1 UNION ALL
+SELECT v.clip, v.r, v.vec_id, CASE WHEN v.cut THEN v.e ELSE list_transform(list_zip(st.s, v.e), lambda z: 8e-1 * z[1] + (1e0 - 8e-1) * z[2]) END FROM st JOIN v ON v.clip = st.clip AND v.r = st.r + 1)
+SELECT vec_id, (generate_subscripts(s, 1) - 1)::INT AS dim, round(unnest(s) / sqrt(list_inner_product(s, s)), 6) AS value FROM st""")
+def ema_vector(spark, sf_dir):
+    rows = walk.smoothed(_views(spark, sf_dir), ["clip"], ["vec_id"], "look", 0.80, cut="cut")
+    return rows.select("vec_id", F.posexplode("smoothed").alias("dim", "value")).select("vec_id", "dim", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH RECURSIVE {_VIEWS}, m AS (SELECT clip, vec_id, r, cut, [1 + e[1] / 10, e[2] / 10, 20 * e[3], e[4] / 10, 1 + e[5] / 10, 20 * e[6]] AS m, (40 + vec_id % 160)::DOUBLE AS face FROM v),
+st(clip, r, vec_id, s) AS (SELECT clip, r, vec_id, m FROM m WHERE r = 1 UNION ALL
+SELECT clip, r, vec_id, CASE WHEN cut THEN m ELSE list_transform(list_zip(s, m), lambda z: w * z[1] + (1e0 - w) * z[2]) END FROM (
+  SELECT m.*, st.s, 6e-1 * exp(-(sqrt(pow(m.m[3] - st.s[3], 2) + pow(m.m[6] - st.s[6], 2)) / greatest(face, 1e0) * 100) / 6e0) AS w FROM st JOIN m ON m.clip = st.clip AND m.r = st.r + 1))
+SELECT vec_id, (generate_subscripts(s, 1) - 1)::INT AS cell, round(unnest(s), 6) AS value FROM st""")
+def adaptive_ema_matrix(spark, sf_dir):
+    e = lambda i: F.col("look")[i - 1]
+    matrix = F.array(1 + e(1) / 10, e(2) / 10, 20 * e(3), e(4) / 10, 1 + e(5) / 10, 20 * e(6))
+    rows = _views(spark, sf_dir).withColumn("matrix", matrix).withColumn("face", (40 + F.col("vec_id") % 160).cast("double"))
+    found = walk.smoothed_matrix(rows, ["clip"], ["vec_id"], "matrix", "face", cut="cut")
+    return found.select("vec_id", F.posexplode("smoothed").alias("cell", "value")).select("vec_id", "cell", F.round("value", 6).alias("value"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT source AS clip, doc_id, lower(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+h AS (SELECT clip, doc_id, r, unnest(range(26)) AS k, (length(t) - length(replace(t, substr('{_LETTERS}', k::INT + 1, 1), '')))::DOUBLE AS n FROM l),
+p AS (SELECT b.clip, b.r, max(b.doc_id) AS doc_id, corr(a.n, b.n) AS c, var_pop(a.n) * var_pop(b.n) = 0 AS flat, avg(abs(a.n - b.n)) AS away FROM h a JOIN h b ON b.clip = a.clip AND b.k = a.k AND b.r = a.r + 1 GROUP BY b.clip, b.r),
+st(clip, r, doc_id, recent, is_cut) AS (SELECT clip, r, doc_id, []::DOUBLE[], false FROM l WHERE r = 1 UNION ALL
+SELECT clip, r, doc_id, CASE WHEN cut THEN [away] ELSE list_append(recent, away)[-24:] END, cut FROM (
+  SELECT p.*, st.recent, (NOT flat AND c < 9e-1) OR (len(st.recent) >= 3 AND away >= 8 AND away >= 3 * greatest(list_aggregate(st.recent, 'median'), 1e0)) AS cut FROM st JOIN p ON p.clip = st.clip AND p.r = st.r + 1))
+SELECT clip, doc_id, is_cut FROM st""")
+def scene_cut_histogram(spark, sf_dir):
+    """A clip a source, a frame a document; its histogram is of letters."""
+    t = F.lower("text")
+    letters = F.array(*((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("clip"), "doc_id", letters.alias("histogram"))
+    return walk.scene_cuts(rows.withColumn("samples", F.col("histogram")), ["clip"], ["doc_id"], "histogram", "samples", least=0.9).select("clip", "doc_id", "is_cut")
+
+
+def _single(spark, sf_dir):
+    """A clip a label, a frame a vector, whose values shake the person's box; every 23rd frame has a stranger too, every 29th the person elsewhere, every 31st a cut."""
+    i, e = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    x = 200 + 40 * e[0] + F.when(i % 29 == 0, 60.0).otherwise(0.0)
+    y = 100 + 40 * e[1]
+    rows = table(spark, sf_dir, "embeddings").withColumn("frame", i)
+    rows = rows.select(
+        F.col("label").alias("clip"), "frame", (i % 31 == 0).alias("cut"), x.alias("x"), y.alias("y"), F.explode(F.when(i % 23 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("det")
+    )
+    side = F.when(F.col("det") == 0, 60.0).otherwise(20.0)
+    left = F.when(F.col("det") == 0, F.col("x")).otherwise(500.0)
+    look = F.when(F.col("det") == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    return rows.select("clip", "frame", "cut", "det", F.array(left, F.col("y"), left + side, F.col("y") + side).alias("box"), F.lit(0.9).alias("score"), look.alias("embedding"))
+
+
+#: The person's box, its speed (half of the last step, half of the speed before; none after a cut) and the run of skips, frame by frame.
+@query("""WITH RECURSIVE f AS (SELECT label AS clip, vec_id AS frame, 200 + 40 * embedding[1]::DOUBLE + CASE WHEN vec_id % 29 = 0 THEN 60 ELSE 0 END AS x, 100 + 40 * embedding[2]::DOUBLE AS y, vec_id % 23 = 0 AS two, vec_id % 31 = 0 AS cut,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+st(clip, r, frame, x, y, vx, vy, run, verdict) AS (SELECT clip, r, frame, x, y, 0e0, 0e0, 0, CASE WHEN two THEN 'faces' ELSE 'unlocked' END FROM f WHERE r = 1 UNION ALL
+SELECT clip, r, frame, x, y, (x - px) / 2 + vx / 2, (y - py) / 2 + vy / 2, CASE WHEN verdict = 'skipped' THEN run + 1 ELSE 0 END, verdict FROM (
+  SELECT *, CASE WHEN two THEN 'faces' WHEN run >= 8 THEN 'forced' WHEN i / greatest(7200 - i, 1e-6) >= 55e-2 THEN 'skipped' ELSE 'refused' END AS verdict FROM (
+    SELECT *, greatest(0, 60 - abs(px + vx - x)) * greatest(0, 60 - abs(py + vy - y)) AS i FROM (
+      SELECT f.*, s.x AS px, s.y AS py, CASE WHEN f.cut THEN 0e0 ELSE s.vx END AS vx, CASE WHEN f.cut THEN 0e0 ELSE s.vy END AS vy, CASE WHEN f.cut THEN 8 ELSE s.run END AS run FROM st s JOIN f ON f.clip = s.clip AND f.r = s.r + 1))))
+SELECT clip, frame, 0::INT AS det, CASE WHEN r = 1 THEN 'locked' ELSE 'followed' END AS event, verdict AS "check" FROM st""")
+def fast_path(spark, sf_dir):
+    return track.follow_fast(_single(spark, sf_dir), "clip", 1000.0)
