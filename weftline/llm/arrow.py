@@ -7,7 +7,7 @@ of about 1 MB so that 8-byte work arrays stay small whatever the batch holds.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,27 @@ _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bound_batches(spark, rows: int = 2_000) -> None:
-    """Arrow batches of at most so many rows in this session: 10,000 long texts, Spark's default, fill a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark, rows: int = 2_000, size: int = 8 << 20) -> None:
+    """Arrow batches of at most so many rows and bytes in this session: 10,000 long texts, Spark's default, fill a worker's memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        found = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < found <= most:
+            spark.conf.set(key, str(most))
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Say whose function a Python worker runs now: it lives through many stages, and lets go of what another operator keeps in it.
+
+    release: lets go of what this owner keeps between tasks.
+    """
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+        trim()
+    if release:
+        _HELD[owner] = release
 
 
 def trim() -> None:

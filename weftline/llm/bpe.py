@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import bound_batches, list_array, pieces, ragged, trim, utf8
+from weftline.llm.arrow import bound_batches, claim, list_array, pieces, ragged, trim, utf8
 
 CACHE_WORDS, CACHE_TOKENS = 400_000, 8_000_000
 #: Bytes of texts, of fragments and tokens of one step; every query has a cost of its own.
@@ -206,6 +206,10 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _release() -> None:
+    codec.cache_clear()  # the codec's database goes with it
+
+
 ENCODED = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -214,6 +218,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True)
     bound_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _release)
         c = codec(path, pattern)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -237,6 +242,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, text of an ids column. Null ids give null; bytes that aren't UTF-8 become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _release)
         c = codec(path, pattern)
         for batch in batches:
             lists = batch.column("ids")

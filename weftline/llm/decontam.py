@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import bound_batches, pieces, powers, ragged, trim, utf8
+from weftline.llm.arrow import bound_batches, claim, pieces, powers, ragged, trim, utf8
 
 Q, RATE = 8, 0.1
 #: From twice the q-gram on, one edit leaves a q-gram whole.
@@ -278,6 +278,7 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple
 
 
 def _searched(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    claim("decontam")
     data, offsets = utf8(texts)
     for lo, hi in pieces(offsets):
         part = data[offsets[lo] : offsets[hi]]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.arrow import bound_batches, trim
+from weftline.llm.arrow import bound_batches, claim, trim
 
 #: BITS hold a code of its own for every letter of Unicode.
 SAMPLE, RANKS, BITS = 1_500, 300, 18
@@ -196,6 +196,7 @@ def predict(documents: DataFrame, profiles: list[tuple[str, list[str]]], keep: l
 
     @F.arrow_udf("struct<lang_pred: string, score: double, fit: double>")
     def judge(texts: pa.Array) -> pa.Array:
+        claim("langid", _MODELS.clear)
         model = _MODELS.get(key)
         if model is None:
             _MODELS.clear()
