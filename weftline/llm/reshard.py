@@ -176,8 +176,8 @@ def rewrite(documents: DataFrame, placed: DataFrame, path: str) -> tuple[list[in
 
     `placed` is `reshard` of the documents. Returns the shards written and the
     names of the columns shard, slot and old_shard in their files, which stand
-    beside the documents' own. A shard's files hold ranges of its slots, so
-    several tasks write it.
+    beside the documents' own. Every task that has rows of a shard writes a file
+    of it, by slot, straight from the join: texts are shuffled once.
     """
     changed = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     affected = sorted(r["shard"] for r in changed.collect())
@@ -204,5 +204,5 @@ def rewrite(documents: DataFrame, placed: DataFrame, path: str) -> tuple[list[in
         pairs = mine.select("whole", "address", "start").join(theirs.select("address", "start", "shard", "slot", "old_shard").where(F.col("shard").isin(affected)), ["address", "start"])
         found = found.unionByName(pairs.drop("start"))
     out = found.select(*(F.col("whole")[c].alias(c) for c in documents.columns), *(F.col(c).alias(n) for c, n in zip(("shard", "slot", "old_shard"), names)))
-    out.repartitionByRange(*names[:2]).sortWithinPartitions(*names[:2]).write.mode("overwrite").partitionBy(names[0]).parquet(path)
+    out.sortWithinPartitions(*names[:2]).write.mode("overwrite").option("compression", "zstd").partitionBy(names[0]).parquet(path)
     return affected, names
