@@ -32,6 +32,6 @@ def test_query_matches_sql(spark, db, tmp_path, name):
 
 def test_queries_without_sql_are_few_and_run(spark):
     rest = sorted(set(QUERIES) - set(ORACLES))
-    assert rest == ["acquire_references"]
+    assert rest == []
     for name in rest:
         assert QUERIES[name](spark, SF).count() > 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import score, vec
 from weftline.operators import greedy
+from weftline.sources.scratch import cut
 
 
 def weighted_centre(rows: DataFrame, key: list[str], weight: Column | float = 1.0, normalise: bool = True) -> DataFrame:
@@ -28,14 +29,17 @@ def consensus(rows: DataFrame, key: list[str], weight: Column | float = 1.0) ->
 
 
 def reject_outliers(rows: DataFrame, key: list[str], weight: Column | float, floor: float = 0.05, least: int = 3) -> DataFrame:
-    """Adds kept and consensus: of keys with `least` rows, those that agree; all of them if none does. Agreement is then taken among the kept."""
-    first = consensus(rows, key, weight)
-    per = first.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("consensus") >= floor).alias("any"))
-    flagged = first.drop("consensus").join(
-        first.join(per, key).select(*key, "vec_id", ((F.col("n") < least) | ~F.col("any") | (F.col("consensus") >= floor)).alias("kept")), [*key, "vec_id"]
-    )
-    second = consensus(flagged.where("kept"), key, weight).select(*key, "vec_id", "consensus")
-    return flagged.join(second, [*key, "vec_id"], "left")
+    """Adds kept and consensus: of keys with `least` rows, those that agree; all of them if none does. Agreement is then taken among the kept.
+
+    Three passes give a row a key each: the centres, how many agree, and the centres of those
+    kept; these are written, and the result reads the rows once.
+    """
+    first = cut(weighted_centre(rows, key, weight))
+    like = rows.join(first, key).withColumn("_like", vec.cosine("embedding", "centre")).drop("centre")
+    per = cut(like.groupBy(*key).agg(F.count("*").alias("_n"), F.max(F.col("_like") >= floor).alias("_any")))
+    flagged = like.join(per, key).withColumn("kept", (F.col("_n") < least) | ~F.col("_any") | (F.col("_like") >= floor)).drop("_n", "_any", "_like")
+    second = cut(weighted_centre(flagged.where("kept"), key, weight))
+    return flagged.join(second, key, "left").withColumn("consensus", F.when(F.col("kept"), vec.cosine("embedding", "centre"))).drop("centre")
 
 
 def cross_check(centres: DataFrame, key: str, limit: float = 0.25) -> DataFrame:
@@ -105,7 +109,7 @@ def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: fl
     Rows need is_photo; vec_id names a row of its key. Uploaded photos come first
     for the anchor and in each band. Each pick is an arg-min over all rows that
     are not redundant to the picks so far, computed where the rows lie: `limit`
-    passes, and only the picks, `limit` a key, are joined back. A band without a
+    passes, after each of which the picks, `limit` a key, are written and joined back. A band without a
     new view never gets one later, so the least open band that has one is next.
     """
     bands = [b[0] for b in score.POSE_BANDS]
@@ -116,7 +120,7 @@ def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: fl
     )
     view = ["vec_id", "yaw", "look", "band"]
     best = ranked.groupBy("key").agg(F.min(F.struct("frame", F.coalesce(band != bands[0], F.lit(True)).alias("turned"), "order", *view)).alias("x"))
-    picks = best.select(F.col("key").alias("of"), F.array(F.struct(*(F.col(f"x.{c}").alias(c) for c in view), F.lit("anchor").alias("why"))).alias("picks"))
+    picks = cut(best.select(F.col("key").alias("of"), F.array(F.struct(*(F.col(f"x.{c}").alias(c) for c in view), F.lit("anchor").alias("why"))).alias("picks")))
     place = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(bands) for x in (name, i))), band), F.lit(len(bands)))
     for _ in range(limit - 1):
         near = lambda c: F.coalesce((F.abs(c["yaw"] - F.col("yaw")) <= pose) & (vec.dot(c["look"], "look") >= similarity), F.lit(False))
@@ -127,7 +131,7 @@ def acquire(rows: DataFrame, key: str, quality: Column, limit: int = 5, pose: fl
         why = F.when(F.col("x.step") < len(bands), F.col("x.band")).otherwise("fill")
         added = F.array(F.struct(*(F.col(f"x.{c}").alias(c) for c in view), why.alias("why")))
         both = picks.join(new, F.col("of").eqNullSafe(F.col("key")), "left")
-        picks = both.select("of", F.when(F.col("x").isNull(), F.col("picks")).otherwise(F.concat("picks", added)).alias("picks"))
+        picks = cut(both.select("of", F.when(F.col("x").isNull(), F.col("picks")).otherwise(F.concat("picks", added)).alias("picks")))
     return picks.select(F.col("of").alias(key), F.posexplode("picks").alias("pick", "c")).select(key, "pick", "c.vec_id", "c.why")
 
 

@@ -2,21 +2,89 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.scratch import cut
+
 #: Percentiles of a profile.
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50)
 
 
-def percentiles(rows: DataFrame, key: list[str], value: str, at=PERCENTILES) -> DataFrame:
-    """key..., p1, p5, ...: exact, with linear interpolation.
+#: Buckets of a range in one pass of `percentiles`; keys with ranges still open up to which these are broadcast.
+BUCKETS, OPEN_KEYS, LINEAR, SPLITS = 1_024, 20_000, 3, 64
 
-    Values are counted before they are ranked, so a task holds the distinct
-    values of a key, not its rows.
+
+def percentiles(rows: DataFrame, key: list[str], value: str, at=PERCENTILES) -> DataFrame:
+    """key..., p1, p5, ...: exact, with linear interpolation; null and NaN values don't count, a key of no others is null throughout.
+
+    By counting: the first pass counts each key's values in `BUCKETS` equal ranges,
+    on the map side first, and each further one only those in the ranges that
+    hold a wanted rank, until these hold one value each. Ranges that `LINEAR` passes leave
+    open hold values of very different sizes; they are parted at `SPLITS` of their own
+    values from then on, each of which is a range by itself, so that every pass makes them
+    shorter. Whatever a key's size or number of distinct values, its state is the counts of these ranges.
     """
-    exact = F.expr(f"percentile({value}, array({','.join(map(str, at))}))")
-    return rows.groupBy(*key).agg(exact.alias("p")).select(*key, *(F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(at)))
+    v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v), v)
+    known = rows.select(*key, v.alias("v")).where("v is not null")
+    sizes = cut(rows.groupBy(*key).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")))
+    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("place")) for i, q in enumerate(at)))).alias("p")
+    placed = sizes.where("n > 0").select(*key, "lo", "hi", places).select(*key, "lo", "hi", "p.i", "p.place")
+    rank = F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")
+    wanted = placed.select(*key, "lo", "hi", F.lit(0).cast("long").alias("before"), rank).distinct()
+    found = []
+    while True:
+        wanted = cut(wanted)
+        found.append(wanted.where("lo = hi").select(*key, "rank", F.col("lo").alias("value")))
+        wanted = wanted.where("lo < hi")
+        if wanted.isEmpty():
+            break
+        ranges = wanted.select(*key, "lo", "hi", "before").distinct()
+        ranges = F.broadcast(ranges) if ranges.count() <= OPEN_KEYS else ranges
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+        inside = known.alias("a").join(ranges.alias("b"), [*same, F.col("v").between(F.col("lo"), F.col("hi"))]).select(*(F.col(f"b.{c}").alias(c) for c in key), "lo", "hi", "before", "v")
+        if len(found) <= LINEAR:
+            # Half of each, so that the width of the whole range of doubles is finite.
+            bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS))
+        else:
+            shares = F.array(*(F.lit(i / SPLITS) for i in range(SPLITS + 1)))
+            splits = cut(inside.groupBy(*key, "lo", "hi", "before").agg(F.array_distinct(F.percentile_approx("v", shares, 2_000)).alias("splits")))
+            splits = F.broadcast(splits) if splits.count() <= OPEN_KEYS // SPLITS else splits
+            a, b = inside.alias("a"), splits.alias("b")
+            same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "lo", "hi", "before")]
+            inside = a.join(b, same).select(*(F.col(f"a.{c}").alias(c) for c in (*key, "lo", "hi", "before", "v")), "splits")
+            bucket = 2 * F.size(F.filter("splits", lambda s: s < F.col("v"))) + F.array_contains("splits", F.col("v")).cast("int")
+        counts = inside.groupBy(*key, "lo", "hi", "before", bucket.alias("bucket")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        order = Window.partitionBy(*key, "lo", "hi", "before").orderBy("bucket")  # the counts of one range: BUCKETS rows
+        counts = counts.withColumn("end", F.col("before") + F.sum("c").over(order)).withColumn("start", F.col("end") - F.col("c"))
+        a, b = wanted.alias("a"), counts.alias("b")
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+        hit = a.join(b, [*same, F.col("a.lo") == F.col("b.lo"), F.col("a.hi") == F.col("b.hi"), F.col("a.before") == F.col("b.before")]).where("rank >= start and rank < end")
+        wanted = hit.select(*(F.col(f"a.{c}").alias(c) for c in key), F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("start").alias("before"), "rank")
+    values = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("values"))
+    s, v = sizes.alias("s"), values.alias("v")
+    out = s.join(v, [F.col(f"s.{c}").eqNullSafe(F.col(f"v.{c}")) for c in key], "left")
+
+    def between(q: float) -> Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        low, high = (F.try_element_at("values", f(place).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return out.select(*(F.col(f"s.{c}").alias(c) for c in key), *(between(q).alias(f"p{round(100 * q)}") for q in at))
+
+
+#: Fixed value: a face under this similarity to the person is a bystander's, no failure of theirs.
+BYSTANDER = 0.15
+
+
+def identity_profile(rows: DataFrame, key: list[str], similarity: str, bystander: float = BYSTANDER, at=PERCENTILES) -> DataFrame:
+    """`percentiles` of the similarities to the person, bystanders left out, with counted and left_out, the numbers of rows."""
+    other = F.col(similarity) < bystander
+    numbers = rows.groupBy(*key).agg(F.count(F.when(~other, 1)).alias("counted"), F.count(F.when(other, 1)).alias("left_out"))
+    return numbers.join(percentiles(rows.where(~other), key, similarity, at), key, "left")
 
 
 def condition_correlation(rows: DataFrame, outcome: str, conditions: list[str], bad: Column) -> DataFrame:
@@ -58,6 +126,7 @@ def stage_breakdown(rows: DataFrame, stage: str, seconds: Column, nested: Column
 
 def win_tally(aggregates: DataFrame, metrics: dict[str, bool], digits: int = 6) -> DataFrame:
     """candidate, wins, ties over metrics (name: more is better); a metric that any candidate lacks is skipped, equal values tie."""
+    aggregates = cut(aggregates)  # a row a candidate, of which seven places below read
     n = aggregates.agg(F.count("*").alias("candidates"))
     cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.col(m) if up else -F.col(m), digits).alias("v")) for m, up in metrics.items()))
     long = aggregates.select("candidate", F.explode(cells).alias("x")).select("candidate", "x.*")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +66,28 @@ TRAITS = (("yaw", True), ("blur", False), ("face_size", True), ("face_size", Fal
 def stratified_sample(frames: DataFrame, each: int = 2, want: int = 14) -> DataFrame:
     """The `each` hardest frames of every trait, filled in frame order to `want`; columns frame, reason.
 
-    Every trait is a top-k over all frames, so nothing but k rows a task moves.
+    One pass over the frames: each batch gives its own `each` hardest of every trait and its
+    first frames, and what all batches give is ranked once more.
     """
-    picks = [frames.orderBy(F.desc(t) if most else F.asc(t), "frame").limit(each).select("frame", F.lit(i).alias("reason")) for i, (t, most) in enumerate(TRAITS)]
-    hard = reduce(DataFrame.unionByName, picks).groupBy("frame").agg(F.min("reason").alias("reason"))
-    fill = frames.select("frame").orderBy("frame").limit(want + each * len(TRAITS)).select("frame", F.lit(len(TRAITS)).alias("reason"))
-    both = hard.unionByName(fill).groupBy("frame").agg(F.min("reason").alias("reason"))
-    chosen = both.orderBy((F.col("reason") == len(TRAITS)), "frame").limit(want)
-    return chosen
+    fill = len(TRAITS)
+    wanted = [*((t, most, each) for t, most in TRAITS), ("frame", False, want + each * len(TRAITS))]
+
+    def hardest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.column("frame")
+            for reason, (trait, most, n) in enumerate(wanted):
+                value = pc.cast(batch.column(trait), pa.float64())
+                order = pc.sort_indices(pa.table({"v": value, "f": frame}), [("v", "descending" if most else "ascending"), ("f", "ascending")], null_placement="at_end" if most else "at_start").slice(0, n)
+                v = value.take(order)
+                yield pa.RecordBatch.from_arrays([frame.take(order), pa.array([reason] * len(order), pa.int32()), pc.negate(v) if most else v], names=["frame", "reason", "hard"])
+
+    columns = list(dict.fromkeys(["frame", *(t for t, _ in TRAITS)]))
+    found = frames.select(*(F.col(c).cast("long" if c == "frame" else "double") for c in columns)).mapInArrow(hardest, "frame long, reason int, hard double")
+    nulls = F.when(F.col("reason").isin([i for i, (_, most) in enumerate(TRAITS) if most]), F.col("hard").isNull().cast("int")).otherwise(-F.col("hard").isNull().cast("int"))
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("reason").orderBy(nulls, "hard", "frame")))
+    kept = ranked.where((F.col("r") <= each) | ((F.col("reason") == fill) & (F.col("r") <= want + each * len(TRAITS))))
+    both = kept.groupBy("frame").agg(F.min("reason").alias("reason"))
+    return both.orderBy(F.col("reason") == fill, "frame").limit(want)
 
 
 def staged(candidates: DataFrame) -> DataFrame:

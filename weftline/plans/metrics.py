@@ -110,6 +110,14 @@ def percentile_profile(spark, sf_dir):
     return rows.select("event_type", *(F.round(c, 4).alias(c) for c in rows.columns[1:]))
 
 
+@query(f"""WITH {FM}, s AS (SELECT category, identity - 25e-2 AS sim FROM fm), n AS (SELECT category, count(*) FILTER (WHERE sim >= 15e-2) AS counted, count(*) FILTER (WHERE sim < 15e-2) AS left_out FROM s GROUP BY category),
+p AS (SELECT category, {_P.replace("(value,", "(sim,")} FROM s WHERE sim >= 15e-2 GROUP BY category) SELECT * FROM n LEFT JOIN p USING (category)""")
+def identity_profile(spark, sf_dir):
+    rows = frame_metrics(spark, sf_dir).select("category", (F.col("identity") - 0.25).alias("sim"))
+    out = report.identity_profile(rows, ["category"], "sim")
+    return out.select(*(F.round(c, 4).alias(c) if t == "double" else c for c, t in out.dtypes))
+
+
 _CONDITIONS = ["blur", "face_size", "brightness", "yaw", "ms"]
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS condition, identity AS o, {c} AS v FROM fm WHERE identity IS NOT NULL" for c in _CONDITIONS)
 

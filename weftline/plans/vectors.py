@@ -87,7 +87,10 @@ def defect_gate_reason(spark, sf_dir):
     return observations(spark, sf_dir).select("vec_id", score.gate().alias("reason"), score.gate(90.0, 0.60, 55.0).alias("strict_reason"))
 
 
-@query(f"""WITH {OBS}, f AS (SELECT *, least(1e0, face_px / 160) * least(greatest(detector_conf, 0e0), 1e0) * least(1e0, sharpness / 120) AS b, 4e-1 + 6e-1 * exp(-abs(yaw) / 45) AS p FROM q)
+_FACTORS = "f AS (SELECT *, least(1e0, face_px / 160) * least(greatest(detector_conf, 0e0), 1e0) * least(1e0, sharpness / 120) AS b, 4e-1 + 6e-1 * exp(-abs(yaw) / 45) AS p FROM q)"
+
+
+@query(f"""WITH {OBS}, {_FACTORS}
 SELECT vec_id, round(greatest(1e-3, b), 6) AS base, round(quality, 6) AS observation, round(greatest(1e-3, b * p), 6) AS photo,
 round(greatest(1e-3, b * least(greatest(1e0 - abs(exposure - 128) / 118, 5e-2), 1e0) * least(greatest(1e0 - (clipped_high + clipped_low) * 3, 1e-1), 1e0) * (25e-2 + 75e-2 * visible_fraction) * p), 6) AS evidence FROM f""")
 def quality_weights(spark, sf_dir):
@@ -147,7 +150,22 @@ def mark_duplicates(spark, sf_dir):
     return observe.marked_duplicates(observations(spark, sf_dir), ["label"], score.quality(), 12.0, 0.30)
 
 
-@query()
+_BAND = "CASE " + " ".join(f"WHEN yaw >= {lo} AND yaw < {hi} THEN {i}" for i, (_, lo, hi) in enumerate(score.POSE_BANDS)) + f" ELSE {len(score.POSE_BANDS)} END"
+_NAMES = "[" + ", ".join(f"'{n}'" for n, _, _ in score.POSE_BANDS) + "]"
+
+
+def _pick(i: int) -> str:
+    """The pick after i others: of the views that none of them makes redundant, the best of the first band without a pick, else the best."""
+    return f"""c{i} AS (SELECT q.*, q.band < 5 AND NOT EXISTS (SELECT 1 FROM p{i - 1} k WHERE k.label = q.label AND k.band = q.band) AS free FROM v q
+  WHERE NOT EXISTS (SELECT 1 FROM p{i - 1} k WHERE k.label = q.label AND (k.vec_id = q.vec_id OR (abs(k.yaw - q.yaw) <= 10 AND list_inner_product(k.e, q.e) / (k.n * q.n) >= 3e-1)))),
+r{i} AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN free THEN band ELSE 5 END, free AND frame, -evidence, vec_id) AS r FROM c{i}),
+p{i} AS (SELECT label, pick, vec_id, why, yaw, e, n, band FROM p{i - 1} UNION ALL SELECT label, {i}, vec_id, CASE WHEN free THEN {_NAMES}[band + 1] ELSE 'fill' END, yaw, e, n, band FROM r{i} WHERE r = 1)"""
+
+
+@query(f"""WITH {OBS}, {_FACTORS}, v AS (SELECT f.label, f.vec_id, f.yaw, f.e, sqrt(list_inner_product(f.e, f.e)) AS n, {_BAND} AS band, vec_id % 7 <> 0 AS frame,
+  greatest(1e-3, b * least(greatest(1e0 - abs(exposure - 128) / 118, 5e-2), 1e0) * least(greatest(1e0 - (clipped_high + clipped_low) * 3, 1e-1), 1e0) * (25e-2 + 75e-2 * visible_fraction) * p) AS evidence FROM f),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY frame, band <> 0, -evidence, vec_id) AS r FROM v), p0 AS (SELECT label, 0 AS pick, vec_id, 'anchor' AS why, yaw, e, n, band FROM r0 WHERE r = 1),
+{", ".join(_pick(i) for i in range(1, 5))} SELECT label, pick::INT AS pick, vec_id, why FROM p4""")
 def acquire_references(spark, sf_dir):
     rows = observations(spark, sf_dir).withColumn("is_photo", F.col("vec_id") % 7 == 0)
     return observe.acquire(rows, "label", score.quality("evidence"), similarity=0.30)
