@@ -136,6 +136,32 @@ def merged(base: Column, override: Column) -> Column:
     return F.map_concat(kept, override)
 
 
+#: Column of a library entry, its path in the stored render record, its type.
+LIBRARY = (
+    ("quality", "$.quality", "string"), ("face_mode", "$.face_mode", "string"), ("swapper", "$.result.config.swapper", "string"), ("enhancer", "$.result.config.enhancer", "string"),
+    ("enhancer_blend", "$.result.config.enhancer_blend", "double"), ("mask_mode", "$.result.config.mask", "string"), ("color_match", "$.result.config.color_match", "boolean"),
+    ("encoder", "$.result.encoder", "string"), ("frames", "$.result.frames", "bigint"), ("identity_switches", "$.result.tracking.identity_switches", "bigint"),
+    ("benchmark_winner", "$.result.benchmark_winner", "string"), ("benchmark_score", "$.result.benchmark_score", "double"),
+    ("benchmark_candidates", "$.result.benchmark_candidates", "bigint"), ("render_seconds", "$.result.timings.total_s", "double"),
+)
+
+
+def library_columns(rows: DataFrame, record: str) -> DataFrame:
+    """Adds the flat columns of a nested render record, a JSON text whose fields come and go: engine, mask_sources (JSON) and `LIBRARY`.
+
+    The record is parsed once into a variant. One that is malformed counts as empty, and what
+    is absent, null or of another kind than asked for is null; the engine is `v1` then.
+    """
+    name = "_record"
+    while name in rows.columns:
+        name += "_"
+    parsed = rows.withColumn(name, F.try_parse_json(record))
+    get = lambda path, kind: F.try_variant_get(name, path, kind)
+    engine = F.coalesce(get("$.result.engine", "string"), get("$.engine", "string"), F.lit("v1"))
+    sources = F.to_json(get("$.result.mask_sources", "variant"))
+    return parsed.select(*rows.columns, engine.alias("engine"), sources.alias("mask_sources"), *(get(path, kind).alias(column) for column, path, kind in LIBRARY))
+
+
 def in_group(spark, group: str, action, description: str = ""):
     """action() with its Spark jobs under one group, so that `cancel_group` from any thread ends them."""
     context = spark.sparkContext

@@ -110,6 +110,16 @@ def tournament(rows: DataFrame, config: str, category: str, value: str) -> DataF
     return sets.agg(F.avg(value).alias("mean"), F.min(value).alias("worst"), F.count(value).alias("n"))
 
 
+def matrix(rows: DataFrame, config: str, category: str, value: str) -> DataFrame:
+    """config, category, mean, n, missing: a cell for every configuration and category that occur, without a value where nothing was measured."""
+    measured = rows.groupBy(config, category).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    measured = cut(measured)
+    columns = measured.agg(F.collect_set(category).alias("all"))  # one row of the categories
+    cells = measured.select(config).distinct().join(F.broadcast(columns), F.lit(True)).select(config, F.explode("all").alias(category))
+    found = cells.join(measured, [config, category], "left")
+    return found.select(config, category, "mean", F.coalesce("n", F.lit(0)).alias("n"), F.col("mean").isNull().alias("missing"))
+
+
 def pose_pivot(rows: DataFrame, key: str, yaw: str, value: str, edges: tuple[float, float] = (8.0, 20.0)) -> DataFrame:
     """key, frontal, turned, profile: mean values by absolute yaw."""
     a = F.abs(F.col(yaw))

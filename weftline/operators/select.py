@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -106,6 +106,32 @@ def staged(candidates: DataFrame) -> DataFrame:
     ).drop("lead", "leader")
 
 
+#: Mask modes, and the score of a candidate that failed.
+MASKS, FAILED = ("model", "parsing", "full"), -1.0
+
+
+def variants(winners: DataFrame, measured: DataFrame, key: list[str], masks=MASKS) -> DataFrame:
+    """The candidates of the refining stage: each winner (key..., label, mask, color_match and other settings) under other masks, and without colour matching if it has it.
+
+    They are made here and stand in no table; those whose label is measured already are left out.
+    """
+    change = lambda name, mask, colour: F.struct(F.lit(name).alias("name"), F.lit(mask).alias("mask"), F.lit(colour).alias("color_match"))
+    changes = [F.when(~F.col("mask").eqNullSafe(m), change(f"mask:{m}", m, None)) for m in masks]
+    changes.append(F.when(F.coalesce("color_match", F.lit(True)), change("no colour match", None, False)))
+    made = winners.withColumn("_change", F.explode(F.array_compact(F.array(*changes))))
+    made = made.withColumn("label", F.concat("label", F.lit(" / "), "_change.name"))
+    made = made.withColumn("mask", F.coalesce("_change.mask", "mask")).withColumn("color_match", F.coalesce("_change.color_match", "color_match")).drop("_change")
+    return made.join(measured.select(*key, "label").distinct(), [*key, "label"], "left_anti")
+
+
+def refined(winners: DataFrame, measured: DataFrame, key: list[str], measure: Callable[[DataFrame], DataFrame], masks=MASKS) -> DataFrame:
+    """`variants` with score, failed and better (than their winner). measure adds score to candidates, null for what couldn't be measured, which scores `FAILED`."""
+    before = winners.select(*key, F.col("score").alias("_before"))
+    found = measure(variants(winners.drop("score"), measured, key, masks)).join(before, key)
+    found = found.withColumn("failed", F.col("score").isNull()).withColumn("score", F.coalesce("score", F.lit(FAILED)))
+    return found.withColumn("better", F.col("score") > F.col("_before")).drop("_before")
+
+
 def calibration(rows: DataFrame, value: str, same: Column) -> DataFrame:
     """Means and extremes of both classes, the threshold between the means, d-prime, and whether the classes part cleanly."""
     a, b = F.when(same, F.col(value)), F.when(~same, F.col(value))
