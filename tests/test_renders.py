@@ -1,8 +1,12 @@
-"""Render records, joined segments and candidates that a stage makes."""
+"""Render records, joined segments, candidates that a stage makes, and photos of a request."""
+
+import hashlib
 
 from pyspark.sql import functions as F
 
+from weftline.functions import score
 from weftline.operators import control, ordinal, report, select
+from weftline.sources import files
 
 
 def test_library_columns_of_records_that_change(spark):
@@ -52,3 +56,39 @@ def test_matrix_has_a_cell_for_each_configuration_and_category(spark):
     rows = spark.createDataFrame([("x", 1, 0.5), ("x", 2, None), ("y", 3, 1.0), ("y", 3, 0.0)], "config string, category int, v double")
     found = {(r["config"], r["category"]): (r["mean"], r["n"], r["missing"]) for r in report.matrix(rows, "config", "category", "v").collect()}
     assert len(found) == 6 and found["y", 3] == (0.5, 2, False) and found["x", 2] == (None, 0, True) and found["x", 3] == (None, 0, True)
+
+
+def test_photos_of_a_folder_with_a_broken_file(spark, tmp_path):
+    content = {"a.jpg": b"\xff\xd8\xff\xe0 body", "b.png": b"\x89PNG\r\n", "c.jpg": b"not an image", "d.webp": b"RIFF0000WEBP", "e.bmp": b"?", "f.jpg": b"\xff\xd8\xff\xdb", "g.jpg": b"\xff\xd8\xff\xdb2"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    found = files.photos(spark, str(tmp_path))
+    rows = {r["name"]: r for r in found.collect()}
+    assert {n: (r["bytes"], r["sha256"]) for n, r in rows.items()} == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items()}
+    assert [n for n, r in sorted(rows.items()) if r["format"] is None] == ["c.jpg", "e.bmp"]
+    request = found.select(F.lit(1).alias("request"), "name", F.col("format").isNotNull().alias("readable"))
+    faces = spark.createDataFrame([(1, "a.jpg"), (1, "a.jpg"), (1, "g.jpg")], "request int, name string")
+    problems = files.source_problems(request, faces, ["request"], "name")
+    assert {r["name"]: r["problem"] for r in problems.collect()} == {
+        "a.jpg": None, "b.png": "no face found", "c.jpg": "unreadable or unsupported", "d.webp": "no face found", "e.bmp": "unreadable or unsupported",
+        "f.jpg": "not read: more than 5 photos", "g.jpg": "not read: more than 5 photos",
+    }
+    assert files.unusable(problems, ["request"]).count() == 0
+    assert files.unusable(problems.where("name = 'c.jpg'"), ["request"]).first()["error"] == "c.jpg: unreadable or unsupported"
+
+
+def test_times_ranges_and_lengths(spark):
+    rows = spark.createDataFrame([("a@12.5", 6.0, 144, 23.839), ("b", 0.0, 10, 25.0), ("c@x", 3.0, 0, 25.0), ("d@1@2", 8.0, 10, 25.0)], "n string, s double, f int, r double")
+    found = rows.select(score.source_time(F.col("n")), score.audio_seconds(F.col("s"), F.col("f"), F.col("r")), score.range_error(F.col("s"), F.lit(6.0))).collect()
+    assert [r[0] for r in found] == [12.5, None, None, 2.0] and [r[1] for r in found] == [6.090524, None, 3.05, 8.05]
+    assert [r[2] for r in found] == ["range is empty", None, None, "range is empty"]
+
+
+def test_detectors_are_judged_by_the_face_that_is_there(spark):
+    tries = spark.createDataFrame([("c", d, f, 10.0 * d) for d in (1, 2) for f in range(3)], "clip string, detector int, frame int, ms double")
+    at = lambda x: ([x, 0.0], [[x - 1, 0.0], [x + 1, 0.0]])
+    found = [("c", 1, 0, 0, *at(11.0)), ("c", 1, 0, 1, *at(50.0)), ("c", 1, 1, 0, *at(13.0)), ("c", 2, 2, 0, *at(5.0))]
+    reference = spark.createDataFrame([("c", 0, *at(10.0)), ("c", 1, *at(10.0))], "clip string, frame int, centre array<double>, points array<array<double>>")
+    rows = {r["detector"]: r for r in report.detector_rows(tries, spark.createDataFrame(found, "clip string, detector int, frame int, det int, centre array<double>, points array<array<double>>"), reference).collect()}
+    assert (rows[1]["recall"], rows[1]["boxes_total"], rows[1]["landmark_err_px"], rows[1]["ms"]) == (0.667, 3, 2.0, 10.0)
+    assert (rows[2]["recall"], rows[2]["boxes_total"], rows[2]["landmark_err_px"]) == (0.333, 1, None)

@@ -223,6 +223,22 @@ def source_kind(name: Column) -> Column:
     return F.when(name.contains("@"), "video").otherwise("photo")
 
 
+def source_time(name: Column) -> Column:
+    """Seconds behind the `@` of a video source's name ("clip@12.5"); null for a photo, and for what is no number."""
+    return F.regexp_extract(name, "@([^@]*)$", 1).try_cast("double")
+
+
+def range_error(first: Column, last: Column) -> Column:
+    """What is wrong with a resolved range, or null: one that begins within a clip must end after it."""
+    return F.when((first > 0) & (last <= first), "range is empty")
+
+
+def audio_seconds(requested: Column, frames: Column, fps: Column, margin: float = 0.05) -> Column:
+    """How much sound goes with a rendered part: its real length where that is longer than what was asked for, and a margin; null (all of it) without a request."""
+    rendered = F.when((frames > 0) & (fps > 0), frames / fps)
+    return F.when(requested > 0, F.round(F.greatest(requested, rendered) + margin, 6))
+
+
 #: Limits of a colour gain and shift, and the strength of each on lightness and on the two colour axes.
 GAIN_LIMITS, SHIFT_LIMIT, LIGHT_STRENGTH, COLOUR_STRENGTH = (0.6, 1.6), 28.0, 1.0, 0.65
 

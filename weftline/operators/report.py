@@ -120,6 +120,27 @@ def matrix(rows: DataFrame, config: str, category: str, value: str) -> DataFrame
     return found.select(config, category, "mean", F.coalesce("n", F.lit(0)).alias("n"), F.col("mean").isNull().alias("missing"))
 
 
+def detector_rows(frames: DataFrame, found: DataFrame, reference: DataFrame) -> DataFrame:
+    """clip, detector, frames, frames_with_face, recall, boxes_total, landmark_err_px, ms: how each detector does on each clip.
+
+    frames: clip, detector, frame and ms of each try; found: clip, detector, frame, det, centre and points of each box;
+    reference: clip, frame, centre and points of the face that is there. The landmark error is the mean distance of
+    the points of the box nearest to it; null where a detector never found one in such a frame.
+    """
+    apart = lambda a, b: F.sqrt(F.pow(a[0] - b[0], 2) + F.pow(a[1] - b[1], 2))
+    key = ["clip", "detector", "frame"]
+    boxes = found.join(reference.select("clip", "frame", F.col("centre").alias("_c"), F.col("points").alias("_p")), ["clip", "frame"], "left")
+    error = F.zip_with("points", "_p", apart)
+    error = F.aggregate(error, F.lit(0.0), lambda s, x: s + x) / F.size("points")
+    per = boxes.groupBy(*key).agg(F.count("*").alias("boxes"), F.min(F.struct(apart(F.col("centre"), F.col("_c")).alias("away"), "det", error.alias("error"))).alias("near"))
+    tries = frames.join(per, key, "left")
+    out = tries.groupBy("clip", "detector").agg(
+        F.count("*").alias("frames"), F.count("boxes").alias("frames_with_face"), F.coalesce(F.sum("boxes"), F.lit(0)).alias("boxes_total"),
+        F.round(F.avg("near.error"), 2).alias("landmark_err_px"), F.round(F.avg("ms"), 1).alias("ms"),
+    )
+    return out.withColumn("recall", F.round(F.col("frames_with_face") / F.col("frames"), 3))
+
+
 def pose_pivot(rows: DataFrame, key: str, yaw: str, value: str, edges: tuple[float, float] = (8.0, 20.0)) -> DataFrame:
     """key, frontal, turned, profile: mean values by absolute yaw."""
     a = F.abs(F.col(yaw))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import score
 from weftline.operators import control, ordinal, report, select
 from weftline.plans.registry import query
-from weftline.plans.stand_ins import FM, frame_metrics, table
+from weftline.plans.stand_ins import DET, FM, detections, frame_metrics, table
+from weftline.sources import files
 
 #: A record an order, of a kind by its key: cut off, empty, without a result, of an old engine, with numbers as text, and whole.
 _RECORD = """CASE o_orderkey % 7 WHEN 0 THEN '{"result": {' WHEN 1 THEN '{}' WHEN 2 THEN '{"quality": "fast", "engine": "v0", "result": null}'
@@ -76,3 +78,51 @@ SELECT candidate, category, round(mean, 6) AS mean, coalesce(n, 0) AS n, mean IS
 def tournament_matrix(spark, sf_dir):
     rows = frame_metrics(spark, sf_dir).where("identity < 0.32").withColumn("category", F.col("frame") % 40)
     return report.matrix(rows, "candidate", "category", "identity").withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS request, 'p' || l_linenumber || '-' || l_partkey AS name, l_linenumber AS place, l_quantity > 8 AS readable, l_tax > 1e-2 AS face FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY place, name) AS r, bool_or(face) OVER (PARTITION BY request, name) AS seen FROM f)
+SELECT request, name, CASE WHEN r > 5 THEN 'not read: more than 5 photos' WHEN NOT readable THEN 'unreadable or unsupported' WHEN NOT seen THEN 'no face found' END AS problem FROM r""")
+def source_problems(spark, sf_dir):
+    """A request an order, a photo a line."""
+    name = F.concat(F.lit("p"), "l_linenumber", F.lit("-"), "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), name.alias("name"), F.col("l_linenumber").alias("place"), (F.col("l_quantity") > 8).alias("readable"), "l_tax")
+    return files.source_problems(rows, rows.where("l_tax > 0.01"), ["request"], "place")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN round(value, 2) WHEN event_id % 5 = 2 THEN 1e0 END AS at FROM events""")
+def source_times(spark, sf_dir):
+    i = F.col("event_id")
+    name = F.concat(F.lit("clip"), F.when(i % 5 == 0, F.concat(F.lit("@"), F.round("value", 2).cast("string"))).when(i % 5 == 1, "@soon").when(i % 5 == 2, "@a@1").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", score.source_time(name).alias("at"))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS job, (o_orderkey % 60)::DOUBLE AS requested, o_custkey % 400 AS frames, (o_custkey % 31)::DOUBLE AS fps, (o_orderkey % 90)::DOUBLE AS last FROM orders)
+SELECT job, CASE WHEN requested > 0 THEN round(CASE WHEN frames > 0 AND fps > 0 THEN greatest(requested, frames / fps) ELSE requested END + 5e-2, 6) END AS audio_seconds, CASE WHEN requested > 0 AND last <= requested THEN 'range is empty' END AS error FROM c""")
+def audio_lengths(spark, sf_dir):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    requested = (key % 60).cast("double")
+    seconds = score.audio_seconds(requested, cust % 400, (cust % 31).cast("double"))
+    return table(spark, sf_dir, "orders").select(key.alias("job"), seconds.alias("audio_seconds"), score.range_error(requested, (key % 90).cast("double")).alias("error"))
+
+
+@query(f"""WITH {DET}, d AS (SELECT frame % 7 AS clip, frame, det, det // 1000000000 % 2 AS detector, x1, y1, x2, y2, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, score, (x2 - x1) * (y2 - y1) AS area FROM det),
+ref AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, det) AS r FROM d) WHERE r = 1),
+f AS (SELECT * FROM d WHERE score > 3e-1),
+e AS (SELECT f.clip, f.detector, f.frame, f.det, sqrt(pow(f.cx - r.cx, 2) + pow(f.cy - r.cy, 2)) AS away,
+  (sqrt(pow(f.x1 - r.x1, 2) + pow(f.y1 - r.y1, 2)) + sqrt(pow(f.x2 - r.x2, 2) + pow(f.y1 - r.y1, 2)) + sqrt(pow(f.cx - r.cx, 2) + pow(f.cy - r.cy, 2))) / 3 AS err FROM f JOIN ref r USING (frame)),
+p AS (SELECT clip, detector, frame, count(*) AS boxes, arg_min(err, (away, det)) AS err FROM e GROUP BY ALL),
+t AS (SELECT clip, detector, frame, avg(score) * 40 AS ms FROM d GROUP BY ALL)
+SELECT clip, detector::INT AS detector, count(*) AS frames, count(boxes) AS frames_with_face, coalesce(sum(boxes), 0)::BIGINT AS boxes_total, round(avg(err), 2) AS landmark_err_px, round(avg(ms), 1) AS ms, round(count(boxes) / count(*), 3) AS recall
+FROM t LEFT JOIN p USING (clip, detector, frame) GROUP BY clip, detector""")
+def detector_report(spark, sf_dir):
+    """Two detectors, by line number; the face that is there is a frame's largest box."""
+    box = F.col("box")
+    middle = F.array((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
+    rows = detections(spark, sf_dir).select(
+        (F.col("frame") % 7).alias("clip"), "frame", "det", F.expr("cast(det div 1000000000 % 2 AS int)").alias("detector"), "score", middle.alias("centre"),
+        F.array(F.array(box[0], box[1]), F.array(box[2], box[1]), middle).alias("points"), ((box[2] - box[0]) * (box[3] - box[1])).alias("area"),
+    )
+    reference = select.best_per(rows, ["frame"], F.desc("area"), F.asc("det"))
+    tries = rows.groupBy("clip", "detector", "frame").agg((F.avg("score") * 40).alias("ms"))
+    return report.detector_rows(tries, rows.where("score > 0.3"), reference)

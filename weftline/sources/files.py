@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,3 +57,35 @@ def reassembled(chunks: DataFrame, key: str, index: str, text: str) -> DataFrame
     """key, text: chunks joined in the order of their index."""
     parts = F.array_sort(F.collect_list(F.struct(index, text)))
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda s: s[text]), "").alias(text))
+
+
+#: Photos read of one request, and the first bytes of the formats that can be.
+MOST_PHOTOS = 5
+_FORMATS = {"jpeg": "FFD8FF", "png": "89504E47", "webp": "52494646", "bmp": "424D", "gif": "47494638"}
+
+
+def photos(spark: SparkSession, path: str) -> DataFrame:
+    """name, bytes, sha256 and format (null if it is none that can be read) of each file of a folder, from its content; Spark leaves out files of no bytes."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    head = F.hex(F.substring("content", 1, 4))
+    kind = F.coalesce(*(F.when(head.startswith(magic), name) for name, magic in _FORMATS.items()))
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("format"))
+
+
+def source_problems(files: DataFrame, faces: DataFrame, key: list[str], order: str, most: int = MOST_PHOTOS) -> DataFrame:
+    """key..., name, problem (null for a photo that is used) of every file of a request.
+
+    files: key, name, order and readable; faces: key and name of each face found. Only the first `most` of a request
+    are looked at; the others are named as such. A request's trouble is a row each, not a failure of the query.
+    """
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(order, "name"))
+    found = faces.select(*key, "name").distinct().withColumn("_face", F.lit(True))
+    rows = files.withColumn("_place", place).join(found, [*key, "name"], "left")
+    problem = F.when(F.col("_place") > most, f"not read: more than {most} photos").when(~F.col("readable"), "unreadable or unsupported").when(F.col("_face").isNull(), "no face found")
+    return rows.select(*key, "name", problem.alias("problem"))
+
+
+def unusable(problems: DataFrame, key: list[str]) -> DataFrame:
+    """key..., error: requests of which no photo can be used, with all that is wrong in the order of names; the rest have no row."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("problem").isNotNull(), F.concat("name", F.lit(": "), "problem"))))
+    return problems.groupBy(*key).agg(F.count(F.when(F.col("problem").isNull(), 1)).alias("_used"), F.array_join(parts, "; ").alias("error")).where("_used = 0").drop("_used")
