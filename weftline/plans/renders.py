@@ -81,7 +81,7 @@ def tournament_matrix(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT l_orderkey AS request, 'p' || l_linenumber || '-' || l_partkey AS name, l_linenumber AS place, l_quantity > 8 AS readable, l_tax > 1e-2 AS face FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY place, name) AS r, bool_or(face) OVER (PARTITION BY request, name) AS seen FROM f)
+r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY place, name, readable) AS r, bool_or(face) OVER (PARTITION BY request, name) AS seen FROM f)
 SELECT request, name, CASE WHEN r > 5 THEN 'not read: more than 5 photos' WHEN NOT readable THEN 'unreadable or unsupported' WHEN NOT seen THEN 'no face found' END AS problem FROM r""")
 def source_problems(spark, sf_dir):
     """A request an order, a photo a line."""

@@ -78,7 +78,7 @@ def source_problems(files: DataFrame, faces: DataFrame, key: list[str], order: s
     files: key, name, order and readable; faces: key and name of each face found. Only the first `most` of a request
     are looked at; the others are named as such. A request's trouble is a row each, not a failure of the query.
     """
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(order, "name"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(order, "name", "readable"))
     found = faces.select(*key, "name").distinct().withColumn("_face", F.lit(True))
     rows = files.withColumn("_place", place).join(found, [*key, "name"], "left")
     problem = F.when(F.col("_place") > most, f"not read: more than {most} photos").when(~F.col("readable"), "unreadable or unsupported").when(F.col("_face").isNull(), "no face found")
