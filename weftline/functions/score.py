@@ -43,6 +43,8 @@ POSE_BINS = (
 POSE_BANDS = (
     ("frontal", -10.0, 10.0), ("left_mild", -28.0, -10.0), ("right_mild", 10.0, 28.0), ("left_strong", -80.0, -28.0), ("right_strong", 28.0, 80.0),
 )
+#: The five bins over which an identity's reach is told.
+REACH_BINS = (("left_strong", -90.0, -28.0), ("left_mild", -28.0, -10.0), ("frontal", -10.0, 10.0), ("right_mild", 10.0, 28.0), ("right_strong", 28.0, 90.0))
 #: Share of each stage of a job in its progress.
 STAGE_WEIGHTS = (
     ("preparing", 0.02), ("analysing video", 0.02), ("benchmarking swap models", 0.05), ("testing restoration", 0.03), ("testing masks", 0.01),

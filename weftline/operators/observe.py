@@ -64,6 +64,38 @@ def pose_conditioned(rows: DataFrame, key: list[str], targets: list[float], sigm
     return sums.select(*key, "target", "dim", value.alias("value"))
 
 
+#: The anchor's share in a conditioned vector, and the least agreement of the same person.
+ANCHOR_SHARE, SAME_PERSON = 0.55, 0.28
+
+
+def anchored(rows: DataFrame, key: list[str], targets: list[float], sigma: float = 18.0, quality: Column | None = None, share: float = ANCHOR_SHARE) -> DataFrame:
+    """key..., target, vector: the pose-conditioned mean, made of unit length, blended with the key's centre and made of unit length again.
+
+    A mean or a blend of no length is the centre.
+    """
+    quality = score.quality("base") if quality is None else quality
+    centres = cut(weighted_centre(rows, key, quality))  # a row a key
+    long = pose_conditioned(rows, key, targets, sigma, quality)
+    means = long.groupBy(*key, "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("mean"))
+    or_centre = lambda v: F.when(vec.norm(v) > 1e-6, vec.unit(v)).otherwise(F.col("centre"))
+    mixed = means.join(centres, key).withColumn("mean", or_centre(F.col("mean"))).withColumn("mixed", vec.blend("centre", "mean", share))
+    return mixed.select(*key, "target", or_centre(F.col("mixed")).alias("vector"))
+
+
+def same_person(rows: DataFrame, key: list[str], photo: Column, quality: Column, floor: float = SAME_PERSON) -> DataFrame:
+    """key..., vec_id, anchor, consensus, kept of a key's video rows: whether they agree with its person.
+
+    Two passes: the anchor is the weighted mean of the key's photos (`photos`), or, where it has none, of the
+    video rows themselves (`own`), all of which the first pass then takes on quality alone.
+    """
+    asked = rows.withColumn("_photo", F.coalesce(photo, F.lit(False)))
+    has = asked.groupBy(*key).agg(F.max("_photo").alias("_has"))
+    marked = asked.join(cut(has), key)
+    anchors = cut(weighted_centre(marked.where("_photo or not _has"), key, quality))
+    video = marked.where("not _photo").join(anchors, key).withColumn("consensus", vec.cosine("embedding", "centre"))
+    return video.select(*key, "vec_id", F.when(F.col("_has"), "photos").otherwise("own").alias("anchor"), "consensus", (F.col("consensus") >= floor).alias("kept"))
+
+
 def coverage(rows: DataFrame, key: list[str], bins=score.POSE_BINS) -> DataFrame:
     """key..., bin, n for every bin, zeros included."""
     names = F.explode(F.array(*(F.lit(b[0]) for b in bins))).alias("bin")

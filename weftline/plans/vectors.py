@@ -197,3 +197,34 @@ def calibration_dprime(spark, sf_dir):
     rows = observe.consensus(observations(spark, sf_dir), ["label"], score.quality())
     out = select.calibration(rows, "consensus", F.col("vec_id") % 10 == F.col("label"))
     return out.select(*(F.round(c, 5 if c == "d_prime" else 6).alias(c) if t == "double" else c for c, t in out.dtypes))
+
+
+_REACH = "CASE " + " ".join(f"WHEN yaw >= {lo} AND yaw < {hi} THEN '{n}'" for n, lo, hi in score.REACH_BINS) + " END"
+
+
+@query(f"""WITH {OBS}, b(bin) AS (VALUES {", ".join(f"('{n}')" for n, _, _ in score.REACH_BINS)}), l AS (SELECT DISTINCT label FROM obs)
+SELECT l.label, b.bin, count(o.vec_id) AS n FROM l CROSS JOIN b LEFT JOIN (SELECT vec_id, label, {_REACH} AS bin FROM obs) o ON o.label = l.label AND o.bin = b.bin GROUP BY ALL""")
+def pose_reach(spark, sf_dir):
+    return observe.coverage(observations(spark, sf_dir), ["label"], score.REACH_BINS)
+
+
+@query(f"""WITH {OBS}, p AS (SELECT *, greatest(1e-3, least(1e0, face_px / 160) * least(greatest(detector_conf, 0e0), 1e0) * least(1e0, sharpness / 120)) AS b FROM q),
+t AS (SELECT label, t.target, e, b, exp(-pow(yaw - t.target, 2) / (2e0 * 18e0 * 18e0)) * b AS w FROM p, (VALUES (-60e0), (-30e0), (0e0), (30e0), (60e0)) t(target)),
+s AS (SELECT label, target, generate_subscripts(e, 1) AS dim, unnest(e) AS x, b, w FROM t),
+v AS (SELECT label, target, dim, CASE WHEN sum(w) < 1e-8 THEN sum(x * b) / sum(b) ELSE sum(x * w) / sum(w) END AS m, sum(x * b) / greatest(sum(b), 1e-6) AS a FROM s GROUP BY ALL),
+u AS (SELECT label, target, dim, 55e-2 * a / sqrt(sum(a * a) OVER g) + (1e0 - 55e-2) * m / sqrt(sum(m * m) OVER g) AS x FROM v WINDOW g AS (PARTITION BY label, target))
+SELECT label, target, (dim - 1)::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label, target)), 6) AS value FROM u""")
+def anchored_vector(spark, sf_dir):
+    rows = observe.anchored(observations(spark, sf_dir), ["label"], [-60.0, -30.0, 0.0, 30.0, 60.0])
+    return rows.select("label", "target", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+#: Labels from 5 on have no photos.
+@query(f"""WITH {OBS}, m AS (SELECT *, label < 5 AND vec_id % 7 = 0 AS photo FROM q), h AS (SELECT label, bool_or(photo) AS has FROM m GROUP BY label),
+s AS (SELECT m.label, generate_subscripts(e, 1) AS dim, unnest(e) AS x, quality FROM m JOIN h USING (label) WHERE photo OR NOT has), c AS (SELECT label, dim, sum(x * quality) / greatest(sum(quality), 1e-6) AS v FROM s GROUP BY ALL),
+centre AS (SELECT label, list(v ORDER BY dim) AS c FROM c GROUP BY label),
+a AS (SELECT m.label, vec_id, has, list_inner_product(e, c) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(c, c))) AS s FROM m JOIN h USING (label) JOIN centre USING (label) WHERE NOT photo)
+SELECT label, vec_id, CASE WHEN has THEN 'photos' ELSE 'own' END AS anchor, round(s, 6) AS consensus, s >= 5e-2 AS kept FROM a""")
+def same_person_two_passes(spark, sf_dir):
+    rows = observe.same_person(observations(spark, sf_dir), ["label"], (F.col("label") < 5) & (F.col("vec_id") % 7 == 0), score.quality(), 0.05)
+    return rows.withColumn("consensus", F.round("consensus", 6))
