@@ -155,6 +155,40 @@ def stage_breakdown(rows: DataFrame, stage: str, seconds: Column, nested: Column
     return per.join(F.broadcast(wall), F.lit(True), "left").select(stage, "total", "calls", F.when(~F.col("nested"), F.col("total") / F.col("wall")).alias("share"))
 
 
+#: Fixed value: metrics closer than this are the same.
+SAME = 1e-9
+
+
+def attributed(stages: DataFrame, whole: DataFrame) -> DataFrame:
+    """stage, total, calls, ms_per_frame, pct_wall of each stage, and of `unattributed`, the wall time that no stage outside another accounts for.
+
+    stages: stage, total (seconds), calls, nested; whole: one row of wall (seconds) and frames, of which either may be 0 and then has no share.
+    """
+    known = stages.agg(F.coalesce(F.sum(F.when(~F.col("nested"), F.col("total"))), F.lit(0.0)).alias("_known"))
+    rest = whole.join(F.broadcast(known), F.lit(True)).select(F.lit("unattributed").alias("stage"), (F.col("wall") - F.col("_known")).alias("total"), F.lit(0).cast("long").alias("calls"))
+    rows = stages.select("stage", "total", "calls").unionByName(rest).join(F.broadcast(whole), F.lit(True))
+    ms, share = F.try_divide(F.col("total") * 1000.0, F.col("frames")), F.try_divide(F.col("total") * 100.0, F.col("wall"))
+    return rows.select("stage", F.round("total", 3).alias("total"), "calls", F.round(ms, 2).alias("ms_per_frame"), F.round(share, 1).alias("pct_wall"))
+
+
+def pairwise(rows: DataFrame, clip: str, engine: str, first: str, second: str, metrics: dict[str, bool]) -> DataFrame:
+    """clip, metric, a, b, win (`first`, `second` or `tie`): two engines clip by clip (metric: more is better).
+
+    Values closer than `SAME` tie; a clip or a metric that either lacks has no row.
+    """
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(up).alias("up"), F.col(m).cast("double").alias("v")) for m, up in metrics.items()))
+    long = rows.where(F.col(engine).isin(first, second)).select(clip, engine, F.explode(cells).alias("x")).select(clip, engine, "x.*")
+    both = long.groupBy(clip, "metric", "up").agg(F.max(F.when(F.col(engine) == first, F.col("v"))).alias("a"), F.max(F.when(F.col(engine) == second, F.col("v"))).alias("b"))
+    win = F.when(F.abs(F.col("a") - F.col("b")) < SAME, "tie").when((F.col("b") > F.col("a")) == F.col("up"), second).otherwise(first)
+    return both.where("a is not null and b is not null").select(clip, "metric", "a", "b", win.alias("win"))
+
+
+def no_worse(pairs: DataFrame, first: str, second: str) -> DataFrame:
+    """better, worse, same, passed: how often the second engine beats the first, and whether it is worse no more often than better."""
+    count = lambda who: F.count(F.when(F.col("win") == who, 1))
+    return pairs.agg(count(second).alias("better"), count(first).alias("worse"), count("tie").alias("same")).withColumn("passed", F.col("worse") <= F.col("better"))
+
+
 def win_tally(aggregates: DataFrame, metrics: dict[str, bool], digits: int = 6) -> DataFrame:
     """candidate, wins, ties over metrics (name: more is better); a metric that any candidate lacks is skipped, equal values tie."""
     aggregates = cut(aggregates)  # a row a candidate, of which seven places below read

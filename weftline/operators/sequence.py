@@ -83,3 +83,12 @@ def nearest_alike(rows: DataFrame, key: list[str], similarity: str, where: Colum
     best = Window.partitionBy(*key).orderBy(F.desc("value"), "det")
     ranked = rows.where(F.col(similarity).isNotNull()).withColumn("value", F.round(F.col(similarity) + share * near, 6)).withColumn("_r", F.row_number().over(best))
     return ranked.where("_r = 1").withColumn("det", F.when(F.col("value") >= floor, F.col("det"))).drop("_r")
+
+
+def identity_jitter(rows: DataFrame, key: list[str], order: list[str], embedding: str, drift: Column) -> DataFrame:
+    """key..., identity_jitter (mean of 1 - cosine of neighbouring frames, null for one frame), drift (mean of what is finite), n."""
+    from weftline.functions import score, vec
+
+    before = F.lag(embedding).over(over(key, order))
+    step = rows.select(*key, (1.0 - vec.cosine(embedding, before)).alias("step"), score.finite(drift).alias("drift"))
+    return step.groupBy(*key).agg(F.avg("step").alias("identity_jitter"), F.avg("drift").alias("drift"), F.count("*").alias("n"))

@@ -241,3 +241,42 @@ SELECT clip, round(avg(d), 5) AS jitter, round(quantile_cont(value, 0.05), 5) AS
 def region_jitter(spark, sf_dir):
     rows = sequence.deltas(series(spark, sf_dir), ["clip"], ["ts", "event_id"], "value")
     return rows.groupBy("clip").agg(F.round(F.avg("delta"), 5).alias("jitter"), F.round(F.percentile("value", F.lit(0.05)), 5).alias("p5"), F.count("delta").alias("n"))
+
+
+@query("""WITH p AS (SELECT event_type AS stage, event_type = 'error' AS nested, sum(value) AS total, count(*) AS calls FROM events GROUP BY ALL), w AS (SELECT 15e-1 * sum(value) AS wall, count(*) AS frames FROM events),
+r AS (SELECT stage, total, calls FROM p UNION ALL SELECT 'unattributed', max(wall) - (SELECT sum(total) FROM p WHERE NOT nested), 0 FROM w)
+SELECT stage, round(total, 3) AS total, calls, round(total * 1000 / frames, 2) AS ms_per_frame, round(total * 100 / wall, 1) AS pct_wall FROM r, w""")
+def stage_attribution(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    stages = events.groupBy(F.col("event_type").alias("stage"), (F.col("event_type") == "error").alias("nested")).agg(F.sum("value").alias("total"), F.count("*").alias("calls"))
+    return report.attributed(stages, events.agg((1.5 * F.sum("value")).alias("wall"), F.count("*").alias("frames")))
+
+
+_PAIR = {"identity": True, "seam": False, "texture_retention": True, "mask_jitter": False, "flow_flicker": False}
+_PAIRS = " UNION ALL ".join(f"SELECT a.category, '{m}' AS metric, a.{m} AS a, b.{m} AS b, {str(up).upper()} AS up FROM g a JOIN g b ON a.category = b.category AND a.candidate = 'NO' AND b.candidate = 'RF'" for m, up in _PAIR.items())
+_PAIRED = f"""g AS (SELECT candidate, category, {", ".join(f"round(avg({m}), 4) AS {m}" for m in _PAIR)} FROM fm WHERE error IS NULL GROUP BY ALL),
+p AS (SELECT category, metric, a, b, CASE WHEN abs(a - b) < 1e-9 THEN 'tie' WHEN (b > a) = up THEN 'RF' ELSE 'NO' END AS win FROM ({_PAIRS}) WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+def _paired(spark, sf_dir):
+    rows = frame_metrics(spark, sf_dir).where("error is null").groupBy("candidate", "category").agg(*(F.round(F.avg(m), 4).alias(m) for m in _PAIR))
+    return report.pairwise(rows, "category", "candidate", "NO", "RF", _PAIR)
+
+
+@query(f"WITH {FM}, {_PAIRED} SELECT * FROM p")
+def pairwise_wins(spark, sf_dir):
+    return _paired(spark, sf_dir)
+
+
+@query(f"WITH {FM}, {_PAIRED} SELECT count(*) FILTER (WHERE win = 'RF') AS better, count(*) FILTER (WHERE win = 'NO') AS worse, count(*) FILTER (WHERE win = 'tie') AS same, count(*) FILTER (WHERE win = 'NO') <= count(*) FILTER (WHERE win = 'RF') AS passed FROM p")
+def pairwise_verdict(spark, sf_dir):
+    return report.no_worse(_paired(spark, sf_dir), "NO", "RF")
+
+
+@query("""WITH l AS (SELECT label, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b, CASE WHEN vec_id % 9 > 0 THEN abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE) END AS d FROM embeddings)
+SELECT label, round(avg(1 - list_inner_product(e, b) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(b, b)))), 6) AS identity_jitter, round(avg(d), 6) AS drift, count(*) AS n FROM l GROUP BY label""")
+def identity_jitter(spark, sf_dir):
+    e = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").withColumn("d", F.when(F.col("vec_id") % 9 > 0, F.abs(e[0] - e[1])).otherwise(float("nan")))
+    found = sequence.identity_jitter(rows, ["label"], ["vec_id"], "embedding", F.col("d"))
+    return found.select("label", F.round("identity_jitter", 6).alias("identity_jitter"), F.round("drift", 6).alias("drift"), "n")
