@@ -126,3 +126,14 @@ def detector_report(spark, sf_dir):
     reference = select.best_per(rows, ["frame"], F.desc("area"), F.asc("det"))
     tries = rows.groupBy("clip", "detector", "frame").agg((F.avg("score") * 40).alias("ms"))
     return report.detector_rows(tries, rows.where("score > 0.3"), reference)
+
+
+@query("""WITH w AS (SELECT p_partkey AS name, CASE WHEN p_size % 7 > 0 THEN p_size::BIGINT END AS size, CASE WHEN p_size % 5 > 0 THEN p_brand END AS digest FROM part),
+f AS (SELECT l_partkey AS name, max(l_quantity)::BIGINT AS size, 'Brand#' || min(l_suppkey) % 60 AS digest FROM lineitem GROUP BY ALL)
+SELECT w.name, w.size, w.digest, CASE WHEN f.name IS NULL THEN 'missing' WHEN f.size <> w.size THEN 'size is ' || f.size || ', not ' || w.size WHEN f.digest <> w.digest THEN 'digest differs' END AS error FROM w LEFT JOIN f USING (name)""")
+def ensured_batch(spark, sf_dir):
+    size = F.col("p_size")
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.when(size % 7 > 0, size.cast("long")).alias("size"), F.when(size % 5 > 0, F.col("p_brand")).alias("digest"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("name"))
+    found = lines.agg(F.max("l_quantity").cast("long").alias("size"), F.concat(F.lit("Brand#"), F.min("l_suppkey") % 60).alias("digest"))
+    return files.ensured(wanted, found, "name", "size", "digest")

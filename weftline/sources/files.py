@@ -23,6 +23,27 @@ def samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read.dropna()
 
 
+def _parsed(lines: DataFrame, line: str, schema: str) -> DataFrame:
+    """The other columns, and the values of a comma-separated line; lines with too few or unreadable values are left out."""
+    kinds = StructType.fromDDL(schema)
+    parts = F.split(line, ",")
+    values = [F.trim(F.get(parts, i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(kinds)]
+    return lines.select(*(c for c in lines.columns if c != line), *values).dropna(subset=[f.name for f in kinds])
+
+
+def first_card(polls: DataFrame, output: str, schema: str) -> DataFrame:
+    """The values of the first card of each poll, whose output has a line a card; a poll without a readable first line is left out."""
+    first = F.get(F.split(F.regexp_replace(output, r"^\s+", ""), "\n"), 0)
+    return _parsed(polls.withColumn(output, first), output, schema)
+
+
+def sample_stream(spark: SparkSession, folder: str, schema: str, files_at_once: int | None = None) -> DataFrame:
+    """Samples as a stream: the lines of the files that come into a folder, malformed ones skipped as by `samples`."""
+    reader = spark.readStream.format("text")
+    reader = reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader
+    return _parsed(reader.load(folder), "value", schema)
+
+
 def zipped(records: DataFrame, names: str, values: str, as_name: str, as_value: str) -> DataFrame:
     """One row an element of two parallel arrays; the rest of the record repeats."""
     rest = [c for c in records.columns if c not in (names, values)]
@@ -48,6 +69,19 @@ def write_keyed(rows: DataFrame, path: str, key: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def ensured(wanted: DataFrame, found: DataFrame, key: str, size: str, digest: str) -> DataFrame:
+    """wanted, with error (null for what is as it should be): a whole batch is looked at, and what is wrong with an item is its own row's column.
+
+    wanted: key, size and digest, either null if not known; found: key, size and digest of what is there.
+    """
+    there = found.select(key, F.col(size).alias("_size"), F.col(digest).alias("_digest"), F.lit(True).alias("_there"))
+    error = (
+        F.when(F.col("_there").isNull(), "missing").when(F.col("_size") != F.col(size), F.concat(F.lit("size is "), "_size", F.lit(", not "), size))
+        .when(F.col("_digest") != F.col(digest), "digest differs")
+    )
+    return wanted.join(there, key, "left").select(*wanted.columns, error.alias("error"))
+
+
 def write_report(rows: DataFrame, path: str, score: str) -> None:
     """A ranked JSON report, best first; a report is one file because it is a few rows."""
     rows.orderBy(F.desc(score)).coalesce(1).write.mode("overwrite").json(path)
