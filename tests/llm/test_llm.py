@@ -893,3 +893,13 @@ def test_toxicity(spark):
         assert model.score(marks, [toxicity.words(text)])[0] == pytest.approx(1 / (1 + math.exp(-model.slope * margin - model.offset)), abs=1e-3)
     none = toxicity.train(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
     assert {x["score"] for x in toxicity.score(df, none).collect()} == {0.0}
+
+
+def test_rows_are_chosen_without_a_shuffle_of_them_however_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 10)
+    texts = [prose(40, i % 60) + (" end" if i % 3 else "") for i in range(100)]
+    rows, keys = documents(spark, texts), spark.range(1, 80).withColumnRenamed("id", "doc_id")
+    for how, want in (("left_semi", set(range(1, 80))), ("left_anti", set(range(80, 101)))):
+        parts = neardup._chosen(rows, keys, ["doc_id"], how)
+        assert len(parts) == 8 and sorted(r["doc_id"] for p in parts for r in p.collect()) == sorted(want)
+        assert all("Exchange hashpartitioning" not in p._jdf.queryExecution().executedPlan().toString() for p in parts)
