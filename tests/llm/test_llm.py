@@ -903,3 +903,12 @@ def test_rows_are_chosen_without_a_shuffle_of_them_however_many_keys(spark, monk
         parts = neardup._chosen(rows, keys, ["doc_id"], how)
         assert len(parts) == 8 and sorted(r["doc_id"] for p in parts for r in p.collect()) == sorted(want)
         assert all("Exchange hashpartitioning" not in p._jdf.queryExecution().executedPlan().toString() for p in parts)
+
+
+def test_every_held_out_word_stands_in_a_name(spark):
+    r = random.Random(21)
+    pool = {"".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(12_000)}
+    made = secrets.names(spark.createDataFrame([(w, 1) for w in pool], "word string, n long")).collect()
+    text = " ".join(x["s"].lower() for x in made)
+    assert sum(map(len, re.findall("[a-z]+", text))) >= 8 * len(pool)
+    assert all(w in text for w in r.sample(sorted(pool), 200))

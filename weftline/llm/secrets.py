@@ -14,8 +14,8 @@ written as identifiers are (snake, kebab and path names, camel case, numbers and
 dates between them): of the words of all documents, each with its count,
 and of a list of words common in names, half and half. Each model keeps a
 share `UNKNOWN` for characters at random, so that no single transition decides. The
-threshold is the one that `FALSE_RATE` of held-out ordinary names reach; held-out samples are
-names of words, and random strings, that the models have not seen.
+threshold is the one that `FALSE_RATE` of held-out ordinary names reach; these are names of
+all words that the models have not seen, and of the list.
 
 Only DataFrame functions run: the table of ratios is a 128 x 128 array
 literal, whatever the corpus, and only pair counts and rates reach the driver. Words are counted on the map side
@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.shared import cut
@@ -47,8 +47,10 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Random strings for the models, and samples of either label that the threshold is fitted on, at most.
+#: Random strings that are made for the models, and unseen ones that `rates` tries.
 RANDOM_STRINGS, HELD_OUT = 4_000, 2_000
+#: Words that are put in order together to make names of four.
+NAMED_TOGETHER = 4_096
 #: Share of held-out ordinary names that the threshold lets pass as secrets.
 FALSE_RATE = 0.002
 SMOOTHING, BACKOFF, UNKNOWN = 0.05, 4.0, 0.1
@@ -170,10 +172,14 @@ def identifiers(words_: DataFrame) -> dict[tuple[int, int], float]:
     return out
 
 
-def names(words_: DataFrame, n: int = HELD_OUT) -> DataFrame:
-    """Ordinary names, column s: up to n times four words, those of least hash, in snake, kebab, path and camel form with a number or date, as candidates have it."""
-    some = words_.select("word", F.xxhash64("word").alias("h")).orderBy("h", "word").limit(4 * n)
-    fours = some.select(F.pmod("h", F.lit(n)).alias("k"), "word").groupBy("k").agg(F.slice(F.sort_array(F.collect_list("word")), 1, 4).alias("w")).where("size(w) >= 3")
+def names(words_: DataFrame) -> DataFrame:
+    """Ordinary names, column s: of all words by fours (what is left over goes to the last), in snake, kebab, path and camel form with a number or date, as candidates have it."""
+    groups = max(1, -(-words_.count() // NAMED_TOGETHER))
+    some = words_.select("word", F.xxhash64("word").alias("h")).withColumn("g", F.pmod("h", F.lit(groups)))
+    own = Window.partitionBy("g")
+    place = F.floor((F.row_number().over(own.orderBy("h", "word")) - 1) / 4)
+    last = F.greatest(F.floor(F.count("*").over(own) / 4) - 1, F.lit(0))
+    fours = some.select((F.col("g") + groups * F.least(place, last)).alias("k"), "word").groupBy("k").agg(F.sort_array(F.collect_list("word")).alias("w"))
     number, year = (F.col("k") % 100).cast("string"), (1990 + F.col("k") % 40).cast("string")
     month = F.lpad((1 + F.col("k") % 12).cast("string"), 2, "0")
     camel = F.array_join(F.transform("w", lambda x: F.initcap(x)), "")
@@ -193,14 +199,14 @@ def train(documents: DataFrame) -> Model:
     random, ordinary = _log_model([_pairs(random_strings(spark))]), _log_model(seen)
     ratios = [x - y for a, b in zip(random, ordinary, strict=True) for x, y in zip(a, b, strict=True)]
     kept = names(counted.where(held_out(F.col("word")))).unionByName(names(listed))
-    reached = kept.select(_ratio(F.col("s"), _table(ratios)).alias("r")).agg(F.expr(f"percentile(r, {1 - FALSE_RATE})")).first()[0]
+    reached = kept.select(_ratio(F.col("s"), _table(ratios)).alias("r")).agg(F.expr(f"percentile(round(r, 4), {1 - FALSE_RATE})")).first()[0]
     return Model(ratios, max(reached, 0.05) if reached is not None else 0.05)
 
 
 def rates(spark: SparkSession, model: Model, ordinary: DataFrame, n: int = HELD_OUT) -> tuple[float, float]:
     """Shares of unseen random strings, and of ordinary names, that reach the threshold."""
     share = lambda s: s.agg(F.avg((_ratio(F.col("s"), _table(model.ratios)) >= model.threshold).cast("int"))).first()[0]
-    return share(random_strings(spark, n, 10_000_000)), share(names(ordinary, n))
+    return share(random_strings(spark, n, 10_000_000)), share(names(ordinary))
 
 
 def _let(value: Column, body) -> Column:
