@@ -912,3 +912,9 @@ def test_every_held_out_word_stands_in_a_name(spark):
     text = " ".join(x["s"].lower() for x in made)
     assert sum(map(len, re.findall("[a-z]+", text))) >= 8 * len(pool)
     assert all(w in text for w in r.sample(sorted(pool), 200))
+
+
+def test_language_profiles_count_every_document(spark):
+    rows = [(i, chr(0x4E00 + i), "zh") for i in range(4_000)]
+    (lang, grams), = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ranks=20_000)
+    assert lang == "zh" and {t for _, t, _ in rows} <= set(grams)

@@ -6,9 +6,8 @@ own most frequent n-grams are compared with each profile: a gram that stands
 at rank i in one and j in the other costs |i - j|, one that a profile lacks
 costs `RANKS`. The language of least distance wins.
 
-Profiles are learned from a hash sample of about `SAMPLE` documents a language
-(the bound is a parameter); counting is distributed and pre-aggregated, and
-what reaches the driver is languages x `RANKS` rows. Prediction reads each
+Profiles are learned from all labelled documents; counting is distributed and
+pre-aggregated, and what reaches the driver is languages x `RANKS` rows. Prediction reads each
 whole text once and shuffles nothing.
 
 Defined results: null text, or text without a letter, is `und` with score 0.
@@ -31,7 +30,9 @@ from pyspark.sql import functions as F
 from weftline.llm.arrow import bound_batches, claim, trim
 
 #: BITS hold a code of its own for every letter of Unicode.
-SAMPLE, RANKS, BITS = 1_500, 300, 18
+RANKS, BITS = 300, 18
+#: Code points that are counted at once.
+STEP = 4 << 20
 
 
 def training_fold(doc_id: str = "doc_id") -> Column:
@@ -75,30 +76,39 @@ def _spell(gram: tuple[int, ...]) -> str:
     return "".join(chr(c) if c else " " for c in gram)
 
 
-def learn(documents: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> list[tuple[str, list[str]]]:
+def learn(documents: DataFrame, ranks: int = RANKS) -> list[tuple[str, list[str]]]:
     """(lang, grams by rank) of every language of the documents' `lang` column."""
+    bound_batches(documents.sparkSession)
     rows = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = rows.groupBy("lang").count()  # a row a language
-    share = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))) < F.lit(float(sample)) / F.col("count")
-    few = rows.join(F.broadcast(per), "lang").where(share).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.lang", "x.text")  # an id counts once, with its least row
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():  # an id counts once, with its least row
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.*")
+
+    def counts(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in by.items():
+            c = np.concatenate(parts).astype(np.int64)
+            grams = np.concatenate([c[c != 0], ((c[:-1] << 21) | c[1:] | (1 << 62))[(c[:-1] | c[1:]) != 0]])
+            three = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[c[1:-1] != 0]
+            for values, kind in ((grams, 0), (three, 3)):
+                v, n = np.unique(values, return_counts=True)
+                spelled = [_spell(_parts(x, kind)) for x in v.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(spelled, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(langs, texts, strict=True):
-                if len(p := _points(text)):
-                    by.setdefault(lang, []).append(p)
-            for lang, parts in by.items():
-                c = np.concatenate(parts).astype(np.int64)
-                grams = np.concatenate([c[c != 0], ((c[:-1] << 21) | c[1:] | (1 << 62))[(c[:-1] | c[1:]) != 0]])
-                three = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[c[1:-1] != 0]
-                for values, kind in ((grams, 0), (three, 3)):
-                    v, n = np.unique(values, return_counts=True)
-                    spelled = [_spell(_parts(x, kind)) for x in v.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(spelled, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    counted = few.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+                if len(p := _points(text.as_py())):
+                    by.setdefault(lang.as_py(), []).append(p)
+                    held += len(p)
+                if held >= STEP:
+                    yield from counts(by)
+                    by, held = {}, 0
+                    trim()
+        yield from counts(by)
+        trim()
+
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= ranks)
     out: dict[str, list[str]] = {}
     for r in best.orderBy("lang", "rank").collect():
