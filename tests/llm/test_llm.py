@@ -918,3 +918,19 @@ def test_language_profiles_count_every_document(spark):
     rows = [(i, chr(0x4E00 + i), "zh") for i in range(4_000)]
     (lang, grams), = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ranks=20_000)
     assert lang == "zh" and {t for _, t, _ in rows} <= set(grams)
+
+
+def test_bpe_steps_stay_small_and_words_in_use_stay(monkeypatch):
+    path, pattern = tokenizer()
+    c, r, rows = bpe.Codec(path, pattern), random.Random(3), []
+    table = c._table
+    monkeypatch.setattr(c, "_table", lambda name, **columns: (rows.append(len(next(iter(columns.values())))), table(name, **columns))[1])
+    texts = [" ".join("".join(r.choices("qxzjkvw", k=9)) for _ in range(20_000)) + " qzxqzx" for _ in range(3)]
+    ids, n = c.documents(texts)
+    assert b"".join(c.decode(ids, n)) == "".join(texts).encode()
+    assert max(rows) <= 300_000
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50_000)
+    again = c.documents(["other words qzxqzx"])
+    assert " qzxqzx" in c.index and len(c.index) < 50_000
+    c.clear()
+    assert [x.tolist() for x in again] == [x.tolist() for x in c.documents(["other words qzxqzx"])]

@@ -15,8 +15,8 @@ list of each document.
 Rows are independent and nothing is shuffled. One query takes fragments of at
 most `BYTES_AT_ONCE` bytes together, or one longer fragment, so its memory follows
 the longest fragment, not the number of merges in it. A worker keeps the words that it
-has encoded, up to `CACHE_TOKENS` tokens or `CACHE_WORDS` words (beyond that the
-store is emptied, which only costs time).
+has encoded, up to `CACHE_TOKENS` tokens or `CACHE_WORDS` words; beyond that those used
+most since stay, up to half of these bounds (what goes is encoded again, which only costs time).
 
 Defined results: null text is empty text, with no tokens; special tokens are
 never produced; very long words are encoded whole; repeated rows and null ids give
@@ -29,6 +29,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.arrow import bound_batches, claim, list_array, pieces, ragged, trim, utf8
 
-CACHE_WORDS, CACHE_TOKENS = 400_000, 8_000_000
-#: Bytes of texts, of fragments and tokens of one step; every query has a cost of its own.
-TEXT_AT_ONCE, BYTES_AT_ONCE, TOKENS_AT_ONCE = 4 << 20, 1_000_000, 1_000_000
-
+CACHE_WORDS, CACHE_TOKENS = 300_000, 4_000_000
+#: Bytes of texts, of fragments and tokens of one step; every query has a cost of its own, and what it holds grows with its rows.
+TEXT_AT_ONCE, BYTES_AT_ONCE, TOKENS_AT_ONCE = 2 << 20, 300_000, 250_000
 #: `down` holds the merges that rank below one of their own parts: only they can go before a pair of a minimum rank.
 ENCODE = """
 WITH RECURSIVE step(place, word, tok) USING KEY (place) AS (
@@ -110,7 +110,16 @@ class Codec:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.sizes, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the words used most, and more than once, up to half of what the store may hold."""
+        order = np.argsort(-self.uses, kind="stable")[: CACHE_WORDS // 2]
+        at = np.sort(order[(self.uses[order] > 1) & (np.cumsum(self.sizes[order]) <= CACHE_TOKENS // 2)])
+        held = list(self.index)
+        self.index = {held[i]: k for k, i in enumerate(at.tolist())}
+        self.ids, self.sizes = _gather(self.ids, self.sizes, at)
+        self.uses = np.zeros(len(at), np.int64)
 
     def _cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where fragments begin: at the words' starts, and where no token can span."""
@@ -178,20 +187,22 @@ class Codec:
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each text."""
-        words = [self.words(t) for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.index)
+        words = list(map(self.words, texts))
+        flat = list(chain.from_iterable(words))
+        new = set(flat).difference(self.index)
         if self.index and new and (len(self.index) + len(new) > CACHE_WORDS or len(self.ids) > CACHE_TOKENS):
-            self.clear()
-            new = {w for ws in words for w in ws}
+            self._thin()
+            new = set(flat).difference(self.index)
         if new:
-            some = sorted(new)
+            some = list(new)
             ids, sizes = self.encode([w.encode() for w in some])
             self.index.update(zip(some, range(len(self.index), len(self.index) + len(some)), strict=True))
             self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-        index = self.index
-        per = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((index[w] for ws in words for w in ws), np.int64, int(per.sum()))
+            self.uses = np.append(self.uses, np.zeros(len(some), np.int64))
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         ids, n = _gather(self.ids, self.sizes, at)
+        per = np.fromiter(map(len, words), np.int64, len(words))
         return ids, np.bincount(np.repeat(np.arange(len(texts)), per), n, len(texts)).astype(np.int64)
 
 
