@@ -934,3 +934,24 @@ def test_bpe_steps_stay_small_and_words_in_use_stay(monkeypatch):
     assert " qzxqzx" in c.index and len(c.index) < 50_000
     c.clear()
     assert [x.tolist() for x in again] == [x.tolist() for x in c.documents(["other words qzxqzx"])]
+
+
+def test_bpe_short_fragments_take_the_query_without_sorts_and_idle_workers_hold_few_words(monkeypatch):
+    path, pattern = tokenizer()
+    c, r, rows = bpe.Codec(path, pattern), random.Random(5), []
+    table = c._table
+    monkeypatch.setattr(c, "_table", lambda name, **columns: (rows.append(len(next(iter(columns.values())))), table(name, **columns))[1])
+    parts = list({"".join(r.choices(letters, k=r.randint(2, 36))).encode() for letters in ("a", "ab", "etaoinshr", "aé ß") for _ in range(600)})
+    flat, sizes = c._contracted(parts)
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    other, others = c._contracted(parts)
+    assert flat.tolist() == other.tolist() and sizes.tolist() == others.tolist()
+    monkeypatch.setattr(bpe, "SHORT", 36)
+    assert np.array_equal(c._contracted(parts)[0], flat)
+    words = " ".join("".join(r.choices("qxzjkvw", k=7)) for _ in range(60_000))
+    c.documents([words, words])
+    assert max(rows) <= 150_000 and len(c.index) > bpe.IDLE_WORDS
+    c.idle()
+    assert 0 < len(c.index) <= bpe.IDLE_WORDS
+    ids, n = c.documents([words])
+    assert c.decode(ids, n) == [words.encode()]

@@ -5,18 +5,21 @@ every place that no token of the vocabulary can span: a token over it would be
 its two bytes, or hold one of the two byte triples across it. In each partition
 the distinct new fragments go to an in-memory DuckDB as token-position rows, one
 byte token a row at first. A recursive query joins adjacent tokens with the merge
-table and contracts each fragment's leftmost pair of minimum rank, and from
-there on, in the same round, all further pairs of that rank up to the first
-whose contraction makes a pair of lower rank: just what contracting one after
-the other gives. It keeps only the present tokens of a fragment, and ends when
-no pair merges. An ordered aggregation of the vocabulary's bytes decodes the id
-list of each document.
+table, contracts each fragment's leftmost pair of minimum rank, and ends when no
+pair merges. For fragments of at most `SHORT` bytes a row holds a token and the
+next one, so that a round needs no sort; every round's rows stay, and the last
+ones of a fragment count. For longer fragments the query keeps only the present
+tokens, and contracts from the leftmost pair on, in the same round, all further
+pairs of that rank up to the first whose contraction makes a pair of lower rank:
+just what contracting one after the other gives. An ordered aggregation of the
+vocabulary's bytes decodes the id list of each document.
 
 Rows are independent and nothing is shuffled. One query takes fragments of at
 most `BYTES_AT_ONCE` bytes together, or one longer fragment, so its memory follows
 the longest fragment, not the number of merges in it. A worker keeps the words that it
 has encoded, up to `CACHE_TOKENS` tokens or `CACHE_WORDS` words; beyond that those used
 most since stay, up to half of these bounds (what goes is encoded again, which only costs time).
+Between tasks it keeps `IDLE_WORDS`: an executor may hold more idle workers than it has cores.
 
 Defined results: null text is empty text, with no tokens; special tokens are
 never produced; very long words are encoded whole; repeated rows and null ids give
@@ -39,8 +42,23 @@ from pyspark.sql import functions as F
 from weftline.llm.arrow import bound_batches, claim, list_array, pieces, ragged, trim, utf8
 
 CACHE_WORDS, CACHE_TOKENS = 300_000, 4_000_000
+IDLE_WORDS = 50_000
 #: Bytes of texts, of fragments and tokens of one step; every query has a cost of its own, and what it holds grows with its rows.
-TEXT_AT_ONCE, BYTES_AT_ONCE, TOKENS_AT_ONCE = 2 << 20, 300_000, 250_000
+TEXT_AT_ONCE, BYTES_AT_ONCE, TOKENS_AT_ONCE = 1 << 20, 150_000, 125_000
+#: Fragments of at most so many bytes keep the rows of all rounds: at most half as many for each byte.
+SHORT = 32
+ENCODE_SHORT = """
+WITH RECURSIVE step(round, word, pos, tok, next) AS (
+    SELECT 0::SMALLINT, word, pos::SMALLINT, tok, next FROM start
+  UNION ALL (
+    WITH least AS MATERIALIZED (SELECT word, min(merged::BIGINT << 16 | pos) AS hit FROM step JOIN merges ON l = tok AND r = next GROUP BY word),
+    hits AS (SELECT word, hit & 65535 AS place, (hit >> 16)::INTEGER AS merged FROM least)
+    SELECT (round + 1)::SMALLINT, word, (pos - (pos > place)::SMALLINT)::SMALLINT,
+           CASE WHEN pos = place + 1 THEN merged ELSE tok END, CASE WHEN pos = place - 1 THEN merged ELSE next END
+    FROM step JOIN hits USING (word) WHERE pos <> place))
+SELECT word, list(tok ORDER BY pos) AS ids FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
+GROUP BY word ORDER BY word
+"""
 #: `down` holds the merges that rank below one of their own parts: only they can go before a pair of a minimum rank.
 ENCODE = """
 WITH RECURSIVE step(place, word, tok) USING KEY (place) AS (
@@ -112,9 +130,9 @@ class Codec:
         self.index: dict[str, int] = {}
         self.ids, self.sizes, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _thin(self) -> None:
-        """Keep the words used most, and more than once, up to half of what the store may hold."""
-        order = np.argsort(-self.uses, kind="stable")[: CACHE_WORDS // 2]
+    def _thin(self, most: int) -> None:
+        """Keep the words used most, and more than once, up to so many and to half of the tokens that the store may hold."""
+        order = np.argsort(-self.uses, kind="stable")[:most]
         at = np.sort(order[(self.uses[order] > 1) & (np.cumsum(self.sizes[order]) <= CACHE_TOKENS // 2)])
         held = list(self.index)
         self.index = {held[i]: k for k, i in enumerate(at.tolist())}
@@ -162,16 +180,23 @@ class Codec:
         sizes, found = np.ones(len(parts), np.int64), []
         rest = np.flatnonzero(whole < 0)
         length = np.fromiter((len(parts[i]) for i in rest), np.int64, len(rest))
-        for lo, hi in pieces(np.append(0, np.cumsum(length)), BYTES_AT_ONCE):
-            data = np.frombuffer(b"".join([parts[i] for i in rest[lo:hi]]), np.uint8)
-            n = length[lo:hi]
-            self._table("start", word=np.repeat(np.arange(hi - lo, dtype=np.int32), n), pos=ragged(np.zeros(hi - lo, np.int64), n).astype(np.int32), tok=self.bytes_id[data])
-            got = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
-            sizes[rest[lo:hi]] = np.diff(got.offsets.to_numpy())
-            found.append(got.flatten().to_numpy())
+        order = np.argsort(length, kind="stable")  # like lengths together: a query has as many rounds as its longest fragment asks for
+        rest, length = rest[order], length[order]
+        short = int(np.searchsorted(length, SHORT, "right"))
+        for query, first, last in ((ENCODE_SHORT, 0, short), (ENCODE, short, len(rest))):
+            for lo, hi in pieces(np.append(0, np.cumsum(length[first:last])), BYTES_AT_ONCE):
+                some, n = rest[first + lo : first + hi], length[first + lo : first + hi]
+                tok = self.bytes_id[np.frombuffer(b"".join([parts[i] for i in some]), np.uint8)]
+                after = np.append(tok[1:], np.int32(-1))
+                after[np.cumsum(n) - 1] = -1
+                self._table("start", word=np.repeat(np.arange(len(n), dtype=np.int32), n), pos=ragged(np.zeros(len(n), np.int64), n).astype(np.int32), tok=tok, next=after)
+                got = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
+                sizes[some] = np.diff(got.offsets.to_numpy())
+                found.append(got.flatten().to_numpy())
+        starts = np.cumsum(sizes) - sizes
         ids = np.repeat(whole, sizes)
         if found:
-            ids[ids < 0] = np.concatenate(found)
+            ids[ragged(starts[rest], sizes[rest])] = np.concatenate(found)
         return ids, sizes
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
@@ -185,13 +210,19 @@ class Codec:
             out += [bytes.fromhex(got.get(i, "")) for i in range(hi - lo)]
         return out
 
+    def idle(self) -> None:
+        """Between tasks, let go of most words."""
+        if len(self.index) > IDLE_WORDS or len(self.ids) > CACHE_TOKENS // 2:
+            self._thin(IDLE_WORDS)
+            trim()
+
     def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each text."""
         words = list(map(self.words, texts))
         flat = list(chain.from_iterable(words))
         new = set(flat).difference(self.index)
         if self.index and new and (len(self.index) + len(new) > CACHE_WORDS or len(self.ids) > CACHE_TOKENS):
-            self._thin()
+            self._thin(CACHE_WORDS // 2)
             new = set(flat).difference(self.index)
         if new:
             some = list(new)
@@ -245,6 +276,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = True)
                     names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
             trim()
+        c.idle()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 
