@@ -228,6 +228,22 @@ def test_near_duplicates(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_sets_are_copied_for_pairs_of_blocks_in_passes_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_LIST", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    texts = family(60, 90, 1)
+    sets = {i: shingles(t) for i, t in enumerate(texts, 1)}
+    want = components([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])], sets)
+    plain, steps = neardup.cut, []
+    monkeypatch.setattr(neardup, "cut", lambda rows: steps.append(rows.columns) or plain(rows))
+    for most in (1 << 29, 1 << 16):
+        monkeypatch.setattr(neardup, "COPIED", most)
+        steps.append(most)
+        assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()} == want
+    few, many = (part.count(["a", "b"]) for part in (steps[: steps.index(1 << 16)], steps[steps.index(1 << 16) :]))
+    assert many >= few + 3  # one table of links a pass
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_similarity_is_a_parameter(spark, monkeypatch, percent):
     monkeypatch.setattr(neardup, "SMALL_LIST", 6)
