@@ -109,3 +109,21 @@ def test_boxes_are_suppressed_as_by_a_pass_over_an_array(spark):
     lists = frame.withColumn("order", -F.col("score")).groupBy("clip").agg(fold.ordered(["order", "det"], ["box"]).alias("rows"))
     want = lists.select("clip", F.explode(fold.nms("rows", 0.4)).alias("k")).select("clip", "k.det")
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect())) and 0 < kept.count() < 600
+
+
+def test_blocks_find_the_pairs_that_a_join_finds(spark, monkeypatch):
+    odd = [("a", 900, 0.0, 0.5, None), ("a", 901, None, 0.5, [1.0, 0.0, 0.0]), ("a", 902, float("nan"), 0.5, [1.0, 0.0, 0.0]), (None, 903, 0.0, 0.5, [1.0, 0.0, 0.0])]
+    odd += [("a", 904, 0.0, 0.5, [1.0, None, 0.0]), ("a", 905, 0.0, 0.5, [float("nan"), 0.0, 1.0]), ("a", 906, 0.0, 0.5, [1.0, 0.5]), ("a", 907, 1.0, 0.5, [1.0, 0.4]), ("a", 908, 0.0, 0.5, [])]
+    odd += [("a", 7, 3.0, 0.1, [1.0, 0.0, 0.0]), ("a", 909, 0.0, 0.5, [0.0, 0.0, 0.0])]  # an id of two rows, a vector of no length
+    frame = spark.createDataFrame(views(260, 11) + odd, VIEWS)
+    for pose, similarity in ((12.0, 0.30), (40.0, 0.86)):
+        found = []
+        for few, block in ((10**9, 4_096), (0, 40)):
+            monkeypatch.setattr(greedy, "FEW", few)
+            monkeypatch.setattr(greedy, "BLOCK", block)
+            rows = greedy.near_pairs(frame, ["who"], -F.col("q"), pose, similarity)
+            found.append(sorted((r["who"], *r["better"], *r["worse"], repr(r["similarity"])) for r in rows.collect()))
+        assert found[0] == found[1] and len(found[0]) > 100
+        assert {(906, 907)} | ({(905, 909)} if similarity < greedy.PIVOTS_FROM else set()) <= {tuple(sorted((x[2], x[4]))) for x in found[0]}  # NaN counts as more than any number
+        want = [(a, b) for a in views(260, 11) for b in views(260, 11) if a[0] and a[0] == b[0] and (-a[3], a[1]) < (-b[3], b[1]) and close(a, b, pose, similarity)]
+        assert sorted((x[2], x[4]) for x in found[0] if max(x[2], x[4]) < 900 and (-0.1, 7) not in (x[1:3], x[3:5])) == sorted((a[1], b[1]) for a, b in want)

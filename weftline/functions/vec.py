@@ -27,7 +27,8 @@ def norm(v: Column | str) -> Column:
 def unit(v: Column | str, least: float = 1e-6) -> Column:
     """The vector over its norm, the norm taken as `least` at least."""
     v = _col(v)
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(least)))
+    # The norm stands in an array, so that it is computed once, not for each element.
+    return F.zip_with(doubles(v), F.array_repeat(norm(v), F.size(v)), lambda x, n: x / F.greatest(n, F.lit(least)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
