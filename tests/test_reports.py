@@ -46,3 +46,16 @@ def test_bystanders_are_no_failures(spark):
 def test_plans_read_their_table_once_at_most(spark, name, most):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= most
+
+
+def test_the_percentile_of_jumps_is_counted_in_ranges(spark):
+    r, schema = random.Random(8), "jump double, edge boolean"
+    many = [(r.choice([r.uniform(0, 1e5), float(r.randrange(50))]), r.random() < 0.3) for _ in range(3_000)] + [(None, True), (None, False), (1.0, None)]
+    for rows in (many, many + [(float("nan"), False)] * 3, many + [(float("nan"), False)] * 100, [(float("nan"), False)] * 2, [(2.5, False)], [(2.5, True)], [(None, False)], []):
+        frame = spark.createDataFrame(rows, schema)
+        found = report.boundary_jump(frame, "jump", F.col("edge"))
+        assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()  # one task's table of all distinct jumps
+        b, e = F.when(F.col("edge"), F.col("jump")), F.when(~F.col("edge"), F.col("jump"))
+        want = frame.agg(F.avg(b), F.max(b), F.avg(e), F.max(e), F.percentile(e, F.lit(0.99)).alias("p")).withColumn("seamless", F.col("max(CASE WHEN edge THEN jump END)") <= F.col("p"))
+        for x, y in zip(found.first(), want.first(), strict=True):
+            assert (x is None and y is None) or x == pytest.approx(y, rel=1e-12, nan_ok=True)

@@ -17,9 +17,11 @@ PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50)
 BUCKETS, OPEN_KEYS, LINEAR, SPLITS = 1_024, 20_000, 3, 64
 
 
-def percentiles(rows: DataFrame, key: list[str], value: str, at=PERCENTILES) -> DataFrame:
+def percentiles(rows: DataFrame, key: list[str], value: str, at=PERCENTILES, nan_last: bool = False) -> DataFrame:
     """key..., p1, p5, ...: exact, with linear interpolation; null and NaN values don't count, a key of no others is null throughout.
 
+    With `nan_last` NaN values count, each as more than any number.
+
     By counting: the first pass counts each key's values in `BUCKETS` equal ranges,
     on the map side first, and each further one only those in the ranges that
     hold a wanted rank, until these hold one value each. Ranges that `LINEAR` passes leave
@@ -27,14 +29,14 @@ def percentiles(rows: DataFrame, key: list[str], value: str, at=PERCENTILES) ->
     values from then on, each of which is a range by itself, so that every pass makes them
     shorter. Whatever a key's size or number of distinct values, its state is the counts of these ranges.
     """
-    v = F.col(value).cast("double")
-    v = F.when(~F.isnan(v), v)
+    x = F.col(value).cast("double")
+    v = F.when(~F.isnan(x), x)
     known = rows.select(*key, v.alias("v")).where("v is not null")
-    sizes = cut(rows.groupBy(*key).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")))
+    sizes = cut(rows.groupBy(*key).agg(F.count(x if nan_last else v).alias("n"), F.count(v).alias("numbers"), F.min(v).alias("lo"), F.max(v).alias("hi")))
     places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("place")) for i, q in enumerate(at)))).alias("p")
-    placed = sizes.where("n > 0").select(*key, "lo", "hi", places).select(*key, "lo", "hi", "p.i", "p.place")
+    placed = sizes.where("n > 0").select(*key, "lo", "hi", "numbers", places).select(*key, "lo", "hi", "numbers", "p.i", "p.place")
     rank = F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")
-    wanted = placed.select(*key, "lo", "hi", F.lit(0).cast("long").alias("before"), rank).distinct()
+    wanted = placed.select(*key, "lo", "hi", "numbers", F.lit(0).cast("long").alias("before"), rank).where("rank < numbers").drop("numbers").distinct()
     found = []
     while True:
         wanted = cut(wanted)
@@ -70,7 +72,7 @@ def percentiles(rows: DataFrame, key: list[str], value: str, at=PERCENTILES) ->
 
     def between(q: float) -> Column:
         place = F.lit(q) * (F.col("n") - 1)
-        low, high = (F.try_element_at("values", f(place).cast("long")) for f in (F.floor, F.ceil))
+        low, high = (F.when(f(place) >= F.col("numbers"), F.lit(float("nan"))).otherwise(F.try_element_at("values", f(place).cast("long"))) for f in (F.floor, F.ceil))
         return low + (high - low) * (place - F.floor(place))
 
     return out.select(*(F.col(f"s.{c}").alias(c) for c in key), *(between(q).alias(f"p{round(100 * q)}") for q in at))
@@ -203,10 +205,15 @@ def win_tally(aggregates: DataFrame, metrics: dict[str, bool], digits: int = 6)
 
 
 def boundary_jump(rows: DataFrame, jump: str, at_boundary: Column) -> DataFrame:
-    """Mean and maximum of jumps at boundaries and elsewhere, the 99th percentile elsewhere, and whether the largest boundary jump is within it."""
+    """Mean and maximum of jumps at boundaries and elsewhere, the 99th percentile elsewhere, and whether the largest boundary jump is within it.
+
+    The jumps are written once; `percentiles` counts them, so no task holds all their distinct values.
+    """
     b, e = F.when(at_boundary, F.col(jump)), F.when(~at_boundary, F.col(jump))
-    stats = rows.agg(F.avg(b).alias("boundary_mean"), F.max(b).alias("boundary_max"), F.avg(e).alias("elsewhere_mean"), F.max(e).alias("elsewhere_max"), F.percentile(e, F.lit(0.99)).alias("elsewhere_p99"))
-    return stats.withColumn("seamless", F.col("boundary_max") <= F.col("elsewhere_p99"))
+    known = cut(rows.select(F.lit(0).alias("_all"), b.cast("double").alias("b"), e.cast("double").alias("e")).where("b is not null or e is not null"))
+    stats = known.agg(F.avg("b").alias("boundary_mean"), F.max("b").alias("boundary_max"), F.avg("e").alias("elsewhere_mean"), F.max("e").alias("elsewhere_max"))
+    p99 = percentiles(known, ["_all"], "e", (0.99,), nan_last=True).select(F.col("p99").alias("elsewhere_p99"))
+    return stats.join(F.broadcast(p99), F.lit(True), "left").withColumn("seamless", F.col("boundary_max") <= F.col("elsewhere_p99"))  # one row each
 
 
 def against_control(rows: DataFrame, key: str, value: str, control: str, best: str) -> DataFrame:
